@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts can be long, so a batch stays far below Spark's default of 10,000 rows.
@@ -73,6 +73,53 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
+def bucket_pairs(nodes: DataFrame, m: int, bucket: int, depth: int) -> DataFrame:
+    """(a, b), a < b: candidate pairs of nodes (node, s), s an array of m keys; texts with an equal s[i] share a bucket.
+
+    Buckets of at most `bucket` nodes give all their pairs. In a larger one every node is paired with the hub, the node
+    whose buckets hold the most nodes over all of s, and the bucket is split by its nodes' next key, `depth` times in
+    all; what is still large then is chained in the order of s. So a node has at most bucket + 2 partners a level.
+    """
+    keys = nodes.select("node", F.posexplode("s").alias("i", "v"))
+    sizes = materialise(keys.groupBy("i", "v").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    weight = keys.hint("merge").join(sizes, ["i", "v"]).groupBy("node").agg(F.sum("n").alias("weight"))
+    weight = materialise(weight, "weights")
+    level = nodes.hint("merge").join(weight, "node").select("node", "s", "weight", F.posexplode("s").alias("i", "v"))
+    level = level.select("node", "s", "weight", "i", F.xxhash64("i", "v").alias("key"))
+    pairs = None
+    for step in range(depth):
+        level = materialise(level, f"buckets-{step}")
+        hub = F.max_by("node", F.struct("weight", F.xxhash64("node")))
+        groups = materialise(level.groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub")).where("n > 1"), f"groups-{step}")
+        few = groups.where(F.col("n") <= bucket).select("key")
+        many = groups.where(F.col("n") > bucket).select("key", "hub")
+        lists = level.select("key", "node").hint("merge").join(few, "key").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("l"))
+        own = lists.select(F.posexplode("l").alias("j", "a"), "l").where(F.col("j") < F.size("l") - 1)
+        own = own.select("a", F.explode(F.slice("l", F.col("j") + 2, F.size("l"))).alias("b"))
+        large = level.hint("merge").join(many, "key")
+        star = large.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        pairs = own.union(star) if pairs is None else pairs.union(own).union(star)
+        following = F.get("s", F.pmod(F.col("i") + step + 1, F.lit(m)))
+        level = large.select("node", "s", "weight", "i", F.xxhash64("key", following).alias("key"))
+    # the salt splits a last bucket that may hold much of the corpus; its parts are still tied by the hub
+    w = Window.partitionBy("key", "salt").orderBy("s", "node")
+    chain = level.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(64))).withColumn("b", F.lead("node").over(w)).where("b is not null")
+    return pairs.union(chain.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))).distinct()
+
+
+def join_hot(rows: DataFrame, right: DataFrame, key: str, value: str, n: str) -> DataFrame:
+    """rows with value from right (key, value, n), null where the key isn't there. n: how many rows have the key.
+
+    Keys that hold over a thousandth of those rows are fewer than a thousand: they are broadcast. The rest are joined by
+    shuffle (or broadcast, if few), where no key is large. right must be materialised.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.where(F.col(n) > total / 1000).select(key, F.col(value).alias("hot_value"))
+    rest = right.where(F.col(n) <= total / 1000).select(key, F.col(value).alias("rest_value"))
+    rows = rows.join(F.broadcast(hot), key, "left").join(small_or_shuffled(rest), key, "left")
+    return rows.withColumn(value, F.coalesce("hot_value", "rest_value")).drop("hot_value", "rest_value")
+
+
 # ---------------------------------------------------------------- hashing of whole batches with numpy
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

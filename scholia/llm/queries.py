@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .decontamination import op8_decontamination
 from .fingerprints import op6_fingerprints
+from .language_id import op2_language_id
+from .line_dedup import op10_line_dedup
+from .near_duplicates import op5_near_duplicates
 from .token_counts import op7_token_counts
 from .token_ids import op1_token_ids
+from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op6_fingerprints, op7_token_counts)}
+_ALL = (op1_token_ids, op2_language_id, op3_warc, op5_near_duplicates, op6_fingerprints, op7_token_counts, op8_decontamination, op10_line_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}

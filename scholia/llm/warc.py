@@ -41,18 +41,14 @@ def base32_sha1(hex_digest):
 def with_record_types(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) with payload_bytes, payload_digest, record_type, refers_to.
 
-    Copies are found on digests alone. Digests that a thousandth of all rows or more share are fewer than a thousand, so
-    they are broadcast; the others are joined by shuffle, where none is large.
+    Copies are found on digests alone, and only digests that several rows share are joined back.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1("html"))
     groups = rows.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     groups = common.materialise(groups.where("n > 1"), "copies")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = groups.where(F.col("n") > total / 1000).select("sha1", F.col("first_id").alias("hot_id"))
-    rest = groups.where(F.col("n") <= total / 1000).select("sha1", F.col("first_id").alias("rest_id"))
-    rows = rows.join(F.broadcast(hot), "sha1", "left").join(common.small_or_shuffled(rest), "sha1", "left")
-    first = F.coalesce("hot_id", "rest_id")
+    rows = common.join_hot(rows, groups, "sha1", "first_id", "n")
+    first = F.col("first_id")
     revisit = first.isNotNull() & ~F.col("page_id").eqNullSafe(first)
     return rows.select(
         "page_id", "url", "html", "payload_bytes", base32_sha1(F.col("sha1")).alias("payload_digest"),
