@@ -254,6 +254,6 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id",
         F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(stored, digest).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", "refers_to", "url", "offset",
+        "record_type", "refers_to",
         F.when(stored, digest == F.col("payload_digest")).alias("digest_verified"),
     )
