@@ -7,12 +7,12 @@ lines (add-one smoothing) and the most probable states of a transcript come from
 
 A transcript can be as long as the table. Lines are sorted by range, so a long one spans many tasks. Each task reduces
 its range to a (max, +) matrix from the state of its first line to that of its last; one row a task is then solved in
-order, which gives every range its end states, and each task traces its own states between them. The result is exactly
-Viterbi over each whole transcript, whatever the ranges.
+order, which gives every range its end states, and each task traces its own states between them. The result is
+a most probable path of each whole transcript, whatever the ranges.
 
 Defined cases: null text is one empty line; null roles are not learned from and roles outside ROLES count as `user`;
 null conv_id is one transcript; rows with equal places are ordered by their line; with nothing to learn from, all counts
-are equal and ties go to the first state.
+are equal; of paths of equal probability any may be given.
 """
 
 from __future__ import annotations

@@ -111,7 +111,7 @@ class Model:
         return [self.languages[self.owner[b]] if m else "und" for b, m in zip(best, n, strict=True)], score, (n == 0) | (score < floor)
 
 
-def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, slack: float = 0.5) -> Model:
+def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, slack: float = 0.4) -> Model:
     """Learn from train (text, lang). slack: a text is rejected below this share of the least learning score of its length."""
     train = train.where("lang is not null and text is not null").select("text", "lang")
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row a language
@@ -140,11 +140,12 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS,
     model.owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
     score, n = np.max(x @ model.centres.T, axis=1), grams.sum(axis=1)
     bits = np.log2(np.maximum(n, 1)).astype(int)
-    least = 0.0
-    for b in range(len(model.floors)):  # the floor of a length without enough learning texts is that of shorter ones
+    least = None
+    for b in range(len(model.floors)):  # a floor is never above that of shorter texts; too short ones have none
         own = score[(bits == b) & (n > 0)]
-        least = slack * float(own.min()) if len(own) >= 20 else least
-        model.floors[b] = least
+        if len(own) >= 20:
+            least = min(slack * float(own.min()), least if least is not None else 1.0)
+        model.floors[b] = least or 0.0
     return model
 
 
