@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scholia.operators import parsing as ps
+from scholia.operators import retrieval as rt
 from scholia.operators import rules as r
 from scholia.plans.bindings import table
 
@@ -76,6 +78,53 @@ def resolve_name(spark, d):
     return r.resolve_names(_queries(spark, d), names)
 
 
+def parse_segment(spark, d):
+    """Names with a bracket, a parenthesis, a code, or a comma."""
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat("p_name", F.lit(", ["), "p_brand", F.lit("] for "), "p_type")).when(k == 1, F.concat("p_name", F.lit(" ("), F.lower("p_type"), F.lit(") used as x"))).when(k == 2, F.concat(F.lit("L1 ("), "p_name", F.lit("), note"))).otherwise(F.concat("p_name", F.lit(" base, "), "p_brand"))
+    rows = _parts(spark, d).select("p_partkey", ps.reference(text).alias("r"))
+    return rows.select("p_partkey", "r.full_name", "r.abbreviation", "r.explanation")
+
+
+def parse_clean_segments(spark, d):
+    text = F.concat("p_name", F.lit(" (abc) ["), "p_brand", F.lit("] for x; L2 (hint) complex; "))
+    rows = _parts(spark, d).select("p_partkey", F.posexplode(ps.clean_segments(text)).alias("pos", "r"))
+    return rows.select("p_partkey", "pos", "r.name", "r.bracket", "r.hint")
+
+
+def cls_bracket(spark, d):
+    p = _parts(spark, d).select("p_partkey", F.concat_ws("-", "p_type", F.lit("x")).alias("b"))
+    return ps.bracket_class(p, "p_partkey", "b", _dictionary(spark), ("gear",), RULES)
+
+
+def _class_queries(spark, d):
+    p = _parts(spark, d).where("p_partkey % 20 = 5")
+    return p.select(F.col("p_partkey").alias("qid"), F.concat("p_name", F.lit(" ["), F.lower("p_type"), F.lit("]")).alias("text"))
+
+
+def cls_detect(spark, d):
+    out = ps.detect_classes(_class_queries(spark, d), _dictionary(spark), CODES, RULES, ())
+    return out.select("qid", F.array_join("classes", ",").alias("classes"))
+
+
+def _members(spark, d):
+    return _parts(spark, d).select(F.col("p_partkey").cast("long").alias("ord"), F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
+
+
+def resolve_reference(spark, d):
+    names = _parts(spark, d).where("p_partkey < 30").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
+    q = _parts(spark, d).where("p_partkey % 20 = 5").select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 40 == 5, F.col("p_name")).otherwise("??").alias("text"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
+    return ps.resolve_reference(q.select("qid", "text"), names, q.select("qid", "cls"))
+
+
+def search_combined(spark, d):
+    q = _class_queries(spark, d)
+    m = _members(spark, d)
+    detected = ps.detect_classes(q, _dictionary(spark), CODES, (), ())
+    found = rt.tier_search(q.select("qid", F.element_at(F.split("text", " "), 1).alias("text")), m, k=30).join(m.select("name", "cls"), "name")
+    return ps.search_combined(q, detected, m, found, 6)
+
+
 _BEST = "case " + "".join(
     f"when regexp_matches(p_name, '{p}') then '{c}' " for p, c, _ in sorted(RULES, key=lambda x: -x[2])
 )
@@ -98,6 +147,24 @@ QUERIES = {
         "with d as (select unnest(['economy', 'standard', 'promo', 'gizmo', 'anvil']) as key, unnest(['basic', 'basic', 'offer', 'gadget', 'metal']) as cls) select * from d union all select lower(p_type), arg_min(case when p_size > 25 then 'big' else 'little' end, p_partkey) from part where lower(p_type) not in (select key from d) group by 1",
     ),
     "dict_learn_layer3": (dict_learn_layer3, None),
+    "parse_segment": (
+        parse_segment,
+        """select p_partkey, case p_partkey % 4 when 0 then p_name when 1 then p_name when 2 then 'L1' else p_name || ' base' end as full_name,
+          case p_partkey % 4 when 0 then p_brand when 1 then lower(p_type) else '' end as abbreviation,
+          case p_partkey % 4 when 0 then 'for ' || p_type when 1 then 'used as x' when 2 then p_name || '; note' else p_brand end as explanation from part""",
+    ),
+    "parse_clean_segments": (parse_clean_segments, "select p_partkey, 0 as pos, p_name as name, p_brand as bracket, '' as hint from part union all select p_partkey, 1, 'L2', '', 'hint' from part"),
+    "cls_bracket": (cls_bracket, "select p_partkey, case lower(p_type) when 'promo' then 'offer' else 'basic' end as cls, 4 as confidence from part where lower(p_type) in ('economy', 'standard', 'promo')"),
+    "cls_detect": (cls_detect, None),
+    "resolve_reference": (
+        resolve_reference,
+        """with n as (select p_name, split_part(p_name, ' ', 2) as cls, p_partkey as id from part where p_partkey < 30), q as (select p_partkey as qid, p_name, split_part(p_name, ' ', 2) as cls from part where p_partkey % 20 = 5),
+        e as (select qid, min(id) as id from q join n using (p_name) where qid % 40 = 5 group by 1), c as (select cls, min(id) as id from n group by 1),
+        t as (select qid, n.id, len(list_intersect(string_split(q.p_name, ' '), string_split(n.p_name, ' '))) as k from q, n where qid % 40 = 5),
+        s as (select qid, arg_max(id, {'s': k / (4 - k) + 0.1 * k, 'o': -id}) as id from t where k > 0 group by 1)
+        select qid, coalesce(e.id, s.id, c.id) as id, case when e.id is not null then 'exact' when s.id is not null then 'tokens' else 'class' end as strategy from q left join e using (qid) left join s using (qid) left join c using (cls) where coalesce(e.id, s.id, c.id) is not null""",
+    ),
+    "search_combined": (search_combined, None),
     "cls_fastpath": (cls_fastpath, f"with s as (select p_name, arg_min(p_type, p_partkey) as known from part where p_partkey < 40 group by 1) select p_partkey, coalesce(known, {_BEST} end, 'unknown') as cls from part left join s using (p_name)"),
     "resolve_name": (
         resolve_name,
