@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
+from scholia.plans.lineage import cut
 
 ENTITY = "array<struct<name: string, smiles: string, general_form: string>>"
 
@@ -54,17 +55,18 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, group: str = "doc", order: s
     Rounds decide all nodes whose earlier partners are decided; each round is two joins over the pairs still open.
     """
     open_ = nodes.select(group, order)
-    before = pairs.select(group, F.col("b").alias(order), F.col("a").alias("earlier")).checkpoint()
+    before = cut(pairs.select(group, F.col("b").alias(order), F.col("a").alias("earlier")))
     kept = None
     while True:
         waiting = before.groupBy(group, order).agg(F.count("*").alias("n"))
-        sure = open_.join(waiting, [group, order], "left_anti").checkpoint()
+        sure = cut(open_.join(waiting, [group, order], "left_anti"))
         kept = sure if kept is None else kept.union(sure)
         if before.isEmpty():
             return kept
-        gone = before.join(sure.select(group, F.col(order).alias("earlier")), [group, "earlier"], "left_semi").select(group, order).distinct().checkpoint()
-        open_ = open_.join(sure, [group, order], "left_anti").join(gone, [group, order], "left_anti").checkpoint()
-        before = before.join(gone, [group, order], "left_anti").join(gone.select(group, F.col(order).alias("earlier")), [group, "earlier"], "left_anti").checkpoint()
+        gone = before.join(sure.select(group, F.col(order).alias("earlier")), [group, "earlier"], "left_semi").select(group, order).distinct()
+        gone = cut(gone)
+        open_ = cut(open_.join(sure, [group, order], "left_anti").join(gone, [group, order], "left_anti"))
+        before = cut(before.join(gone, [group, order], "left_anti").join(gone.select(group, F.col(order).alias("earlier")), [group, "earlier"], "left_anti"))
 
 
 def normalize_reactions(rows: DataFrame) -> DataFrame:

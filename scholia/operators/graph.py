@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.plans.lineage import cut
+
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with local_citations: edges that end there."""
@@ -93,7 +95,7 @@ def mean_message(nodes: DataFrame, edges: DataFrame, feature: str, rounds: int =
         mean = both.join(now.select(F.col("id").alias("n"), feature), "n").groupBy("id").agg(F.avg(feature).alias("m"))
         now = now.select("id").join(mean, "id", "left").select("id", F.coalesce("m", F.lit(0.0)).alias(feature))
         if i + 1 < rounds:
-            now = now.checkpoint()
+            now = cut(now)
     return now
 
 

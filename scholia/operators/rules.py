@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
+from scholia.plans.lineage import cut
 
 from .retrieval import sized
 
@@ -87,7 +88,7 @@ def classify(rows: DataFrame, key: str, text: str, dictionary: DataFrame, codes:
 def learn_from_rows(rows: DataFrame, dictionary: DataFrame, rules: Sequence[Rule], rounds: int = 5) -> DataFrame:
     """(key, cls): dictionary and what rows (ord, key, text) teach, in file order: the first class of a key counts, and a
     row may use what an earlier one taught. Rows are resolved again until nothing new is learned."""
-    known = dictionary.select(F.lower("key").alias("key"), "cls", F.lit(-1).cast("long").alias("since")).checkpoint()
+    known = cut(dictionary.select(F.lower("key").alias("key"), "cls", F.lit(-1).cast("long").alias("since")))
     before = known.count()
     for _ in range(rounds):
         parts = rows.select("ord", F.lower("key").alias("new_key"), F.posexplode(F.split(F.lower("text"), r"[-,/;\s]+")).alias("pos", "key"))
@@ -96,7 +97,8 @@ def learn_from_rows(rows: DataFrame, dictionary: DataFrame, rules: Sequence[Rule
         by_rule = rows.select("ord", F.lower("key").alias("new_key"), best_rule(F.lower("text"), rules)["cls"].alias("rule_cls")).where("rule_cls is not null")
         both = by_part.join(by_rule.hint("merge"), ["ord", "new_key"], "full_outer").select("ord", "new_key", F.coalesce("cls", "rule_cls").alias("cls"))
         learned = both.groupBy(F.col("new_key").alias("key")).agg(F.min_by("cls", "ord").alias("cls"), F.min("ord").alias("since"))
-        known = dictionary.select(F.lower("key").alias("key"), "cls", F.lit(-1).cast("long").alias("since")).unionByName(learned.join(dictionary.select(F.lower("key").alias("key")).hint("merge"), "key", "left_anti")).checkpoint()
+        fresh = learned.join(dictionary.select(F.lower("key").alias("key")).hint("merge"), "key", "left_anti")
+        known = cut(dictionary.select(F.lower("key").alias("key"), "cls", F.lit(-1).cast("long").alias("since")).unionByName(fresh))
         now = known.count()
         if now == before:
             break
