@@ -73,38 +73,41 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
-def bucket_pairs(nodes: DataFrame, m: int, bucket: int, depth: int) -> DataFrame:
-    """(a, b), a < b: candidate pairs of nodes (node, s), s an array of m keys; texts with an equal s[i] share a bucket.
+def bucket_pairs(nodes: DataFrame, m: int, bucket: int, depth: int, close) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (node, s), s an array of m keys, that share a bucket (an equal s[i]) and are close.
 
-    Buckets of at most `bucket` nodes give all their pairs. In a larger one every node is paired with the hub, the node
-    whose buckets hold the most nodes over all of s, and the bucket is split by its nodes' next key, `depth` times in
-    all; what is still large then is chained in the order of s. So a node has at most bucket + 2 partners a level.
+    close(s of one, s of the other) is a Column. Buckets of at most `bucket` nodes look at all their pairs, inside an
+    array that long; only close ones become rows. In a larger bucket every node is compared with the hub, the node whose
+    buckets hold the most nodes over all of s, and the bucket is split by its nodes' next key, `depth` times in all; what
+    is still large then is chained in the order of s. So a node meets at most bucket + 2 others a level.
     """
-    keys = nodes.select("node", F.posexplode("s").alias("i", "v"))
-    sizes = materialise(keys.groupBy("i", "v").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    weight = keys.hint("merge").join(sizes, ["i", "v"]).groupBy("node").agg(F.sum("n").alias("weight"))
-    weight = materialise(weight, "weights")
-    level = nodes.hint("merge").join(weight, "node").select("node", "s", "weight", F.posexplode("s").alias("i", "v"))
-    level = level.select("node", "s", "weight", "i", F.xxhash64("i", "v").alias("key"))
-    pairs = None
+    keys = nodes.select("node", "s", F.posexplode("s").alias("i", "v")).select("node", "s", "i", F.xxhash64("i", "v").alias("key"))
+    sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    shared = materialise(keys.join(small_or_shuffled(sizes), "key"), "shared-buckets")
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    level = shared.drop("n").hint("merge").join(weight, "node")
+    pairs, x = None, F.struct("node", "s").alias("x")
     for step in range(depth):
         level = materialise(level, f"buckets-{step}")
-        hub = F.max_by("node", F.struct("weight", F.xxhash64("node")))
-        groups = materialise(level.groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub")).where("n > 1"), f"groups-{step}")
+        hub = F.max_by(x, F.struct("weight", F.xxhash64("node"))).alias("hub")
+        groups = materialise(level.groupBy("key").agg(F.count("*").alias("n"), hub).where("n > 1"), f"groups-{step}")
         few = groups.where(F.col("n") <= bucket).select("key")
         many = groups.where(F.col("n") > bucket).select("key", "hub")
-        lists = level.select("key", "node").hint("merge").join(few, "key").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("l"))
+        lists = level.select("key", x).hint("merge").join(few, "key").groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("l"))
         own = lists.select(F.posexplode("l").alias("j", "a"), "l").where(F.col("j") < F.size("l") - 1)
-        own = own.select("a", F.explode(F.slice("l", F.col("j") + 2, F.size("l"))).alias("b"))
+        ahead = F.filter(F.slice("l", F.col("j") + 2, F.size("l")), lambda y: close(F.col("a.s"), y["s"]))
+        own = own.select("a.node", F.explode(F.transform(ahead, lambda y: y["node"])).alias("b")).select(F.col("node").alias("a"), "b")
         large = level.hint("merge").join(many, "key")
-        star = large.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        star = large.where((F.col("node") != F.col("hub.node")) & close(F.col("s"), F.col("hub.s")))
+        star = star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         pairs = own.union(star) if pairs is None else pairs.union(own).union(star)
         following = F.get("s", F.pmod(F.col("i") + step + 1, F.lit(m)))
         level = large.select("node", "s", "weight", "i", F.xxhash64("key", following).alias("key"))
     # the salt splits a last bucket that may hold much of the corpus; its parts are still tied by the hub
     w = Window.partitionBy("key", "salt").orderBy("s", "node")
-    chain = level.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(64))).withColumn("b", F.lead("node").over(w)).where("b is not null")
-    return pairs.union(chain.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))).distinct()
+    chain = level.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(64))).withColumn("b", F.lead(x).over(w))
+    chain = chain.where("b is not null").where(close(F.col("s"), F.col("b.s")))
+    return pairs.union(chain.select(F.least("node", "b.node").alias("a"), F.greatest("node", "b.node").alias("b"))).distinct()
 
 
 def join_hot(rows: DataFrame, right: DataFrame, key: str, value: str, n: str) -> DataFrame:
