@@ -53,7 +53,7 @@ class Memo:
     at which their ids are taken apart again. Pieces that hold a line break are encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_100_000):
         self.tokenizer, self.most, self.known = load(path), most, {}
         self.line_break = self._alone(["\n"])[0]
         self.marks = {x: np.array(e, "<u4").tobytes() for x, e in zip(MARKS, self._alone(list(MARKS)), strict=True)}
