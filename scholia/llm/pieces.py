@@ -118,13 +118,14 @@ class Vocabulary:
         return [x for own in reversed(ids) for x in own], best[n], best[n] - second[n]
 
     def solve(self, word: str) -> tuple[bytes, float, float]:
-        """viterbi of a word, remembered. Where no piece joins its last two characters, the last one stands alone in every
-        segmentation, and the word is solved from the rest of it."""
+        """viterbi of a word, remembered. No segmentation joins two characters that no piece joins, so the word is cut at
+        all such places and its parts are solved one by one."""
         known = self.known.get(word)
         if known is None:
-            if len(word) > 2 and (word[-2], word[-1]) not in self.joined:
-                a, b = self.solve(word[:-1]), self.solve(word[-1])
-                known = (a[0] + b[0], a[1] + b[1], a[2] if a[2] < b[2] else b[2])
+            cuts = [i for i in range(1, len(word)) if (word[i - 1], word[i]) not in self.joined]
+            if cuts and len(word) > 2:
+                own = [self.solve(word[i:j]) for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+                known = (b"".join([x[0] for x in own]), sum([x[1] for x in own]), min([x[2] for x in own]))
             else:
                 ids, score, gap = self.viterbi(word)
                 known = (np.array(ids, "<u4").tobytes(), score, gap)

@@ -141,3 +141,16 @@ def test_pieces_defined_cases(spark, documents, folder):
     got = pieces.op9_piece_segmentation(spark, folder(documents=documents(rows))).collect()
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
     assert {r["n_pieces"] for r in got if r["doc_id"] in (1, 2)} == {0}
+
+
+def test_long_unspaced_runs(vocabulary):
+    """100,000 characters that no piece joins; shorter runs as the lattice of the whole run solves them."""
+    for text in ("日" * 100_000, "😀漢" * 50_000, "ωж" * 50_000):
+        ids, best = vocabulary.encode(text)
+        assert vocabulary.decode(np.frombuffer(ids, "<u4").tolist()) == text and len(best) >= 1
+    random.seed(9)
+    for _ in range(100):
+        word = "".join(random.choice("日漢字のωжé😀abth") for _ in range(random.randint(1, 60)))
+        ids, score, gap = vocabulary.viterbi(word)
+        got = vocabulary.solve(word)
+        assert np.frombuffer(got[0], "<u4").tolist() == ids and got[1:] == (score, gap)
