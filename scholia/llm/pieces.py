@@ -10,7 +10,7 @@ segmentation of a text is one of each of its words, and the text's N best follow
 lies closest to their best: A* runs over these words. A vocabulary without that property is searched text by text.
 
 Defined cases: null text counts as empty and gives no piece and one segmentation, the empty one; equal scores come in
-the order of the search, which depends on the text alone; a text may have fewer than N segmentations.
+the order of the search, the Viterbi path first, which depends on the text alone; a text may have fewer than N segmentations.
 """
 
 from __future__ import annotations
@@ -140,6 +140,7 @@ class Vocabulary:
         for i, j, piece, score in self.edges(word):
             best[j] = max(best[j], best[i] + score)
             into[j].append((i, piece, score))
+        # among equal scores the latest goes first: ties are followed to their end, not all side by side
         heap, found, count = [(-best[size], 0, size, 0.0, None)], [], 0
         while heap and len(found) < n:
             _, _, j, behind, path = heapq.heappop(heap)
@@ -151,7 +152,7 @@ class Vocabulary:
                 found.append((behind, ids))
                 continue
             for i, piece, score in into[j]:
-                count += 1
+                count -= 1
                 heapq.heappush(heap, (-(best[i] + score + behind), count, i, score + behind, (i, piece, path)))
         return found
 
@@ -174,8 +175,8 @@ class Vocabulary:
             held += SPACE + x
         return [*out, held]
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[tuple[float, int]]]:
-        """(ids of the best segmentation as uint32 bytes, (score, number of pieces) of the n best)."""
+    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[tuple[float, bytes]]]:
+        """(ids of the best segmentation as uint32 bytes, (score, ids) of the n best, the first of them that one)."""
         known = self.known
         if len(known) > self.most:
             known.clear()
@@ -187,22 +188,38 @@ class Vocabulary:
                     got[k] = self.solve(words[k])
         ids = b"".join([x[0] for x in got])
         score = sum([x[1] for x in got])
-        size = len(ids) // 4
         # only the n - 1 words with the closest second best can differ in one of the n best
         gaps = [x[2] for x in got]
-        closest = heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__)
-        totals = [(score, size)]
+        closest = [k for k in heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__) if gaps[k] < float("inf")]
+        totals: list[tuple[float, dict[int, bytes]]] = [(score, {})]
         for k in closest:
-            options = self.n_best(words[k], n)
-            base, width = options[0][0], len(got[k][0]) // 4
-            totals = heapq.nlargest(n, [(s + o - base, c + len(x) - width) for s, c in totals for o, x in options], key=lambda t: t[0])
-        return ids, totals
+            own, base = got[k][0], got[k][1]
+            # equal scores: the segmentation that stands in ids comes first
+            options = [(o, x) for o, x in ((o, np.array(x, "<u4").tobytes()) for o, x in self.n_best(words[k], n)) if x != own]
+            options = [(base, own), *options][:n]
+            totals = heapq.nlargest(n, [(s + o - base, {**c, k: x}) for s, c in totals for o, x in options], key=lambda t: t[0])
+        best = [(score, ids)]
+        if len(totals) > 1:
+            parts = [x[0] for x in got]
+            for s, c in totals[1:]:
+                best.append((s, b"".join([c.get(k, x) for k, x in enumerate(parts)])))
+        return ids, best
 
     def decode(self, ids: list[int]) -> str:
         """The normalised text of ids, with spaces for marks and without the space that encoding puts in front."""
         text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
+    def same_text(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether two id lists stand for the same bytes. Equal ends do, so what lies between them is compared."""
+        n = min(len(a), len(b))
+        unlike = np.flatnonzero(a[:n] != b[:n])
+        head = int(unlike[0]) if len(unlike) else n
+        unlike = np.flatnonzero(a[::-1][: n - head] != b[::-1][: n - head])
+        tail = int(unlike[0]) if len(unlike) else n - head
+        one, other = (b"".join([self.text[i] for i in x[head : len(x) - tail].tolist()]) for x in (a, b))
+        return one == other
+
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
@@ -213,28 +230,48 @@ def vocabulary(model_file: str) -> Vocabulary:
     return _VOCABULARIES[model_file]
 
 
-RESULT = "piece_ids array<int>, n_pieces long, ids_crc32 long, score double, n_best array<struct<score: double, n_pieces: int>>, round_trip boolean"
+_RUN = "ids array<int>, ids_crc32 long, score double, n_best array<struct<score: double, n_pieces: int, ids_crc32: long, begin: int>>, round_trip boolean"
 
 
 def encode(docs: DataFrame, model_file: str, n: int = N_BEST, prefix: str = "") -> DataFrame:
-    """docs with the columns of RESULT. round_trip: whether decoding the ids gives the text back."""
+    """docs with piece_ids, n_pieces, ids_crc32, score, n_best (score, n_pieces, ids_crc32, piece_ids of each of the n
+    best) and round_trip: whether the ids of each of them give the text back."""
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(_RUN)
     def run(texts: pd.Series) -> pd.DataFrame:
         v = vocabulary(model_file)
         out = []
         for t in texts:
             t = t or ""
             data, best = v.encode(t, n)
-            ids = np.frombuffer(data, "<u4")
-            back = v.decode(ids.tolist())
-            out.append((ids.astype(np.int32), len(ids), zlib.crc32(data), best[0][0], [{"score": s, "n_pieces": c} for s, c in best], back == t.replace(SPACE, " ")))
-        return pd.DataFrame(out, columns=["piece_ids", "n_pieces", "ids_crc32", "score", "n_best", "round_trip"])
+            lists = [np.frombuffer(x, "<u4") for _, x in best]
+            same = v.decode(lists[0].tolist()) == t.replace(SPACE, " ") and all(v.same_text(lists[0], x) for x in lists[1:])
+            rows, begin = [], 1
+            for (s, x), i in zip(best, lists, strict=True):
+                rows.append({"score": s, "n_pieces": len(i), "ids_crc32": zlib.crc32(x), "begin": begin})
+                begin += len(i)
+            # one flat list a text: lists inside structs inside lists are converted element by element
+            out.append((np.concatenate(lists).astype(np.int32), rows[0]["ids_crc32"], best[0][0], rows, same))
+        return pd.DataFrame(out, columns=["ids", "ids_crc32", "score", "n_best", "round_trip"])
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    r = lambda c: F.col(f"__scholia_pieces.{c}")
+    ids = lambda b: F.slice(r("ids"), b["begin"], b["n_pieces"])
+    best = F.transform(r("n_best"), lambda b: F.struct(b["score"].alias("score"), b["n_pieces"].alias("n_pieces"), b["ids_crc32"].alias("ids_crc32"), ids(b).alias("piece_ids")))
+    first = F.get(r("n_best"), F.lit(0))
+    own = {"piece_ids": ids(first), "n_pieces": first["n_pieces"].cast("long"), "ids_crc32": r("ids_crc32"), "score": r("score"), "n_best": best, "round_trip": r("round_trip")}
+    return docs.select(*names, run("text").alias("__scholia_pieces")).select(*names, *[c.alias(prefix + name) for name, c in own.items()])
+
+
+def decode(rows: DataFrame, model_file: str, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
+    """rows with the text that the piece ids in the column ids stand for; null ids give null."""
+
+    @F.pandas_udf("string")
+    def run(lists: pd.Series) -> pd.Series:
+        v = vocabulary(model_file)
+        return pd.Series([None if x is None else v.decode(list(x)) for x in lists], dtype=object)
 
-    names = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], run("text").alias("__scholia_pieces"))
-    own = [x.split()[0] for x in RESULT.replace("array<struct<score: double, n_pieces: int>>", "x").split(", ")]
-    return rows.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"__scholia_pieces.{c}").alias(prefix + c) for c in own])
+    return rows.withColumn(into, run(F.col(ids)))
 
 
 def op9_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,11 +279,13 @@ def op9_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     common.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text", "piece_ids")
+    rows = encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text", "piece_ids")
+    # ids are given as digests
+    return rows.withColumn("n_best", F.transform("n_best", lambda b: b.dropFields("piece_ids")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its text, ids and N best scores."""
+    """Every document with its text, ids and N best segmentations."""
     import public_tokenizers
 
     common.prepare(spark)

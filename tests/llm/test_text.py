@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.llm import decontamination, fingerprints, language_id, pieces
 
@@ -154,3 +155,27 @@ def test_long_unspaced_runs(vocabulary):
         ids, score, gap = vocabulary.viterbi(word)
         got = vocabulary.solve(word)
         assert np.frombuffer(got[0], "<u4").tolist() == ids and got[1:] == (score, gap)
+
+
+def test_n_best_ids(vocabulary):
+    """The ids of each of the n best: different segmentations of the text, with the scores they are given."""
+    random.seed(10)
+    for _ in range(300):
+        text = "".join(random.choice(["th", "e", " ", "on", "a", "é", "日", "\n", "  ", ".", "▁"]) for _ in range(random.randint(0, 7)))
+        every = _all_paths(vocabulary, vocabulary.model.normalize(text))
+        ids, best = vocabulary.encode(text, 5)
+        lists = [np.frombuffer(x, "<u4").tolist() for _, x in best]
+        assert best[0][1] == ids and len({tuple(x) for x in lists}) == len(lists) == min(5, len(every))
+        assert all((s, x) in every for (s, _), x in zip(best, lists, strict=True))
+        assert all(vocabulary.decode(x) == text.replace("▁", " ") for x in lists)
+
+
+def test_decode_operator(spark, documents):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    texts = {1: "the other one, and another", 2: "", 3: "日本 é the end", 4: None}
+    rows = pieces.encode(documents(list(texts.items())), model).select("doc_id", "round_trip", F.explode("n_best").alias("b"))
+    got = pieces.decode(rows.select("doc_id", "round_trip", "b.piece_ids"), model).collect()
+    assert all(r["round_trip"] and r["decoded"] == (texts[r["doc_id"]] or "") for r in got)
+    assert len({tuple(r["piece_ids"]) for r in got if r["doc_id"] == 1}) == 4
