@@ -3,7 +3,9 @@
 A text's letters are lower-cased; other characters become word edges. Two- and three-letter runs (edges included) are
 hashed to `DIMS` places; a place's weight is log(1 + count) times its IDF, and the vector has length 1. Each language has
 `CENTROIDS` centroids from spherical k-means. A text gets the language of the nearest one; its score is that cosine. A
-text that is much further from all centroids than learning texts of its length are is `rejected`.
+text that is much further from all centroids than labelled texts of its length are is `rejected`: every fourth sampled
+row is kept from the centroids, it and its beginnings are scored, and a length's floor is `SLACK` times the `QUANTILE` of
+those scores. Lengths (in powers of two n-grams) with few scores get floors from their neighbours.
 
 Learning uses at most `fit_rows` labelled rows (a hash sample, even over languages); prediction reads whole texts only.
 
@@ -24,6 +26,10 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMS, CENTROIDS, FIT_ROWS = 4096, 4, 2400
+#: Floors: share of the quantile, the quantile of scores of texts kept from the centroids, scores that a length needs.
+SLACK, QUANTILE, ENOUGH = 0.7, 0.01, 20
+#: Beginnings of calibration texts that are scored besides the whole text, in characters.
+_PREFIXES = (6, 12, 25, 50, 100, 200, 400, 800, 1600, 3200, 6400, 12800)
 #: The struct that holds a prediction until it is unpacked.
 RESULT = "__scholia_prediction"
 #: Characters looked at in one step; a longer text is counted in slices.
@@ -111,8 +117,8 @@ class Model:
         return [self.languages[self.owner[b]] if m else "und" for b, m in zip(best, n, strict=True)], score, (n == 0) | (score < floor)
 
 
-def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, slack: float = 0.4) -> Model:
-    """Learn from train (text, lang). slack: a text is rejected below this share of the least learning score of its length."""
+def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
+    """Learn from train (text, lang). slack: a text is rejected below this share of a low quantile of its length's scores."""
     train = train.where("lang is not null and text is not null").select("text", "lang")
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(sizes)
@@ -126,7 +132,11 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS,
         for pdf in batches:
             yield pd.DataFrame({"lang": pdf["lang"], "grams": [x.astype(np.int32).tobytes() for x in counts(pdf["text"].tolist())]})
 
-    rows = sample.mapInPandas(featurise, "lang string, grams binary").limit(2 * fit_rows).toPandas()
+    kept_out = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(4)) == 0
+    learn = sample.where(~kept_out)
+    rows = learn.mapInPandas(featurise, "lang string, grams binary").limit(2 * fit_rows).toPandas()
+    if not len(rows):
+        rows = sample.mapInPandas(featurise, "lang string, grams binary").limit(2 * fit_rows).toPandas()
     rows = rows.sort_values(["lang", "grams"], ignore_index=True)
     if not len(rows):
         return Model(np.ones(DIMS), np.zeros((0, DIMS)), np.zeros(0, int), [], np.zeros(1))
@@ -138,17 +148,33 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS,
     parts = [_k_means(x[(rows["lang"] == lang).to_numpy()], centroids) if (rows["lang"] == lang).any() else np.zeros((0, DIMS)) for lang in languages]
     model.centres = np.concatenate(parts).astype(np.float32)
     model.owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
-    score, n = np.max(x @ model.centres.T, axis=1), grams.sum(axis=1)
-    bits = np.log2(np.maximum(n, 1)).astype(int)
-    least = None
-    for b in range(len(model.floors)):  # a floor is never above that of shorter texts; too short ones have none
-        own = score[(bits == b) & (n > 0)]
-        if len(own) >= 20:
-            least = min(slack * float(own.min()), least if least is not None else 1.0)
-        model.floors[b] = least or 0.0
+    def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf["text"]:
+                parts = [t, *[t[:k] for k in _PREFIXES if k < len(t)]]
+                _, score, _ = model.predict(parts)
+                yield pd.DataFrame({"n": counts(parts).sum(axis=1), "score": score})
+
+    measured = sample.where(kept_out).mapInPandas(calibrate, "n long, score double").where("n > 0").toPandas()
+    if len(measured) < ENOUGH:  # too few rows: those that were learned from stand in
+        own = pd.DataFrame({"n": grams.sum(axis=1), "score": np.max(x @ model.centres.T, axis=1)})
+        measured = pd.concat([measured, own[own["n"] > 0]])
+    model.floors = floors(measured["n"].to_numpy(), measured["score"].to_numpy(), slack, len(model.floors))
     return model
 
 
+def floors(n: np.ndarray, score: np.ndarray, slack: float, size: int) -> np.ndarray:
+    """The floor of each length bin; bins with few scores lie between their neighbours, the longest have the last floor."""
+    bits = np.log2(np.maximum(n, 1)).astype(int)
+    at, low = [0], [0.0]
+    for b in range(1, size):
+        own = score[bits == b]
+        if len(own) >= ENOUGH:
+            at.append(b)
+            low.append(slack * float(np.quantile(own, QUANTILE)))
+    return np.interp(np.arange(size), at, low)
+
+
 def predict(docs: DataFrame, model: Model, *keep: str | Column, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score and rejected, next to the kept columns. Only text is looked at."""
     spark = docs.sparkSession

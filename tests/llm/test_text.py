@@ -179,3 +179,25 @@ def test_decode_operator(spark, documents):
     got = pieces.decode(rows.select("doc_id", "round_trip", "b.piece_ids"), model).collect()
     assert all(r["round_trip"] and r["decoded"] == (texts[r["doc_id"]] or "") for r in got)
     assert len({tuple(r["piece_ids"]) for r in got if r["doc_id"] == 1}) == 4
+
+
+def test_noise_of_any_length_is_rejected(spark, documents):
+    """Random letters of the learned and of foreign scripts, 20 to 20,000 characters; texts of the languages stay."""
+    random.seed(11)
+    parts = {"aa": ["the", "ing", "tion", "er", "and", "ou", "st", "re", "ly", "wh"], "bb": ["der", "ein", "sch", "ung", "keit", "ver", "zu", "lich", "en", "ge"]}
+
+    def text(lang, n):
+        out = ""
+        while len(out) < n:
+            out += "".join(random.choices(parts[lang], k=random.randint(1, 3))) + " "
+        return out[:n]
+
+    train = [(i, text(lang, int(10 ** random.uniform(1, 4))), lang) for i in range(400) for lang in [random.choice(["aa", "bb"])]]
+    # short labelled texts unlike all others, and so with low scores: they say nothing about longer texts
+    train += [(1000 + i, "".join(random.choice("qxzjvkwpf ") for _ in range(10)), "aa") for i in range(60)]
+    model = language_id.fit(documents(train))
+    scripts = ("abcdefghijklmnopqrstuvwxyz", [chr(i) for i in range(0x430, 0x450)], [chr(i) for i in range(0x4E00, 0x5E00)])
+    sizes = (20, 50, 200, 1000, 5000, 20_000)
+    noise = ["".join(random.choice(s) if random.random() < 0.85 else " " for _ in range(n)) for s in scripts for n in sizes for _ in range(4)]
+    assert model.predict(noise)[2].all()
+    assert not model.predict([text(lang, n) for lang in parts for n in sizes for _ in range(10)])[2].any()
