@@ -135,6 +135,11 @@ def chunk_counts(spark, d):
     return c.join(papers(spark, d).where(F.length("body") <= 12_000).select("id"), "id", "left_semi").select("id", "n")
 
 
+def chunk_counts_all(spark, d):
+    """Every document with text, whatever its length. Windows, look-back and overlap are beyond SQL; a test has them."""
+    return chunk_text(spark, d).groupBy("id").agg(F.count("*").alias("n")).select("id", "n")
+
+
 def _in(text: str, words) -> str:
     return " or ".join(f"contains({text}, '{w}')" for w in words)
 
@@ -175,4 +180,5 @@ QUERIES = {
     "screen_paragraphs": (screen_paragraphs, f"with {_SEG} select id, index, case when length(text) > 100 then text[1:100] || '...' else text end as preview from g where contains(lower(text), 'that')"),
     "chunk_text": (chunk_text, None),
     "chunk_counts": (chunk_counts, "select doc_id as id, 1 as n from documents where length(text) <= 12000 and trim(text) <> ''"),
+    "chunk_counts_all": (chunk_counts_all, None),
 }

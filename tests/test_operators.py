@@ -49,6 +49,35 @@ def test_chunks_cover(spark):
         assert b["start"] <= a["start"] + len(a["text"]) + 4
 
 
+def _count_chunks(text):
+    """Windows of 12,000 characters, 1,000 of overlap, at least 201; marks are looked for place by place."""
+    if len(text) <= 12_000:
+        return int(text.strip() != "")
+    n, start = 0, 0
+    while len(text) - start > 12_000:
+        end = start + 12_000
+        for mark in ("\n\n", ". "):
+            places = [i for i in range(end - 2400, end + 1000 - len(mark) + 1) if text[i : i + len(mark)] == mark and i > start + 6000]
+            if places:
+                end = places[-1] + (2 if mark == "\n\n" else 1)
+                break
+        n += len(text[start:end].strip()) > 200
+        start = max(start, end - 1000)
+    return n + (text[start:].strip() != "")
+
+
+def test_chunk_counts_of_long_documents(spark, tmp_path):
+    from scholia.queries import QUERIES
+
+    random.seed(12)
+    texts = {i: "".join(random.choices(["word ", "end. ", "x", "\n\n"], [50, w, 50, w / 3], k=random.randint(10, 25_000))) for i, w in enumerate([0, 0.01, 0.1, 1, 10] * 4)}
+    texts |= {100: " " * 40_000, 101: "tiny", 102: "", 103: "z" * 12_000, 104: "z" * 12_001}
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: r["n"] for r in QUERIES["chunk_counts_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: n for i, t in texts.items() if (n := _count_chunks(t))} and max(got.values()) > 5
+
+
 def test_split_outside(spark):
     df = spark.createDataFrame([("a; b+c (d;e) [f+g]; ) ; h",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(tx.split_outside(F.col("t"))).collect()]
