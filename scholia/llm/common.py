@@ -4,29 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts can be long, so a batch stays far below Spark's default of 10,000 rows.
 ARROW_ROWS = 256
 #: A side of at most so many rows of a few dozen bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: The same for rows of any width, whose bytes are added up.
+BROADCAST_BYTES = 1 << 25
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and make sure that a checkpoint folder exists (the cluster's own, if it names one)."""
+    """Bound Arrow batches (in the session: a query is executed after it was returned) and see to a checkpoint folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     scratch_root(spark)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a folder of
+    its own, a cluster an error."""
     sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
@@ -43,8 +49,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores behind it while columns have it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has few rows (counted, not estimated), else with a merge hint."""
+    """df with a broadcast hint if it has few rows (counted, not estimated), else with a merge hint. Its rows are a few
+    numbers wide: texts and lists are never joined by this."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
 
@@ -53,61 +68,116 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node in an edge; component is the smallest node of its group.
 
     Alternating large-star and small-star steps over a shrinking edge table; each step is a grouped minimum and a
-    join, so no group is ever gathered. Ends when a round changes nothing. Self-loops and null ends are ignored.
+    join, so no group is ever gathered. The minima of few nodes are broadcast; of many, those of nodes with many edges
+    are, and only the rest is shuffled. Ends when a round changes nothing. Self-loops and null ends are ignored.
     """
     e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     e = e.checkpoint()
-    before = None
+    before, n = None, e.count()
+
+    def with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
+        if 2 * n <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(low.drop("n")), "u")
+        return join_hot(rows, materialise(low, "lowest"), "u", "m", "n").where("m is not null")
+
     while True:
         both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))  # v is a neighbour of u
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").hint("merge").join(low, "u").select(F.col("m").alias("v"), F.col("v").alias("u"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.hint("merge").join(low, "u").select(F.col("m").alias("m"), F.explode(F.array("u", "v")).alias("u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = with_low(both.where("v > u"), low).select(F.col("m").alias("v"), F.col("v").alias("u"))
+        large = large.where("u <> v").distinct().checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_low(large, low).select(F.col("m").alias("m"), F.explode(F.array("u", "v")).alias("u"))
         e = small.where("u <> m").select(F.col("m").alias("v"), "u").distinct().checkpoint()
         state = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before:
             break
-        before = state
+        before, n = state, state[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
-def bucket_pairs(nodes: DataFrame, m: int, bucket: int, depth: int, close) -> DataFrame:
-    """(a, b), a < b: pairs of nodes (node, s), s an array of m keys, that share a bucket (an equal s[i]) and are close.
+#: From (s, key, state): the buckets (array of (key, state)) that a row of a bucket is dealt to.
+Split = Callable[[], Column]
+
 
-    close(s of one, s of the other) is a Column. Buckets of at most `bucket` nodes look at all their pairs, inside an
-    array that long; only close ones become rows. In a larger bucket every node is compared with the hub, the node whose
-    buckets hold the most nodes over all of s, and the bucket is split by its nodes' next key, `depth` times in all; what
-    is still large then is chained in the order of s. So a node meets at most bucket + 2 others a level.
+def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], bucket: int, *, rare: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Links among nodes (node, s) and their groups: ((a, b, ...) that verify found, (node, component)).
+
+    Two nodes are candidates if close(s of one, s of the other), a Column. splits[0] must put any two candidates into a
+    common bucket, and each further split any two of a bucket into a common smaller one. verify((a, b)) gives those
+    candidates that are links. The groups are exact: the same as if every candidate had been verified.
+
+    In a bucket of at most `bucket` nodes all candidates are verified. In a larger one each node is first held against
+    the hub, the node whose buckets hold the most nodes; that joins most of a family of copies. Two nodes that are in
+    one group by now need no look at each other, so only buckets with nodes of several groups are split further, and
+    only pairs of different groups become candidates there. What is still large after the last split is compared in
+    chunks of `bucket` nodes, each with each. So no group is gathered, and a family's pairs are not all made.
+    rare: most buckets of splits[0] have one node, so s is joined to the rest after these are dropped.
     """
-    keys = nodes.select("node", "s", F.posexplode("s").alias("i", "v")).select("node", "s", "i", F.xxhash64("i", "v").alias("key"))
-    sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    shared = materialise(keys.join(small_or_shuffled(sizes), "key"), "shared-buckets")
-    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    level = shared.drop("n").hint("merge").join(weight, "node")
-    pairs, x = None, F.struct("node", "s").alias("x")
-    for step in range(depth):
-        level = materialise(level, f"buckets-{step}")
-        hub = F.max_by(x, F.struct("weight", F.xxhash64("node"))).alias("hub")
-        groups = materialise(level.groupBy("key").agg(F.count("*").alias("n"), hub).where("n > 1"), f"groups-{step}")
-        few = groups.where(F.col("n") <= bucket).select("key")
-        many = groups.where(F.col("n") > bucket).select("key", "hub")
-        lists = level.select("key", x).hint("merge").join(few, "key").groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("l"))
-        own = lists.select(F.posexplode("l").alias("j", "a"), "l").where(F.col("j") < F.size("l") - 1)
-        ahead = F.filter(F.slice("l", F.col("j") + 2, F.size("l")), lambda y: close(F.col("a.s"), y["s"]))
-        own = own.select("a.node", F.explode(F.transform(ahead, lambda y: y["node"])).alias("b")).select(F.col("node").alias("a"), "b")
-        large = level.hint("merge").join(many, "key")
-        star = large.where((F.col("node") != F.col("hub.node")) & close(F.col("s"), F.col("hub.s")))
-        star = star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        pairs = own.union(star) if pairs is None else pairs.union(own).union(star)
-        following = F.get("s", F.pmod(F.col("i") + step + 1, F.lit(m)))
-        level = large.select("node", "s", "weight", "i", F.xxhash64("key", following).alias("key"))
-    # the salt splits a last bucket that may hold much of the corpus; its parts are still tied by the hub
-    w = Window.partitionBy("key", "salt").orderBy("s", "node")
-    chain = level.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(64))).withColumn("b", F.lead(x).over(w))
-    chain = chain.where("b is not null").where(close(F.col("s"), F.col("b.s")))
-    return pairs.union(chain.select(F.least("node", "b.node").alias("a"), F.greatest("node", "b.node").alias("b"))).distinct()
+    level = nodes.select("node", "s", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("state"))
+    own, found, groups = ["node", "s"], None, None
+    for depth, split in enumerate(splits):
+        level = level.select(*own, F.inline(split()))
+        if rare and not depth:
+            shared = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+            level = materialise(level.select("key", "node", "state").join(small_or_shuffled(materialise(shared, "shared-keys")), "key", "left_semi"), "shared-buckets")
+            level = level.hint("merge").join(nodes, "node").select(*own, "key", "state")
+        counts = [F.count("*").alias("n"), *([F.min("label").alias("lo"), F.max("label").alias("hi")] if depth else [])]
+        sizes = level.groupBy("key").agg(*counts)
+        many = materialise(sizes.where("lo <> hi" if depth else "true").where(F.col("n") > bucket).select("key", "n"), f"large-buckets-{depth}")
+        n_many = many.count()
+        few = level.join(small_or_shuffled(many.select("key"), n_many), "key", "left_anti")
+        apart = (lambda x, y: F.col(f"{x}.label") != F.col(f"{y}.label")) if depth else (lambda x, y: F.lit(True))
+        both = few.alias("x").hint("merge").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & apart("x", "y") & close(F.col("x.s"), F.col("y.s")))
+        pairs = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        if n_many:
+            large = materialise(level.join(small_or_shuffled(many, n_many), "key"), f"large-{depth}")
+            pairs = pairs.union(_chunk_pairs(large, bucket, apart, close) if depth == len(splits) - 1 else _hub_pairs(large, apart, close))
+        pairs = materialise(pairs.distinct(), f"candidates-{depth}")
+        if found is None or not pairs.isEmpty():
+            links = verify(pairs)
+            found = links if found is None else found.union(links)
+            groups = materialise(connected_components(found), f"groups-{depth}")
+        if not n_many or depth == len(splits) - 1:
+            break
+        large = large.drop("label").join(small_or_shuffled(groups), "node", "left").withColumn("label", F.coalesce("component", "node"))
+        alive = materialise(large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), f"unsettled-{depth}")
+        if alive.isEmpty():
+            break
+        own = ["node", "s", "label"]
+        level = materialise(large.join(small_or_shuffled(alive), "key", "left_semi").select(*own, "key", "state"), f"level-{depth}")
+    return found, groups
+
+
+def _hub_pairs(large: DataFrame, apart, close) -> DataFrame:
+    weight = large.groupBy("node").agg(F.sum("n").alias("weight"))
+    hub = F.max_by(F.struct("node", "s", *(["label"] if "label" in large.columns else [])), F.struct("weight", F.xxhash64("node"))).alias("y")
+    hubs = large.hint("merge").join(weight, "node").groupBy("key").agg(hub, F.count("*").alias("n"))
+    star = join_hot(large.drop("n"), materialise(hubs, "hubs"), "key", "y", "n").alias("x")
+    star = star.where((F.col("x.node") != F.col("y.node")) & apart("x", "y") & close(F.col("x.s"), F.col("y.s")))
+    return star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _chunk_pairs(large: DataFrame, bucket: int, apart, close) -> DataFrame:
+    chunks = F.ceil(F.col("n") / bucket)
+    rows = large.withColumn("own", F.pmod(F.xxhash64("node"), chunks))
+    left = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).alias("x")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.own"))
+    once = (F.col("x.own") > F.col("y.own")) | (F.col("x.node") < F.col("y.node"))
+    both = left.hint("merge").join(rows.alias("y"), same & once & apart("x", "y") & close(F.col("x.s"), F.col("y.s")))
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def join_ends(pairs: DataFrame, right: DataFrame, end: str, other: str, value: str, into: str, most: int = 64) -> DataFrame:
+    """pairs with right's value (node, value) of the node in the column end. A node in over `most` pairs is dealt out:
+    its value is copied once for every `most` pairs, so that no task gets all pairs of a node."""
+    counted = pairs.groupBy(end).agg(F.ceil(F.count("*") / most).alias("copies")).where("copies > 1")
+    hot = small_or_shuffled(materialise(counted, "hot-ends"))
+    chunk = F.when(F.col("copies").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(other), F.col("copies")))
+    rows = pairs.join(hot, end, "left").withColumn("chunk", chunk).drop("copies")
+    last = F.coalesce(F.col("copies"), F.lit(1).cast("long")) - 1
+    values = right.select(F.col("node").alias(end), F.col(value).alias(into)).join(hot, end, "left")
+    values = values.select(end, into, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    return rows.hint("merge").join(values, [end, "chunk"]).drop("chunk")
 
 
 def join_hot(rows: DataFrame, right: DataFrame, key: str, value: str, n: str) -> DataFrame:

@@ -8,14 +8,14 @@ The similarity of two texts is L / (n + m - L), L the longest common subsequence
 word sequences; 0.8 or more is a link. Two texts that reach it have L within a diagonal band, so the alignment looks at
 that band alone (bit-parallel, exact).
 
-No group is gathered and no group's pairs are all made. Equal texts are one class from the start. Texts that share a
-sketch form a bucket; in a bucket of at most `BUCKET` texts all pairs are candidates. In a larger one each text is paired
-with the bucket's hub, the text whose sketches are the most common in the whole corpus (the original of a family of
-edits), and the bucket is split by the next sketch, again and again, `DEPTH` times; its members are also chained in the
-order of all their sketches. A candidate pair must share `SHARED` sketches. Links make classes by connected components.
+Equal texts are one class from the start. Texts that share a sketch form a bucket, and two texts that share `SHARED`
+sketches are candidates. `common.bucket_links` verifies all candidates, but for those in large buckets whose texts are
+in one class already; it splits large buckets by second and third shared sketches. So the classes are those that all
+candidates would give, and no group is gathered.
 
 Defined cases: null text is in no class but its own and never a copy; texts without a word are copies only of equal
-texts; rows with the same doc_id count as one document (its least text); null doc_id gets no row in classes.
+texts; rows with the same doc_id count as one document (the text of least SHA-256); null doc_id gets no row in classes; an empty
+table gives no rows. Only doc_id and text are read, other columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, THRESHOLD, SKETCHES, PICK, BUCKET, DEPTH, SHARED = 5, 0.8, 16, 2, 24, 3, 3
+SHINGLE, THRESHOLD, SKETCHES, PICK, BUCKET, SHARED = 5, 0.8, 16, 2, 24, 3
 _SEEDS = [(0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(64)]
 
 
@@ -117,7 +117,7 @@ def shingle_lists(texts: list[str]) -> list[list[int]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(node, text_hash, s, n) of each different text: node is its least doc_id, s its sketches, n how many documents."""
+    """(doc_id, text_hash, s) of every row with a doc_id and a text; s: its sketches."""
     rows = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("text_hash", F.sha2(F.encode("text", "UTF-8"), 256))
 
@@ -132,22 +132,25 @@ def share_enough(s: Column, t: Column) -> Column:
     return F.size(F.filter(F.zip_with(s, t, lambda x, y: x == y), lambda x: x)) >= SHARED
 
 
-def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity): verified links between different texts, by node."""
-    spark = docs.sparkSession
-    pairs = common.materialise(common.bucket_pairs(nodes.where("s[0] <> 0"), SKETCHES, BUCKET, DEPTH, share_enough), "pairs")
+def by_sketch() -> Column:
+    """Buckets by one sketch more, of those behind the last one taken (state): candidates share `SHARED` of them."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: i >= F.col("state")), lambda i: F.struct(F.xxhash64("key", i, F.get("s", i)).alias("key"), (i + 1).cast("long").alias("state")))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): the pairs (a, b) of doc_ids whose texts are aligned to the threshold."""
     needed = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    texts = texts.join(common.small_or_shuffled(needed), "doc_id", "left_semi")
+    texts = texts.join(common.small_or_shuffled(needed), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.sha2(F.encode("text", "UTF-8"), 256)).alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             h, n = common.shingles(*common.word_hashes(pdf["text"].tolist()), SHINGLE)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": [x.tobytes() for x in np.split(h.astype(np.uint32), np.cumsum(n)[:-1])]})
+            yield pd.DataFrame({"node": pdf["doc_id"], "h": [x.tobytes() for x in np.split(h.astype(np.uint32), np.cumsum(n)[:-1])]})
 
-    packed = common.materialise(texts.mapInPandas(pack, "doc_id long, h binary"), "shingles")
-    both = pairs.hint("merge").join(packed.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a")
-    both = both.hint("merge").join(packed.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
+    packed = common.materialise(texts.mapInPandas(pack, "node long, h binary"), "shingles")
+    both = common.join_ends(pairs, packed, "a", "b", "h", "ha")
+    both = common.join_ends(both, packed, "b", "a", "h", "hb")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,23 +158,27 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> Da
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": got})
             yield out[out["similarity"] > 0]
 
-    out = both.select("a", "b", "ha", "hb").mapInPandas(verify, "a long, b long, similarity double")
-    return common.materialise(out.dropDuplicates(["a", "b"]), "links")
+    return common.materialise(both.select("a", "b", "ha", "hb").mapInPandas(verify, "a long, b long, similarity double"), "links")
+
+
+def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) of verified links between different texts, by node, and (node, component)."""
+    found = nodes.where("s[0] <> 0")  # texts with a word
+    return common.bucket_links(found, [by_sketch] * SHARED, share_enough, lambda pairs: verified(docs, pairs, threshold), BUCKET, rare=True)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_links): class_id is the least doc_id of the class, n_links the links of the document's text
-    to different texts that were verified. One row a document with a doc_id and a text."""
+    """(doc_id, class_id): class_id is the least doc_id of the class. One row a document with a doc_id and a text."""
     every = common.materialise(signatures(docs), "signatures")
+    least = common.materialise(every.groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most"), "repeated-ids")
+    every = every.join(common.small_or_shuffled(least.select("doc_id", "least")), "doc_id", "left").where("least is null or least = text_hash")
     nodes = common.materialise(every.groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.first("s").alias("s")), "nodes")
-    found = links(docs, nodes.select("node", "s"), threshold)
-    groups = common.connected_components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    # the few texts with links are joined to the texts, not to the documents
-    by_text = nodes.select("text_hash", "node").hint("merge").join(groups, "node", "left").join(degree.hint("merge"), "node", "left")
-    by_text = by_text.select("text_hash", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    by_text = common.materialise(by_text, "classes")
-    return every.select("doc_id", "text_hash").hint("merge").join(by_text, "text_hash").select("doc_id", "class_id", "n_links").dropDuplicates(["doc_id"])
+    _, groups = links(docs, nodes.select("node", "s"), threshold)
+    by_text = nodes.select("text_hash", "node").join(common.small_or_shuffled(groups), "node", "left")
+    by_text = common.materialise(by_text.select("text_hash", F.coalesce("component", "node").alias("class_id")), "classes")
+    # a text may have very many copies: rows of the same text are dealt out by their number
+    copies = common.materialise(every.groupBy("text_hash").agg(F.count("*").alias("n")).join(by_text.hint("merge"), "text_hash"), "copies")
+    return common.join_hot(every.select("doc_id", "text_hash"), copies, "text_hash", "class_id", "n").select("doc_id", "class_id").dropDuplicates(["doc_id"])
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

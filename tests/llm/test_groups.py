@@ -84,11 +84,8 @@ def _norm(line):
 
 
 def _simhash(words):
-    hashes = []
-    for w in words:
-        a = xxhash.xxh64(w.encode(), seed=42).intdigest()
-        hashes.append(a | xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest() << 64)
-    return sum(1 << i for i in range(128) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
 
 
 def _levenshtein(a, b):
@@ -113,7 +110,7 @@ def test_lines_by_brute_force(spark, documents):
                 words[random.randrange(len(words))] = random.choice(["zz", "w7"])
             lines.append(random.choice([" ", ""]) + " ".join(words) + random.choice(["", ".", "!"]))
         rows.append((i, "\n".join([*lines, "", "Unique line %d" % i, "Common line.", "---"])))
-    rows += [(40, None), (41, ""), (None, "Common line."), (42, "Common line."), (43, "long " * 20_000)]
+    rows += [(40, None), (41, ""), (None, "Common line."), (42, "Common line."), (43, "long " * 20_000), (44, "Common line."), (44, "Common line."), (45, " ".join(f"v{i % 300}" for i in range(700))), (45, " ".join(f"v{i % 300}" for i in range(700)))]
     first, where = {}, {}
     for i, t in rows:
         for j, line in enumerate((t or "").split("\n")):
@@ -132,6 +129,79 @@ def test_lines_by_brute_force(spark, documents):
     assert edges and sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_simhash_by_definition(spark, documents):
+    """Lines about as long as a part and as two, words repeated, a row twice."""
+    random.seed(14)
+    rows = [(n, " ".join(random.choice(["a", "b", "c", f"x{random.randrange(50)}"]) for _ in range(n))) for n in (1, 2, 3, 126, 127, 128, 129, 253, 254, 255, 381, 1000)]
+    rows.append(rows[-1])
+    got = {(r["doc_id"], r["sig"] & (1 << 64) - 1) for r in line_dedup.signed_lines(documents(rows)).collect()}
+    assert got == {(i, _simhash(t.split(" "))) for i, t in rows}
+
+
+def _flip(x, bits):
+    for b in bits:
+        x ^= 1 << b
+    return x
+
+
+def test_every_pair_of_a_large_bucket(spark):
+    """Pairs at distance 3 that share one block alone, all in one bucket: none is lost, whatever the bucket's size."""
+    random.seed(15)
+    block, values = 0xBEEF, []
+    for _ in range(600):
+        x = random.getrandbits(48) << 16 | block
+        values += [x, _flip(x, [random.randrange(16 * i, 16 * i + 16) for i in (1, 2, 3)])]
+    signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
+    nodes = spark.createDataFrame(signed, "node long, s long")
+    close = lambda s, t: F.bit_count(s.bitwiseXOR(t)) <= 3
+    splits = [line_dedup.by_block(bits) for bits in line_dedup._LEFT]
+    want = {(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 3}
+    for size in (2000, 256, 8):
+        found, groups = common.bucket_links(nodes, splits, close, lambda pairs: pairs, size)
+        assert {tuple(r) for r in found.collect()} == want and len(want) >= 600
+        assert {r["node"]: r["component"] for r in groups.collect()} == _components(range(len(values)), want)
+
+
+def test_groups_of_dense_buckets(spark):
+    """Families that share all blocks but the last bits, and links that only some pairs have: groups as of all pairs."""
+    random.seed(16)
+    values = [random.choice([0, 7 << 40, 0xFFFF << 20]) ^ random.getrandbits(9) for _ in range(500)]
+    nodes = spark.createDataFrame(list(enumerate(values)), "node long, s long")
+    close = lambda s, t: F.bit_count(s.bitwiseXOR(t)) <= 3
+    links = lambda a, b: (values[a] ^ values[b]).bit_count() <= 3 and (a + b) % 7 == 0
+    splits = [line_dedup.by_block(bits) for bits in line_dedup._LEFT]
+    for size in (1000, 16):
+        _, groups = common.bucket_links(nodes, splits, close, lambda pairs: pairs.where("(a + b) % 7 = 0"), size)
+        got = {r["node"]: r["component"] for r in groups.collect()}
+        edges = [(a, b) for a, b in itertools.combinations(range(len(values)), 2) if links(a, b)]
+        want = _components(range(len(values)), edges)
+        assert all(got.get(i, i) == want[i] for i in want)
+
+
+def test_templates_with_a_near_copy_each(spark, documents):
+    """Texts of one template that are no copies of each other (below the threshold), each with one near copy."""
+    random.seed(17)
+    fixed, rows = [f"t{i}" for i in range(180)], []
+    for k in range(120):
+        own = [*fixed, *[f"k{k}x{i}" for i in range(30)]]
+        copy = list(own)
+        copy[random.randrange(10, 160)] = "changed"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+    lists = near_duplicates.shingle_lists([t for _, t in rows])
+    edges = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if near_duplicates.aligned(lists[a], lists[b]) > 0]
+    assert {(2 * k, 2 * k + 1) for k in range(120)} <= set(edges) and len(edges) < 2000
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(documents(rows)).collect()}
+    assert got == _components(range(len(rows)), edges)
+
+
+def test_names_that_clash(spark, documents):
+    rows = documents([(1, "one line here\nand two"), (2, "one line here"), (None, None)])
+    odd = rows.select("*", F.lit(1).alias("gone"), F.lit(2).alias("__gone"), F.lit(3).alias("N_LINES"), F.lit(4).alias("node"), F.lit(5).alias("class_id"))
+    out = line_dedup.stage(spark, odd, "")
+    assert out.columns == odd.columns and sorted(map(str, [r["text"] for r in out.collect()])) == ["", "None", "one line here\nand two"]
+    assert near_duplicates.keep_one(odd).columns == odd.columns
+
+
 def test_lines_of_an_empty_table(spark, documents):
     assert line_dedup.dedup_lines(documents([])).count() == 0
     assert near_duplicates.classes(documents([])).count() == 0
