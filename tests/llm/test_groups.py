@@ -84,8 +84,11 @@ def _norm(line):
 
 
 def _simhash(words):
-    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
-    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+    hashes = []
+    for w in words:
+        a = xxhash.xxh64(w.encode(), seed=42).intdigest()
+        hashes.append(a | xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest() << 64)
+    return sum(1 << i for i in range(128) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
 
 
 def _levenshtein(a, b):
@@ -134,7 +137,8 @@ def test_simhash_by_definition(spark, documents):
     random.seed(14)
     rows = [(n, " ".join(random.choice(["a", "b", "c", f"x{random.randrange(50)}"]) for _ in range(n))) for n in (1, 2, 3, 126, 127, 128, 129, 253, 254, 255, 381, 1000)]
     rows.append(rows[-1])
-    got = {(r["doc_id"], r["sig"] & (1 << 64) - 1) for r in line_dedup.signed_lines(documents(rows)).collect()}
+    full = (1 << 64) - 1
+    got = {(r["doc_id"], r["lo"] & full | (r["hi"] & full) << 64) for r in line_dedup.signed_lines(documents(rows)).collect()}
     assert got == {(i, _simhash(t.split(" "))) for i, t in rows}
 
 
@@ -144,20 +148,22 @@ def _flip(x, bits):
     return x
 
 
+def _signed(spark, values):
+    half = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(i, (half(v & (1 << 64) - 1), half(v >> 64))) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "node long, s struct<lo: long, hi: long>")
+
+
 def test_every_pair_of_a_large_bucket(spark):
     """Pairs at distance 3 that share one block alone, all in one bucket: none is lost, whatever the bucket's size."""
     random.seed(15)
-    block, values = 0xBEEF, []
-    for _ in range(600):
-        x = random.getrandbits(48) << 16 | block
-        values += [x, _flip(x, [random.randrange(16 * i, 16 * i + 16) for i in (1, 2, 3)])]
-    signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
-    nodes = spark.createDataFrame(signed, "node long, s long")
-    close = lambda s, t: F.bit_count(s.bitwiseXOR(t)) <= 3
-    splits = [line_dedup.by_block(bits) for bits in line_dedup._LEFT]
+    values = []
+    for k in range(600):
+        x = random.getrandbits(128) >> 32 << 32 | 0xDEADBEEF
+        values += [x, _flip(x, [random.randrange(32 * i, 32 * i + 32) for i in (1, 2, 3)])]
     want = {(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 3}
-    for size in (2000, 256, 8):
-        found, groups = common.bucket_links(nodes, splits, close, lambda pairs: pairs, size)
+    for size in (2000, 64):
+        found, groups = common.bucket_links(_signed(spark, values), [line_dedup.by_block, line_dedup.by_rest], line_dedup.near(3), lambda pairs: pairs, size)
         assert {tuple(r) for r in found.collect()} == want and len(want) >= 600
         assert {r["node"]: r["component"] for r in groups.collect()} == _components(range(len(values)), want)
 
@@ -165,16 +171,12 @@ def test_every_pair_of_a_large_bucket(spark):
 def test_groups_of_dense_buckets(spark):
     """Families that share all blocks but the last bits, and links that only some pairs have: groups as of all pairs."""
     random.seed(16)
-    values = [random.choice([0, 7 << 40, 0xFFFF << 20]) ^ random.getrandbits(9) for _ in range(500)]
-    nodes = spark.createDataFrame(list(enumerate(values)), "node long, s long")
-    close = lambda s, t: F.bit_count(s.bitwiseXOR(t)) <= 3
-    links = lambda a, b: (values[a] ^ values[b]).bit_count() <= 3 and (a + b) % 7 == 0
-    splits = [line_dedup.by_block(bits) for bits in line_dedup._LEFT]
-    for size in (1000, 16):
-        _, groups = common.bucket_links(nodes, splits, close, lambda pairs: pairs.where("(a + b) % 7 = 0"), size)
+    values = [random.choice([0, 7 << 40, 0xFFFF << 80]) ^ random.getrandbits(9) for _ in range(500)]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 3 and (a + b) % 7 == 0]
+    want = _components(range(len(values)), edges)
+    for size, rare in ((1000, False), (16, True)):
+        _, groups = common.bucket_links(_signed(spark, values), [line_dedup.by_block, line_dedup.by_rest], line_dedup.near(3), lambda pairs: pairs.where("(a + b) % 7 = 0"), size, rare=rare)
         got = {r["node"]: r["component"] for r in groups.collect()}
-        edges = [(a, b) for a, b in itertools.combinations(range(len(values)), 2) if links(a, b)]
-        want = _components(range(len(values)), edges)
         assert all(got.get(i, i) == want[i] for i in want)
 
 
