@@ -10,7 +10,8 @@ segmentation of a text is one of each of its words, and the text's N best follow
 lies closest to their best: A* runs over these words. A vocabulary without that property is searched text by text.
 
 Defined cases: null text counts as empty and gives no piece and one segmentation, the empty one; equal scores come in
-the order of the search, the Viterbi path first, which depends on the text alone; a text may have fewer than N segmentations.
+the order of the search, the Viterbi path first, which depends on the text alone; a text may have fewer than N segmentations; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,7 +32,7 @@ _LOW = float("-inf")
 
 
 class Vocabulary:
-    def __init__(self, model_file: str, most: int = 500_000):
+    def __init__(self, model_file: str, most: int = 1_000_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file, num_threads=1)
@@ -53,7 +54,7 @@ class Vocabulary:
                 below = node[1]
             node[0] = (i, score)
         self.unknown = least - UNKNOWN
-        self.joined = {pair for p in self.pieces for pair in zip(p, p[1:], strict=False)}
+        self.joined = {p[i - 1 : i + 1] for p in self.pieces for i in range(1, len(p))}
         self.text = [bytes([self.byte_ids[i]]) if i in self.byte_ids else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.known: dict[str, tuple[bytes, float, float]] = {}
@@ -122,7 +123,8 @@ class Vocabulary:
         all such places and its parts are solved one by one."""
         known = self.known.get(word)
         if known is None:
-            cuts = [i for i in range(1, len(word)) if (word[i - 1], word[i]) not in self.joined]
+            joined = self.joined
+            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
             if cuts and len(word) > 2:
                 own = [self.solve(word[i:j]) for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
                 known = (b"".join([x[0] for x in own]), sum([x[1] for x in own]), min([x[2] for x in own]))
@@ -175,8 +177,9 @@ class Vocabulary:
             held += SPACE + x
         return [*out, held]
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[tuple[float, bytes]]]:
-        """(ids of the best segmentation as uint32 bytes, (score, ids) of the n best, the first of them that one)."""
+    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[tuple[float, bytes, list[tuple[int, int, bytes]]]]]:
+        """(ids of the best segmentation as uint32 bytes, (score, ids, changes) of the n best, the first of them that
+        one). changes: (place, how many ids of the best go, ids that come), from the last place to the first."""
         known = self.known
         if len(known) > self.most:
             known.clear()
@@ -186,7 +189,8 @@ class Vocabulary:
             for k, x in enumerate(got):
                 if x is None:
                     got[k] = self.solve(words[k])
-        ids = b"".join([x[0] for x in got])
+        parts = [x[0] for x in got]
+        ids = b"".join(parts)
         score = sum([x[1] for x in got])
         # only the n - 1 words with the closest second best can differ in one of the n best
         gaps = [x[2] for x in got]
@@ -196,13 +200,18 @@ class Vocabulary:
             own, base = got[k][0], got[k][1]
             # equal scores: the segmentation that stands in ids comes first
             options = [(o, x) for o, x in ((o, np.array(x, "<u4").tobytes()) for o, x in self.n_best(words[k], n)) if x != own]
-            options = [(base, own), *options][:n]
-            totals = heapq.nlargest(n, [(s + o - base, {**c, k: x}) for s, c in totals for o, x in options], key=lambda t: t[0])
-        best = [(score, ids)]
-        if len(totals) > 1:
-            parts = [x[0] for x in got]
-            for s, c in totals[1:]:
-                best.append((s, b"".join([c.get(k, x) for k, x in enumerate(parts)])))
+            options = [(base, None), *options][:n]
+            totals = heapq.nlargest(n, [(s + o - base, c if x is None else {**c, k: x}) for s, c in totals for o, x in options], key=lambda t: t[0])
+        best = [(score, ids, [])]
+        places = {k: sum(map(len, parts[:k])) for k in closest} if len(totals) > 1 else {}
+        for s, c in totals[1:]:
+            changes, whole, end = [], [], len(ids)
+            for k in sorted(c, reverse=True):
+                begin, size = places[k], len(parts[k])
+                changes.append((begin // 4, size // 4, c[k]))
+                whole += [ids[begin + size : end], c[k]]
+                end = begin
+            best.append((s, b"".join([ids[:end], *reversed(whole)]), changes))
         return ids, best
 
     def decode(self, ids: list[int]) -> str:
@@ -210,15 +219,10 @@ class Vocabulary:
         text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
-    def same_text(self, a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether two id lists stand for the same bytes. Equal ends do, so what lies between them is compared."""
-        n = min(len(a), len(b))
-        unlike = np.flatnonzero(a[:n] != b[:n])
-        head = int(unlike[0]) if len(unlike) else n
-        unlike = np.flatnonzero(a[::-1][: n - head] != b[::-1][: n - head])
-        tail = int(unlike[0]) if len(unlike) else n - head
-        one, other = (b"".join([self.text[i] for i in x[head : len(x) - tail].tolist()]) for x in (a, b))
-        return one == other
+    def same_text(self, ids: np.ndarray, changes: list[tuple[int, int, bytes]]) -> bool:
+        """Whether the ids that come stand for the same bytes as those that go."""
+        spell = lambda x: b"".join([self.text[i] for i in x.tolist()])
+        return all(spell(ids[at : at + n]) == spell(np.frombuffer(new, "<u4")) for at, n, new in changes)
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -230,37 +234,43 @@ def vocabulary(model_file: str) -> Vocabulary:
     return _VOCABULARIES[model_file]
 
 
-_RUN = "ids array<int>, ids_crc32 long, score double, n_best array<struct<score: double, n_pieces: int, ids_crc32: long, begin: int>>, round_trip boolean"
+_BEST = "array<struct<score: double, n_pieces: int, ids_crc32: long, changes: array<struct<place: int, n: int, ids: array<int>>>>>"
 
 
 def encode(docs: DataFrame, model_file: str, n: int = N_BEST, prefix: str = "") -> DataFrame:
-    """docs with piece_ids, n_pieces, ids_crc32, score, n_best (score, n_pieces, ids_crc32, piece_ids of each of the n
-    best) and round_trip: whether the ids of each of them give the text back."""
+    """docs with piece_ids, n_pieces, ids_crc32, score, n_best and round_trip: whether the ids of each give the text back.
 
-    @F.pandas_udf(_RUN)
+    n_best has score, n_pieces, ids_crc32 and changes of each of the n best. Its segmentations share most of their ids
+    with the first one, so each is kept as what changes in piece_ids; `segmentation` gives all ids of one.
+    Columns of docs that are named like one of these are replaced.
+    """
+
+    @F.pandas_udf(f"piece_ids array<int>, n_pieces long, ids_crc32 long, score double, n_best {_BEST}, round_trip boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
         v = vocabulary(model_file)
         out = []
         for t in texts:
             t = t or ""
             data, best = v.encode(t, n)
-            lists = [np.frombuffer(x, "<u4") for _, x in best]
-            same = v.decode(lists[0].tolist()) == t.replace(SPACE, " ") and all(v.same_text(lists[0], x) for x in lists[1:])
-            rows, begin = [], 1
-            for (s, x), i in zip(best, lists, strict=True):
-                rows.append({"score": s, "n_pieces": len(i), "ids_crc32": zlib.crc32(x), "begin": begin})
-                begin += len(i)
-            # one flat list a text: lists inside structs inside lists are converted element by element
-            out.append((np.concatenate(lists).astype(np.int32), rows[0]["ids_crc32"], best[0][0], rows, same))
-        return pd.DataFrame(out, columns=["ids", "ids_crc32", "score", "n_best", "round_trip"])
-
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    r = lambda c: F.col(f"__scholia_pieces.{c}")
-    ids = lambda b: F.slice(r("ids"), b["begin"], b["n_pieces"])
-    best = F.transform(r("n_best"), lambda b: F.struct(b["score"].alias("score"), b["n_pieces"].alias("n_pieces"), b["ids_crc32"].alias("ids_crc32"), ids(b).alias("piece_ids")))
-    first = F.get(r("n_best"), F.lit(0))
-    own = {"piece_ids": ids(first), "n_pieces": first["n_pieces"].cast("long"), "ids_crc32": r("ids_crc32"), "score": r("score"), "n_best": best, "round_trip": r("round_trip")}
-    return docs.select(*names, run("text").alias("__scholia_pieces")).select(*names, *[c.alias(prefix + name) for name, c in own.items()])
+            ids = np.frombuffer(data, "<u4").astype(np.int32)
+            same = v.decode(ids.tolist()) == t.replace(SPACE, " ") and all(v.same_text(ids, c) for _, _, c in best)
+            rows = [{"score": s, "n_pieces": len(x) // 4, "ids_crc32": zlib.crc32(x), "changes": [{"place": at, "n": k, "ids": np.frombuffer(new, "<u4").tolist()} for at, k, new in c]} for s, x, c in best]
+            out.append((ids, len(ids), rows[0]["ids_crc32"], best[0][0], rows, same))
+        return pd.DataFrame(out, columns=["piece_ids", "n_pieces", "ids_crc32", "score", "n_best", "round_trip"])
+
+    own = ("piece_ids", "n_pieces", "ids_crc32", "score", "n_best", "round_trip")
+    names = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {prefix + x for x in own}]
+    result = common.free_name(docs.columns, "pieces")
+    return docs.select(*names, run("text").alias(result)).select(*names, *[F.col(f"{result}.{c}").alias(prefix + c) for c in own])
+
+
+def segmentation(piece_ids: Column, changes: Column) -> Column:
+    """All ids of one of the n best: piece_ids with its changes made (they come from the last place to the first)."""
+
+    def change(ids: Column, c: Column) -> Column:
+        return F.concat(F.slice(ids, F.lit(1), c["place"]), c["ids"], F.slice(ids, c["place"] + c["n"] + 1, F.size(ids)))
+
+    return F.aggregate(changes, piece_ids, change)
 
 
 def decode(rows: DataFrame, model_file: str, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
@@ -279,9 +289,9 @@ def op9_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     common.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text", "piece_ids")
+    rows = encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     # ids are given as digests
-    return rows.withColumn("n_best", F.transform("n_best", lambda b: b.dropFields("piece_ids")))
+    return rows.select("doc_id", "n_pieces", "ids_crc32", "score", F.transform("n_best", lambda b: b.dropFields("changes")).alias("n_best"), "round_trip")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

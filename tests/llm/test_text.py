@@ -131,7 +131,7 @@ def test_n_best_by_enumeration(vocabulary):
         text = "".join(random.choice(["th", "e", " ", "on", "a", "é", "日", "\n", "  ", ".", "▁"]) for _ in range(random.randint(0, 7)))
         every = _all_paths(vocabulary, vocabulary.model.normalize(text))
         ids, best = vocabulary.encode(text, 5)
-        assert [s for s, _ in best] == [s for s, _ in every[:5]]
+        assert [s for s, *_ in best] == [s for s, _ in every[:5]]
         assert np.frombuffer(ids, "<u4").tolist() in [p for s, p in every if s == every[0][0]]
         assert [s for s, _ in vocabulary.n_best(vocabulary.model.normalize(text), 5)] == [s for s, _ in every[:5]]
         assert vocabulary.decode(np.frombuffer(ids, "<u4").tolist()) == text.replace("▁", " ")
@@ -164,9 +164,14 @@ def test_n_best_ids(vocabulary):
         text = "".join(random.choice(["th", "e", " ", "on", "a", "é", "日", "\n", "  ", ".", "▁"]) for _ in range(random.randint(0, 7)))
         every = _all_paths(vocabulary, vocabulary.model.normalize(text))
         ids, best = vocabulary.encode(text, 5)
-        lists = [np.frombuffer(x, "<u4").tolist() for _, x in best]
+        lists = [np.frombuffer(x, "<u4").tolist() for _, x, _ in best]
+        for x, (_, _, changes) in zip(lists, best, strict=True):
+            changed = np.frombuffer(ids, "<u4").tolist()
+            for at, n, new in changes:
+                changed[at : at + n] = np.frombuffer(new, "<u4").tolist()
+            assert changed == x
         assert best[0][1] == ids and len({tuple(x) for x in lists}) == len(lists) == min(5, len(every))
-        assert all((s, x) in every for (s, _), x in zip(best, lists, strict=True))
+        assert all((s, x) in every for (s, *_), x in zip(best, lists, strict=True))
         assert all(vocabulary.decode(x) == text.replace("▁", " ") for x in lists)
 
 
@@ -175,12 +180,26 @@ def test_decode_operator(spark, documents):
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     texts = {1: "the other one, and another", 2: "", 3: "日本 é the end", 4: None}
-    rows = pieces.encode(documents(list(texts.items())), model).select("doc_id", "round_trip", F.explode("n_best").alias("b"))
-    got = pieces.decode(rows.select("doc_id", "round_trip", "b.piece_ids"), model).collect()
+    docs = documents(list(texts.items())).withColumn("Score", F.lit(1)).withColumn("pieces", F.lit(2))
+    rows = pieces.encode(docs, model)
+    assert rows.columns[:6] == [*docs.columns[:5], "pieces"] and rows.columns.count("score") == 1
+    rows = rows.select("doc_id", "round_trip", "piece_ids", F.explode("n_best").alias("b"))
+    rows = rows.select("doc_id", "round_trip", "b.n_pieces", pieces.segmentation(F.col("piece_ids"), F.col("b.changes")).alias("piece_ids"))
+    got = pieces.decode(rows, model).collect()
+    assert all(r["n_pieces"] == len(r["piece_ids"]) for r in got)
     assert all(r["round_trip"] and r["decoded"] == (texts[r["doc_id"]] or "") for r in got)
     assert len({tuple(r["piece_ids"]) for r in got if r["doc_id"] == 1}) == 4
 
 
+def test_counts_do_not_depend_on_slices(monkeypatch):
+    random.seed(12)
+    texts = ["".join(random.choice("abÉ İΣ, ") for _ in range(random.randint(0, 90))) for _ in range(200)]
+    whole = language_id.counts(texts)
+    for size in (1, 2, 3, 7, 30):
+        monkeypatch.setattr(language_id, "_SLICE", size)
+        assert (language_id.counts(texts) == whole).all()
+
+
 def test_noise_of_any_length_is_rejected(spark, documents):
     """Random letters of the learned and of foreign scripts, 20 to 20,000 characters; texts of the languages stay."""
     random.seed(11)
