@@ -32,7 +32,7 @@ SLACK, QUANTILE, ENOUGH = 0.7, 0.01, 20
 _PREFIXES = (6, 12, 25, 50, 100, 200, 400, 800, 1600, 3200, 6400, 12800)
 #: The struct that holds a prediction until it is unpacked.
 RESULT = "__scholia_prediction"
-#: Characters looked at in one step; a longer text is counted in slices.
+#: Characters looked at in one step; a longer text is counted in slices, to the same counts.
 _SLICE = 1 << 21
 _LETTERS: list[np.ndarray] = []
 
@@ -69,8 +69,11 @@ def counts(texts: list[str]) -> np.ndarray:
             out[group] = _count([texts[j] for j in group])
             group, size = [], 0
         if t is not None and len(t) > _SLICE:
-            for a in range(0, len(t), _SLICE):
-                out[i] += _count([t[a : a + _SLICE]])[0]
+            low = t.lower()
+            for a in range(0, len(low), _SLICE):
+                # slices overlap by two characters, whose own n-grams, false edges included, were counted twice
+                b = a + _SLICE
+                out[i] += _count([low[a : b + 2]])[0] - _count([low[b : b + 2]])[0]
         elif t is not None:
             group.append(i)
             size += len(t)
