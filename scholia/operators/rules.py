@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
@@ -61,21 +61,22 @@ def decompose(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> Da
     return hit.groupBy(key).agg(F.min_by(F.struct("cls", F.col("part").alias("term")), "pos").alias("m")).select(key, "m.cls", "m.term")
 
 
-def classify(rows: DataFrame, key: str, text: str, dictionary: DataFrame, codes: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
-    """(key, primary, method, confidence, all_classes): for each segment (cut at `;` and `+` outside brackets) its bracket
-    text in the dictionary, else a class code, else a part of the segment in the dictionary, else the best rule. primary
-    has the highest confidence, the earliest on ties; all_classes are in order of segments; `unknown` if none matches.
+def classify(rows: DataFrame, key: str, text: str, dictionary: DataFrame, codes: Sequence[str], rules: Sequence[Rule], inline: Sequence[Rule] = ()) -> DataFrame:
+    """(key, primary, method, confidence, all_classes): for each segment (cut at `;` and `+` outside brackets) the class
+    of its bracket text, else a class code, else the best of the rules, else the best of the inline rules: each is asked
+    only if those before it find nothing. primary has the highest confidence, the earliest on ties; all_classes are in order of segments; `unknown` if none matches.
     """
+    from .parsing import bracket_class
+
     seg = rows.select(key, F.posexplode_outer(tx.split_outside(F.coalesce(F.col(text), F.lit("")))).alias("seg", "s"))
-    bracket = F.lower(F.regexp_extract("s", r"\[([^\]]+)\]", 1))
-    seg = seg.withColumn("bracket", bracket).withColumn("nth", F.struct(key, "seg"))
-    known = sized(dictionary.select(F.col("key").alias("bracket"), F.col("cls").alias("bracket_cls")))
-    parts = decompose(seg.select("nth", "s"), "nth", "s", dictionary).select("nth", F.col("cls").alias("part_cls"))
-    seg = seg.join(known, "bracket", "left").join(parts.hint("merge"), "nth", "left")
-    rule = best_rule(F.coalesce(F.col("s"), F.lit("")), rules)
-    code = canonical(F.coalesce(F.col("s"), F.lit("")), codes)
+    seg = seg.withColumn("bracket", F.regexp_extract("s", r"\[([^\]]+)\]", 1)).withColumn("nth", F.struct(key, "seg"))
+    named = bracket_class(seg.where("trim(bracket) <> ''").select("nth", "bracket"), "nth", "bracket", dictionary, codes, rules)
+    seg = seg.join(named.withColumnsRenamed({"cls": "bracket_cls", "confidence": "bracket_confidence"}).hint("merge"), "nth", "left")
+    s = F.coalesce(F.col("s"), F.lit(""))
+    rule, weak, code = best_rule(s, rules), best_rule(s, inline), canonical(s, codes)
     hit = lambda cls, method, confidence: F.when(cls.isNotNull(), F.struct(confidence.cast("int").alias("confidence"), cls.alias("cls"), F.lit(method).alias("method")))
-    found = F.coalesce(hit(F.col("bracket_cls"), "bracket", F.lit(5)), hit(code, "canonical", F.lit(5)), hit(F.col("part_cls"), "decomposed", F.lit(4)), hit(rule["cls"], "scaffold", rule["confidence"]))
+    found = [hit(F.col("bracket_cls"), "bracket", F.col("bracket_confidence")), hit(code, "canonical", F.lit(5)), hit(rule["cls"], "scaffold", rule["confidence"])]
+    found = F.coalesce(*found, *([hit(weak["cls"], "inline", weak["confidence"])] if inline else []))
     seg = seg.select(key, "seg", found.alias("m"))
     out = seg.groupBy(key).agg(
         F.max_by("m", F.struct(F.coalesce(F.col("m.confidence"), F.lit(0)), -F.col("seg"))).alias("best"),
@@ -85,25 +86,26 @@ def classify(rows: DataFrame, key: str, text: str, dictionary: DataFrame, codes:
     return out.select(key, F.coalesce("best.cls", F.lit("unknown")).alias("primary"), F.coalesce("best.method", F.lit("none")).alias("method"), F.coalesce("best.confidence", F.lit(0)).alias("confidence"), classes.alias("all_classes"))
 
 
-def learn_from_rows(rows: DataFrame, dictionary: DataFrame, rules: Sequence[Rule], rounds: int = 5) -> DataFrame:
+def learn_from_rows(rows: DataFrame, dictionary: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(key, cls): dictionary and what rows (ord, key, text) teach, in file order: the first class of a key counts, and a
-    row may use what an earlier one taught. Rows are resolved again until nothing new is learned."""
-    known = cut(dictionary.select(F.lower("key").alias("key"), "cls", F.lit(-1).cast("long").alias("since")))
-    before = known.count()
-    for _ in range(rounds):
-        parts = rows.select("ord", F.lower("key").alias("new_key"), F.posexplode(F.split(F.lower("text"), r"[-,/;\s]+")).alias("pos", "key"))
-        hit = parts.hint("merge").join(known, "key").where(F.col("since") < F.col("ord"))
+    row may use what an earlier one taught. Rows are resolved again until no key, class or first row changes; a round
+    settles at least one row more of every chain, so this ends after as many rounds as the longest chain has rows."""
+    first = dictionary.select(F.lower("key").alias("key"), "cls", F.lit(-1).cast("long").alias("since"))
+    known = cut(first)
+    parts = cut(rows.select("ord", F.lower("key").alias("new_key"), F.posexplode(F.split(F.lower("text"), r"[-,/;\s]+")).alias("pos", "key")))
+    by_rule = rows.select("ord", F.lower("key").alias("new_key"), best_rule(F.lower("text"), rules)["cls"].alias("rule_cls")).where("rule_cls is not null")
+    by_rule, before = cut(by_rule), None
+    while True:
+        hit = parts.join(sized(known), "key").where(F.col("since") < F.col("ord"))
         by_part = hit.groupBy("ord", "new_key").agg(F.min_by("cls", "pos").alias("cls"))
-        by_rule = rows.select("ord", F.lower("key").alias("new_key"), best_rule(F.lower("text"), rules)["cls"].alias("rule_cls")).where("rule_cls is not null")
         both = by_part.join(by_rule.hint("merge"), ["ord", "new_key"], "full_outer").select("ord", "new_key", F.coalesce("cls", "rule_cls").alias("cls"))
         learned = both.groupBy(F.col("new_key").alias("key")).agg(F.min_by("cls", "ord").alias("cls"), F.min("ord").alias("since"))
-        fresh = learned.join(dictionary.select(F.lower("key").alias("key")).hint("merge"), "key", "left_anti")
-        known = cut(dictionary.select(F.lower("key").alias("key"), "cls", F.lit(-1).cast("long").alias("since")).unionByName(fresh))
-        now = known.count()
-        if now == before:
-            break
-        before = now
-    return known.select("key", "cls")
+        fresh = learned.join(first.select("key").hint("merge"), "key", "left_anti")
+        known = cut(first.unionByName(fresh))
+        state = known.agg(F.count("*"), F.sum(F.xxhash64("key", "cls", "since").cast("decimal(20,0)"))).first()
+        if state == before:
+            return known.select("key", "cls")
+        before = state
 
 
 def resolve_names(queries: DataFrame, names: DataFrame, least: float = 0.15) -> DataFrame:
@@ -124,7 +126,3 @@ def resolve_names(queries: DataFrame, names: DataFrame, least: float = 0.15) ->
     inside = inside.groupBy("qid").agg(F.max_by("id", F.struct(F.length("n"), -F.col("ord"))).alias("id")).select("qid", "id", F.lit("contained").alias("strategy"), F.lit(3).alias("order"))
     every = equal.union(close).union(inside)
     return every.groupBy("qid").agg(F.min_by(F.struct("id", "strategy"), "order").alias("r")).select("qid", "r.id", "r.strategy")
-
-
-def first_per(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")

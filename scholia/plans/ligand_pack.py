@@ -30,8 +30,8 @@ ABBREVIATIONS = {
     "BiIM": ("biim", "(s,s)-sbu-biim3-tbuph"),
 }
 
-# fixed values: scaffold patterns (case-insensitive), class, confidence; the first or the most confident counts
-SCAFFOLDS = tuple((f"(?i){p}", cls, n) for p, cls, n in (
+# fixed values: scaffold patterns (case-insensitive, Unicode), class, confidence; the first or the most confident counts
+SCAFFOLDS = tuple((f"(?iU){p}", cls, n) for p, cls, n in (
     (r"\bbis\s*\(?imida[zt]olin", "BiIM", 5), (r"\bdiimida[zt]olin", "BiIM", 5), (r"\bbis\s*\(?oxa[zt]olin", "BiOX", 5),
     (r"\b(?:4,5-dihydro-1[hh]?-)?imida[zt]ol-2-yl\)?pyridin", "PyrIm", 5), (r"\b(?:4,5-dihydro)?oxa[zt]ol-2-yl\)?pyridin", "PyrOx", 5),
     (r"\bpyridin.*(?:oxa[zt]olin|pyox)", "PyrOx", 4), (r"\bpyridin.*(?:imida[zt]olin)", "PyrIm", 4),
@@ -46,10 +46,10 @@ SCAFFOLDS = tuple((f"(?i){p}", cls, n) for p, cls, n in (
 ))
 
 # fixed values: abbreviations inside running text
-INLINE = tuple((f"(?i){p}", cls, n) for p, cls, n in (
+INLINE = tuple((f"(?iU){p}", cls, n) for p, cls, n in (
     (r"\bdtbb?py\b", "Bpy", 4), (r"\b(?:bpy|bipy)\b", "Bpy", 3), (r"\b(?:phen|bphen)\b", "Phen", 3), (r"\bbathocuproin\w*\b", "Phen", 4),
     (r"\bneocuproin\w*\b", "Phen", 4), (r"\b(?:tmphen|me4phen)\b", "Phen", 4), (r"\bpybox\w*\b", "PyrOx", 3), (r"\b(?:pyrox|pyox)\b", "PyrOx", 3),
-    (r"\bpybcam\w*\b", "PyCam", 4), (r"\bpycam\w*\b", "PyCam", 3), (r"\bbiox\w*\b", "BiOX", 3), (r"(?:^|(?<=[\s\-/]))box(?:$|(?=[\s,)]))", "BiOX", 3),
+    (r"\bpybcam\w*\b", "PyCam", 4), (r"\bpycam\w*\b", "PyCam", 3), (r"\bbiox\w*\b", "BiOX", 3), (r"(?:^|(?<=\s)|(?<=-)|(?<=/))box(?:$|(?=\s)|(?=,)|(?=\)))", "BiOX", 3),
     (r"\bbisoxazoline\b", "BiOX", 3), (r"\bbiim\w*\b", "BiIM", 3), (r"\bterpy\w*\b", "Phen", 3), (r"\bbpp\w*\b", "Phen", 3), (r"\bdmap\b", "Bpy", 4),
     (r"\bpyridine\b", "Bpy", 2),
 ))
@@ -62,8 +62,8 @@ def dictionary(spark: SparkSession) -> DataFrame:
 
 
 def classify(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """rules.classify with this pack; scaffolds come before inline abbreviations of the same confidence."""
-    return rules.classify(rows, key, text, dictionary(rows.sparkSession), CODES, (*SCAFFOLDS, *INLINE))
+    """rules.classify with this pack; inline abbreviations count only where no scaffold does."""
+    return rules.classify(rows, key, text, dictionary(rows.sparkSession), CODES, SCAFFOLDS, INLINE)
 
 
 def detect(queries: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def lk_compound_by_id(spark, d):
 
 
 def lk_paper_by_id(spark, d):
-    return refs(spark, d).where("id % 100 = 7").select("id", F.size("refs").alias("reference_count"))
+    return refs(spark, d).where("id % 50 = 0").select("id", F.size("refs").alias("reference_count"))
 
 
 def lk_ligand_by_name(spark, d):
@@ -191,7 +191,7 @@ QUERIES = {
         with_views("ligands") + ", v as (" + " union all ".join(f"select '{c}' as name, var_samp({c}) as value from ligands" for c in DIMS) + ") select name, round(100 * value / sum(value) over (), 4) as share, round(100 * sum(value) over (order by value desc, name rows unbounded preceding) / sum(value) over (), 4) as cumulative from v",
     ),
     "lk_compound_by_id": (lk_compound_by_id, with_views("compounds") + "select id, name, category from compounds"),
-    "lk_paper_by_id": (lk_paper_by_id, with_views("refs") + "select id, len(refs) as reference_count from refs where id % 100 = 7"),
+    "lk_paper_by_id": (lk_paper_by_id, with_views("refs") + "select id, len(refs) as reference_count from refs where id % 50 = 0"),
     "lk_ligand_by_name": (lk_ligand_by_name, "select lower(p_name) as name, max(p_partkey) as ord, arg_max(p_brand, p_partkey) as p_brand, arg_max(p_retailprice, p_partkey) as p_retailprice from part group by 1"),
     "lk_literature_by_doi": (lk_literature_by_doi, "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by 1"),
     "flt_by_class": (flt_by_class, with_views("papers") + "select id, journal from papers where type = 'de' and trim(title) <> ''"),

@@ -22,7 +22,7 @@ def dedup_compounds(spark, d):
 
 def _line_sets(spark, d):
     """Each order's lines as sets of the digits of part and supplier."""
-    rows = extraction_items(spark, d).where("doc % 5 = 0")
+    rows = extraction_items(spark, d)
     item = F.array(F.concat(F.lit("n"), "name"), F.concat(F.lit("p"), (F.col("partner") % 3).cast("string")), F.concat(F.lit("s"), (F.col("partner") % 2).cast("string")), F.lit("c"), F.lit("d"), F.lit("e"), F.lit("f"), F.lit("g"), F.lit("h"), F.lit("i"))
     return rows.select("doc", "ord", item.alias("items"))
 
@@ -77,14 +77,14 @@ def overwrite_by_source(spark, d):
 
 
 def rgroup_long(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     inner = li.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("R"), "l_linenumber").alias("r"), F.create_map(F.lit("a"), F.col("p").cast("string"), F.lit("b"), F.lit("H")).alias("m"))
     maps = inner.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("r", "m"))).alias("rgroups"))
     return x.rgroup_long(maps)
 
 
 def rgroup_assemble(spark, d):
-    scaffolds = table(spark, d, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("doc"), F.lit("C[R1](N[R2])[R10][*:7]").alias("scaffold"))
+    scaffolds = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.lit("C[R1](N[R2])[R10][*:7]").alias("scaffold"))
     long = rgroup_long(spark, d).withColumn("rgroup", F.when(F.col("rgroup") == "R3", "R10").otherwise(F.col("rgroup")))
     return x.assemble(scaffolds, long)
 
@@ -95,7 +95,7 @@ def summary_totals(spark, d):
 
 
 _I = with_views("items")
-_SETS = f"{_I}, s as (select doc, ord, list_distinct(['n' || name, 'p' || (partner % 3), 's' || (partner % 2), 'c', 'd', 'e', 'f', 'g', 'h', 'i']) as v from items where doc % 5 = 0), j as (select a.doc, a.ord as a, b.ord as b, len(list_intersect(a.v, b.v)) / len(list_distinct(a.v || b.v)) as similarity from s a join s b on a.doc = b.doc and a.ord < b.ord)"
+_SETS = f"{_I}, s as (select doc, ord, list_distinct(['n' || name, 'p' || (partner % 3), 's' || (partner % 2), 'c', 'd', 'e', 'f', 'g', 'h', 'i']) as v from items), j as (select a.doc, a.ord as a, b.ord as b, len(list_intersect(a.v, b.v)) / len(list_distinct(a.v || b.v)) as similarity from s a join s b on a.doc = b.doc and a.ord < b.ord)"
 QUERIES = {
     "clean_pseudo": (clean_pseudo, f"{_I} select doc, (ord - 1)::int as pos, name, case when ord % 3 <> 0 then smiles end as smiles, case when ord % 3 = 0 then 'R' || ord || '-I' end as general_form from items"),
     "dedup_compounds": (dedup_compounds, f"{_I} select doc, min(ord) as ord, name from items group by doc, name"),
@@ -106,10 +106,10 @@ QUERIES = {
     "merge_figure_reactions": (merge_figure_reactions, f"{_I} select doc, 'fig_' || page || '_' || ord as id, name from items"),
     "merge_figure_compounds": (merge_figure_compounds, f"{_I} select doc, name, arg_min(smiles, ord) as smiles from items i where name <> (select name from items k where k.doc = i.doc and k.ord = 1) group by doc, name"),
     "overwrite_by_source": (overwrite_by_source, with_views("papers") + "select id as doc, case when id % 3 <> 0 and title <> '' then 'text' else 'vision' end as source, case when id % 3 <> 0 and title <> '' then title else journal end as data from papers where (id % 3 <> 0 and title <> '') or id % 6 <> 0"),
-    "rgroup_long": (rgroup_long, "with g as (select l_orderkey as doc, l_linenumber as n, min(l_partkey) as p from lineitem where l_orderkey < 3000 group by all) select doc, 'R' || n as rgroup, 'a' as entry, p::varchar as fragment from g union all select doc, 'R' || n, 'b', 'H' from g"),
+    "rgroup_long": (rgroup_long, "with g as (select l_orderkey as doc, l_linenumber as n, min(l_partkey) as p from lineitem group by all) select doc, 'R' || n as rgroup, 'a' as entry, p::varchar as fragment from g union all select doc, 'R' || n, 'b', 'H' from g"),
     "rgroup_assemble": (
         rgroup_assemble,
-        """with g as (select l_orderkey as doc, l_linenumber as n, min(l_partkey)::varchar as p from lineitem where l_orderkey < 3000 group by all),
+        """with g as (select l_orderkey as doc, l_linenumber as n, min(l_partkey)::varchar as p from lineitem group by all),
         w as (select doc, max(p) filter (n = 1) as r1, max(p) filter (n = 2) as r2, max(p) filter (n = 3) as r10, max(p) filter (n = 7) as r7 from g group by 1)
         select doc, 'a' as entry, 'C' || coalesce(r1, '[*:1]') || '(N' || coalesce(r2, '[*:2]') || ')' || coalesce(r10, '[*:10]') || coalesce(r7, '[*:7]') as smiles from w
         union all select doc, 'b', 'C' || case when r1 is null then '[*:1]' else '' end || '(N' || case when r2 is null then '[*:2]' else '' end || ')' || case when r10 is null then '[*:10]' else '' end || case when r7 is null then '[*:7]' else '' end from w""",

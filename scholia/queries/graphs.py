@@ -10,7 +10,7 @@ from scholia.plans.bindings import graph_edges, graph_nodes, refs, table, with_v
 
 
 def _seeds(spark, d):
-    return table(spark, d, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("seed"))
+    return table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"))
 
 
 def agg_degree(spark, d):
@@ -73,12 +73,12 @@ def set_exclusion(spark, d):
 
 
 def cross_network(spark, d):
-    lists = refs(spark, d).select(F.col("id").alias("doc"), F.explode("refs").alias("id")).where("doc % 10 = 0")
+    lists = refs(spark, d).select(F.col("id").alias("doc"), F.explode("refs").alias("id"))
     return g.cross_network(lists, graph_edges(spark, d)).groupBy("doc").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("citing"), F.countDistinct("dst").alias("cited"))
 
 
 def adjacency_cross(spark, d):
-    lists = refs(spark, d).select(F.col("id").alias("doc"), F.explode("refs").alias("id")).where("doc < 500")
+    lists = refs(spark, d).select(F.col("id").alias("doc"), F.explode("refs").alias("id"))
     return g.cross_network(lists, graph_edges(spark, d))
 
 
@@ -98,8 +98,8 @@ def rank_number_nodes(spark, d):
 
 
 _V = with_views("edges", "nodes")
-_FWD = "fwd as (select distinct dst as seed, src as id from edges where dst < 50)"
-_BWD = "bwd as (select distinct src as seed, dst as id from edges where src < 50)"
+_FWD = "fwd as (select distinct dst as seed, src as id from edges where dst % 50 = 0)"
+_BWD = "bwd as (select distinct src as seed, dst as id from edges where src % 50 = 0)"
 
 
 def _top(members: str, order: str, where: str = "true") -> str:
@@ -109,7 +109,7 @@ def _top(members: str, order: str, where: str = "true") -> str:
 def _network(near: str, forward: bool, first_n: int, top: int = 30) -> str:
     star = "select seed, id as src, seed as dst from near" if forward else "select seed, seed as src, id as dst from near"
     return f"""{_V}, {near} , near as (select * from {"fwd" if forward else "bwd"}),
-      seeds as (select p_partkey as seed from part where p_partkey < 50),
+      seeds as (select p_partkey as seed from part where p_partkey % 50 = 0),
       srcs as (select seed, id from (select *, row_number() over (partition by seed order by id) as k from near) where k <= {first_n}),
       ev as ({star} union select s.seed, e.src, e.dst from edges e join srcs s on s.id = e.src join near n on n.seed = s.seed and n.id = e.dst),
       deg as (select seed, dst as id, count(*) as c from ev group by all),
@@ -144,8 +144,8 @@ QUERIES = {
         "select seed, id, rank from (select seed, rest.id, row_number() over (partition by seed order by coalesce(c, 0) desc, rest.id) as rank from rest left join deg on deg.id = rest.id) where rank <= 5",
     ),
     "set_exclusion": (set_exclusion, f"{_V}, {_FWD}, {_BWD} select distinct id from fwd where id not in (select id from bwd)"),
-    "cross_network": (cross_network, with_views("edges", "refs") + ", l as (select id as doc, unnest(refs) as id from refs where id % 10 = 0) select a.doc, count(*) as edges, count(distinct src) as citing, count(distinct dst) as cited from edges join l a on a.id = src join l b on b.doc = a.doc and b.id = dst group by 1"),
-    "adjacency_cross": (adjacency_cross, with_views("edges", "refs") + ", l as (select id as doc, unnest(refs) as id from refs where id < 500) select a.doc, src, dst from edges join l a on a.id = src join l b on b.doc = a.doc and b.id = dst"),
+    "cross_network": (cross_network, with_views("edges", "refs") + ", l as (select id as doc, unnest(refs) as id from refs) select a.doc, count(*) as edges, count(distinct src) as citing, count(distinct dst) as cited from edges join l a on a.id = src join l b on b.doc = a.doc and b.id = dst group by 1"),
+    "adjacency_cross": (adjacency_cross, with_views("edges", "refs") + ", l as (select id as doc, unnest(refs) as id from refs) select a.doc, src, dst from edges join l a on a.id = src join l b on b.doc = a.doc and b.id = dst"),
     "graph_neighbors": (graph_neighbors, with_views("edges") + "select id, string_agg(n::varchar, ',' order by n) as neighbours from (select src as id, dst as n from edges union all select dst, src from edges) group by 1"),
     "graph_mean_message": (graph_mean_message, f"{_V}, b as (select src as id, dst as n from edges union all select dst, src from edges), m as (select b.id, avg(gcite) as m from b join nodes on nodes.id = b.n group by 1) select nodes.id, round(coalesce(m, 0.0), 3) as gcite from nodes left join m on m.id = nodes.id"),
     "rank_number_nodes": (rank_number_nodes, f"{_V}, {_FWD} select seed, id, row_number() over (partition by seed order by id) + 1 as number from fwd"),

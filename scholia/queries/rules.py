@@ -62,14 +62,14 @@ def dict_learn_layer3(spark, d):
 def cls_fastpath(spark, d):
     """A part name seen before keeps the class of its first row; others go through the rules."""
     p = _parts(spark, d)
-    seen = p.where("p_partkey < 40").groupBy("p_name").agg(F.min_by("p_type", "p_partkey").alias("known"))
+    seen = p.where("p_partkey % 50 = 0").groupBy("p_name").agg(F.min_by("p_type", "p_partkey").alias("known"))
     m = r.best_rule(F.col("p_name"), RULES)
     return p.join(F.broadcast(seen), "p_name", "left").select("p_partkey", F.coalesce("known", m["cls"], F.lit("unknown")).alias("cls"))
 
 
 def _queries(spark, d):
-    p = _parts(spark, d).where("p_partkey % 25 = 3")
-    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_name"), F.lit(" "))).otherwise(F.concat(F.element_at(F.split("p_name", " "), 2), F.lit(" new")))
+    p = _parts(spark, d).where("p_partkey % 50 = 0")
+    text = F.when(F.col("p_partkey") % 100 == 0, F.concat(F.upper("p_name"), F.lit(" "))).otherwise(F.concat(F.element_at(F.split("p_name", " "), 2), F.lit(" new")))
     return p.select(F.col("p_partkey").alias("qid"), text.alias("text"))
 
 
@@ -98,7 +98,7 @@ def cls_bracket(spark, d):
 
 
 def _class_queries(spark, d):
-    p = _parts(spark, d).where("p_partkey % 20 = 5")
+    p = _parts(spark, d).where("p_partkey % 50 = 0")
     return p.select(F.col("p_partkey").alias("qid"), F.concat("p_name", F.lit(" ["), F.lower("p_type"), F.lit("]")).alias("text"))
 
 
@@ -112,8 +112,8 @@ def _members(spark, d):
 
 
 def resolve_reference(spark, d):
-    names = _parts(spark, d).where("p_partkey < 30").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
-    q = _parts(spark, d).where("p_partkey % 20 = 5").select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 40 == 5, F.col("p_name")).otherwise("??").alias("text"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
+    names = _parts(spark, d).select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
+    q = _parts(spark, d).where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 100 == 0, F.col("p_name")).otherwise("??").alias("text"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
     return ps.resolve_reference(q.select("qid", "text"), names, q.select("qid", "cls"))
 
 
@@ -158,17 +158,17 @@ QUERIES = {
     "cls_detect": (cls_detect, None),
     "resolve_reference": (
         resolve_reference,
-        """with n as (select p_name, split_part(p_name, ' ', 2) as cls, p_partkey as id from part where p_partkey < 30), q as (select p_partkey as qid, p_name, split_part(p_name, ' ', 2) as cls from part where p_partkey % 20 = 5),
-        e as (select qid, min(id) as id from q join n using (p_name) where qid % 40 = 5 group by 1), c as (select cls, min(id) as id from n group by 1),
-        t as (select qid, n.id, len(list_intersect(string_split(q.p_name, ' '), string_split(n.p_name, ' '))) as k from q, n where qid % 40 = 5),
+        """with n as (select p_name, split_part(p_name, ' ', 2) as cls, p_partkey as id from part), q as (select p_partkey as qid, p_name, split_part(p_name, ' ', 2) as cls from part where p_partkey % 50 = 0),
+        e as (select qid, min(id) as id from q join n using (p_name) where qid % 100 = 0 group by 1), c as (select cls, min(id) as id from n group by 1),
+        t as (select qid, n.id, len(list_intersect(string_split(q.p_name, ' '), string_split(n.p_name, ' '))) as k from q, n where qid % 100 = 0),
         s as (select qid, arg_max(id, {'s': k / (4 - k) + 0.1 * k, 'o': -id}) as id from t where k > 0 group by 1)
         select qid, coalesce(e.id, s.id, c.id) as id, case when e.id is not null then 'exact' when s.id is not null then 'tokens' else 'class' end as strategy from q left join e using (qid) left join s using (qid) left join c using (cls) where coalesce(e.id, s.id, c.id) is not null""",
     ),
     "search_combined": (search_combined, None),
-    "cls_fastpath": (cls_fastpath, f"with s as (select p_name, arg_min(p_type, p_partkey) as known from part where p_partkey < 40 group by 1) select p_partkey, coalesce(known, {_BEST} end, 'unknown') as cls from part left join s using (p_name)"),
+    "cls_fastpath": (cls_fastpath, f"with s as (select p_name, arg_min(p_type, p_partkey) as known from part where p_partkey % 50 = 0 group by 1) select p_partkey, coalesce(known, {_BEST} end, 'unknown') as cls from part left join s using (p_name)"),
     "resolve_name": (
         resolve_name,
-        """with q as (select p_partkey as qid, lower(trim(case when p_partkey % 2 = 0 then upper(p_name) || ' ' else split_part(p_name, ' ', 2) || ' new' end)) as q from part where p_partkey % 25 = 3),
+        """with q as (select p_partkey as qid, lower(trim(case when p_partkey % 100 = 0 then upper(p_name) || ' ' else split_part(p_name, ' ', 2) || ' new' end)) as q from part where p_partkey % 50 = 0),
         n as (select lower(p_name) as n, min(p_partkey) as id from part group by 1),
         t as (select qid, id, len(list_intersect(string_split(q, ' '), string_split(n, ' '))) as k, len(list_distinct(string_split(q, ' '))) as a, len(list_distinct(string_split(n, ' '))) as b from q, n),
         s as (select qid, arg_max(id, {'s': k / (a + b - k) + 0.1 * k, 'o': -id}) as id from t where k > 0 and k / (a + b - k) + 0.1 * k > 0.15 group by 1),

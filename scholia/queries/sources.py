@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.operators import graph as g
 from scholia.plans.bindings import graph_edges, refs, table
 from scholia.sources import records as s
 
@@ -28,7 +27,7 @@ def src_code_lookup(spark, d):
 
 def src_paper_refs(spark, d):
     """Orders as papers whose reference list has an empty entry after each part."""
-    r = refs(spark, d).where("id % 10 = 0")
+    r = refs(spark, d)
     lists = F.flatten(F.transform("refs", lambda x: F.array(F.array(x.cast("string"), F.lit("x")), F.array().cast("array<string>"))))
     docs = r.select(F.to_json(F.create_map(F.col("id").cast("string"), F.struct(F.concat(F.lit("t"), "id").alias("title"), lists.alias("references")))).alias("value"))
     return s.paper_refs(docs).select("doi", "title", "published_date", F.array_join("references", ",").alias("references"))
@@ -83,7 +82,7 @@ def src_openalex_flatten(spark, d):
 
 def kg_flatten(spark, d):
     """Edges of graph objects: one a part, to the parts that follow it."""
-    e = graph_edges(spark, d).where("src < 200")
+    e = graph_edges(spark, d)
     edge = F.struct(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), F.lit("next").alias("label"))
     docs = e.groupBy("src").agg(F.to_json(F.struct(F.collect_list(edge).alias("edges"))).alias("value"))
     return s.knowledge_graph(docs, "src", "value")[1]
@@ -97,15 +96,11 @@ def json_repair_parse(spark, d):
     return e.select("event_id", s.json_repair(text, "k int")["k"].alias("k"))
 
 
-def flt_graph_sink(spark, d):
-    return g.neighbour_lists(graph_edges(spark, d).where("src < 20 and dst < 2000")).select("id", F.size("neighbours").alias("n"))
-
-
 QUERIES = {
     "src_json_map": (src_json_map, "select p_partkey::varchar as id, p_name as name, p_type as leaving_group from part where p_partkey % 7 <> 0"),
     "src_event_props": (src_event_props, "select event_id, 'k' as key, (props->>'k')::int as v from events"),
     "src_code_lookup": (src_code_lookup, "select r_regionkey::varchar as id, r_name as label, 'electrophile' as side from region union all select n_nationkey::varchar, n_name, 'nucleophile' from nation"),
-    "src_paper_refs": (src_paper_refs, "select l_orderkey::varchar as doi, 't' || l_orderkey as title, '' as published_date, string_agg(distinct l_partkey::varchar, ',' order by l_partkey) as references from (select distinct l_orderkey, l_partkey from lineitem where l_orderkey % 10 = 0) group by l_orderkey".replace("string_agg(distinct l_partkey::varchar, ',' order by l_partkey)", "string_agg(l_partkey::varchar, ',' order by l_partkey)").replace(" as references", ' as "references"')),
+    "src_paper_refs": (src_paper_refs, "select l_orderkey::varchar as doi, 't' || l_orderkey as title, '' as published_date, string_agg(distinct l_partkey::varchar, ',' order by l_partkey) as references from (select distinct l_orderkey, l_partkey from lineitem) group by l_orderkey".replace("string_agg(distinct l_partkey::varchar, ',' order by l_partkey)", "string_agg(l_partkey::varchar, ',' order by l_partkey)").replace(" as references", ' as "references"')),
     "src_reaction_records": (src_reaction_records, "select case when c_custkey % 4 = 0 then '' else c_mktsegment end as \"R1\", case when c_custkey % 3 = 0 then 'None' else c_name end as \"R2\", c_custkey::varchar as \"Base\" from customer"),
     "src_ligand_records": (src_ligand_records, "select s_name as name, case when s_suppkey % 2 = 0 then s_acctbal else 0.0 end as homo, 0.0::double as lumo from supplier where s_suppkey % 2 = 0 or s_suppkey % 5 <> 0"),
     "src_literature_records": (src_literature_records, "select '10.1000/' || o_orderkey as doi, o_orderpriority as title, o_orderstatus as coupling_partner, '' as ligand_knowledge from orders where o_orderkey % 5 <> 0"),
@@ -120,6 +115,6 @@ QUERIES = {
         """with n as (select c_nationkey, sum(count(*)) over (order by c_nationkey) - count(*) as before from customer group by 1)
         select c_nationkey as page, 'W' || c_custkey as id, c_mktsegment as title, case when c_custkey % 3 <> 0 then c_name else 'Unknown' end as author, (c_custkey % 50)::int as citations, 2020 as year from customer join n using (c_nationkey) where before < 200""",
     ),
-    "kg_flatten": (kg_flatten, "with e as (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as dst from lineitem) where src <> dst) select src, src::varchar as source, dst::varchar as target, 'next' as label from e where src < 200"),
+    "kg_flatten": (kg_flatten, "with e as (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as dst from lineitem) where src <> dst) select src, src::varchar as source, dst::varchar as target, 'next' as label from e"),
     "json_repair_parse": (json_repair_parse, "select event_id, case when event_id % 5 <> 4 then (props->>'k')::int end as k from events"),
 }

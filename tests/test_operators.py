@@ -31,6 +31,13 @@ def test_learn_in_file_order(spark):
     assert got == {"known": "K", "other": "O", "aa": "K", "bb": "K", "dd": "K"}
 
 
+def test_learn_along_a_chain(spark):
+    """Each row needs what the one before it taught."""
+    rows = spark.createDataFrame([(i, f"k{i}", f"k{i - 1}" if i else "known") for i in range(9)], "ord long, key string, text string")
+    known = spark.createDataFrame([("known", "K")], "key string, cls string")
+    assert len(rules.learn_from_rows(rows, known, []).collect()) == 10
+
+
 def test_paragraph_offsets(spark):
     text = "\n\n".join([" short", "a" * 90 + " ", "b" * 80, "c" * 79, "a" * 90, "d" * 100])
     got = segment.paragraphs(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), "id").collect()
@@ -85,10 +92,10 @@ def test_split_outside(spark):
 
 
 def test_classify_segments(spark):
-    rows = spark.createDataFrame([(1, "foo [bpy]; phen"), (2, "nothing"), (3, None), (4, "dtb-bpy thing")], "id long, t string")
+    rows = spark.createDataFrame([(1, "foo [bpy]; phen"), (2, "nothing"), (3, None), (4, "thing [dtb-bpy]"), (5, "dtb-bpy thing")], "id long, t string")
     words = spark.createDataFrame([("bpy", "Bpy")], "key string, cls string")
     got = {r["id"]: (r["primary"], r["all_classes"]) for r in rules.classify(rows, "id", "t", words, ["Phen"], []).collect()}
-    assert got == {1: ("Bpy", ["Bpy", "Phen"]), 2: ("unknown", []), 3: ("unknown", []), 4: ("Bpy", ["Bpy"])}
+    assert got == {1: ("Bpy", ["Bpy", "Phen"]), 2: ("unknown", []), 3: ("unknown", []), 4: ("Bpy", ["Bpy"]), 5: ("unknown", [])}
 
 
 def test_pca_matches_numpy(spark):
