@@ -58,6 +58,8 @@ class Vocabulary:
         self.text = [bytes([self.byte_ids[i]]) if i in self.byte_ids else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.known: dict[str, tuple[bytes, float, float]] = {}
+        #: word -> its n best, as n_best gives them; the words that differ in a text's n best are often the same ones
+        self.alternatives: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
         self.most = most
 
     def edges(self, word: str) -> Iterator[tuple[int, int, int, float]]:
@@ -158,6 +160,15 @@ class Vocabulary:
                 heapq.heappush(heap, (-(best[i] + score + behind), count, i, score + behind, (i, piece, path)))
         return found
 
+    def alternative(self, word: str, n: int) -> list[tuple[float, bytes]]:
+        """n_best of a word, with ids as uint32 bytes, remembered."""
+        out = self.alternatives.get((word, n))
+        if out is None:
+            if len(self.alternatives) > self.most // 8:
+                self.alternatives.clear()
+            out = self.alternatives[word, n] = [(score, np.array(ids, "<u4").tobytes()) for score, ids in self.n_best(word, n)]
+        return out
+
     def words(self, text: str) -> list[str]:
         """The normalised text, cut before each space mark that follows another character."""
         normal = self.model.normalize(text)
@@ -194,12 +205,12 @@ class Vocabulary:
         score = sum([x[1] for x in got])
         # only the n - 1 words with the closest second best can differ in one of the n best
         gaps = [x[2] for x in got]
-        closest = [k for k in heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__) if gaps[k] < float("inf")]
+        closest = [k for k in np.argsort(np.array(gaps), kind="stable")[: n - 1].tolist() if gaps[k] < float("inf")]
         totals: list[tuple[float, dict[int, bytes]]] = [(score, {})]
         for k in closest:
             own, base = got[k][0], got[k][1]
             # equal scores: the segmentation that stands in ids comes first
-            options = [(o, x) for o, x in ((o, np.array(x, "<u4").tobytes()) for o, x in self.n_best(words[k], n)) if x != own]
+            options = [(o, x) for o, x in self.alternative(words[k], n) if x != own]
             options = [(base, None), *options][:n]
             totals = heapq.nlargest(n, [(s + o - base, c if x is None else {**c, k: x}) for s, c in totals for o, x in options], key=lambda t: t[0])
         best = [(score, ids, [])]
