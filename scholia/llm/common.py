@@ -95,6 +95,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
+#: Hubs that the nodes of a large bucket are held against, one after the other, before all is compared.
+HUBS = 3
+#: Buckets of up to so many nodes are compared whole, in chunks of CHUNK nodes; larger ones are split.
+DENSE, CHUNK = 4096, 256
 #: From (s, key, state): the buckets (array of (key, state)) that a row of a bucket is dealt to.
 Split = Callable[[], Column]
 
@@ -107,14 +111,33 @@ def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Col
     candidates that are links. The groups are exact: the same as if every candidate had been verified.
 
     In a bucket of at most `bucket` nodes all candidates are verified. In a larger one each node is first held against
-    the hub, the node whose buckets hold the most nodes; that joins most of a family of copies. Two nodes that are in
-    one group by now need no look at each other, so only buckets with nodes of several groups are split further, and
-    only pairs of different groups become candidates there. What is still large after the last split is compared in
-    chunks of `bucket` nodes, each with each. So no group is gathered, and a family's pairs are not all made.
+    up to `HUBS` hubs: the node whose buckets hold the most nodes, then nodes of the bucket's largest group so far. That
+    joins most of a family of copies. Two nodes that are in one group by now need no look at each other, so only buckets
+    with nodes of several groups go on, and only pairs of different groups become candidates there. Those of at most
+    `DENSE` nodes, and all after the last split, are compared in chunks of `CHUNK` nodes, each with each; larger ones are
+    split. So no group is gathered, and a family's pairs are not all made.
     rare: most buckets of splits[0] have one node, so s is joined to the rest after these are dropped.
     """
     level = nodes.select("node", "s", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("state"))
     own, found, groups = ["node", "s"], None, None
+
+    def look_at(pairs: DataFrame, name: str) -> None:
+        nonlocal found, groups
+        pairs = materialise(pairs.distinct(), f"candidates-{name}")
+        if found is not None and pairs.isEmpty():
+            return
+        links = verify(pairs)
+        ends = links.select("a", "b")
+        # a group stands for the links that made it
+        known = ends if groups is None else ends.union(groups.select("component", "node"))
+        found = links if found is None else found.union(links)
+        groups = materialise(connected_components(known), f"groups-{name}")
+
+    def unsettled(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.drop("label").join(small_or_shuffled(groups), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        alive = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        return materialise(rows.join(small_or_shuffled(materialise(alive, f"unsettled-{name}")), "key", "left_semi"), f"large-{name}")
+
     for depth, split in enumerate(splits):
         level = level.select(*own, F.inline(split()))
         if rare and not depth:
@@ -129,41 +152,58 @@ def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Col
         apart = (lambda x, y: F.col(f"{x}.label") != F.col(f"{y}.label")) if depth else (lambda x, y: F.lit(True))
         both = few.alias("x").hint("merge").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & apart("x", "y") & close(F.col("x.s"), F.col("y.s")))
         pairs = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        if n_many:
-            large = materialise(level.join(small_or_shuffled(many, n_many), "key"), f"large-{depth}")
-            pairs = pairs.union(_chunk_pairs(large, bucket, apart, close) if depth == len(splits) - 1 else _hub_pairs(large, apart, close))
-        pairs = materialise(pairs.distinct(), f"candidates-{depth}")
-        if found is None or not pairs.isEmpty():
-            links = verify(pairs)
-            found = links if found is None else found.union(links)
-            groups = materialise(connected_components(found), f"groups-{depth}")
-        if not n_many or depth == len(splits) - 1:
+        if not n_many:
+            look_at(pairs, f"{depth}")
             break
-        large = large.drop("label").join(small_or_shuffled(groups), "node", "left").withColumn("label", F.coalesce("component", "node"))
-        alive = materialise(large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), f"unsettled-{depth}")
-        if alive.isEmpty():
+        large = materialise(level.join(small_or_shuffled(many, n_many), "key"), f"large-{depth}")
+        look_at(pairs.union(_hub_pairs(large, _first_hubs(large), close)), f"{depth}-0")
+        for turn in range(1, HUBS):
+            large = unsettled(large, f"{depth}-{turn}")
+            if large.isEmpty():
+                break
+            look_at(_hub_pairs(large, _next_hubs(large, turn), close), f"{depth}-{turn}")
+        large = unsettled(large, f"{depth}-{HUBS}")
+        last = depth == len(splits) - 1
+        look_at(_chunk_pairs(large if last else large.where(F.col("n") <= DENSE), close), f"{depth}-{HUBS}")
+        if last:
+            break
+        level = large.where(F.col("n") > DENSE)
+        if level.isEmpty():
             break
         own = ["node", "s", "label"]
-        level = materialise(large.join(small_or_shuffled(alive), "key", "left_semi").select(*own, "key", "state"), f"level-{depth}")
+        level = unsettled(level, f"{depth}-rest").select(*own, "key", "state")
     return found, groups
 
 
-def _hub_pairs(large: DataFrame, apart, close) -> DataFrame:
+def _first_hubs(large: DataFrame) -> DataFrame:
+    """(key, y, n): the node of each bucket whose buckets hold the most nodes."""
     weight = large.groupBy("node").agg(F.sum("n").alias("weight"))
-    hub = F.max_by(F.struct("node", "s", *(["label"] if "label" in large.columns else [])), F.struct("weight", F.xxhash64("node"))).alias("y")
-    hubs = large.hint("merge").join(weight, "node").groupBy("key").agg(hub, F.count("*").alias("n"))
-    star = join_hot(large.drop("n"), materialise(hubs, "hubs"), "key", "y", "n").alias("x")
-    star = star.where((F.col("x.node") != F.col("y.node")) & apart("x", "y") & close(F.col("x.s"), F.col("y.s")))
+    hub = F.max_by(F.struct("node", "s"), F.struct("weight", F.xxhash64("node"))).alias("y")
+    return large.hint("merge").join(weight, "node").groupBy("key").agg(hub, F.count("*").alias("n"))
+
+
+def _next_hubs(large: DataFrame, turn: int) -> DataFrame:
+    """(key, y, n): a node of the largest group of each bucket, another one each turn."""
+    hub = F.max_by(F.struct("node", "s", "label"), F.xxhash64("node", F.lit(turn))).alias("y")
+    by_group = large.groupBy("key", "label").agg(hub, F.count("*").alias("size"))
+    return by_group.groupBy("key").agg(F.max_by("y", F.struct("size", "label")).alias("y"), F.sum("size").alias("n"))
+
+
+def _hub_pairs(large: DataFrame, hubs: DataFrame, close) -> DataFrame:
+    hubs = materialise(hubs, "hubs")
+    star = join_hot(large.drop("n"), hubs, "key", "y", "n").alias("x")
+    apart = F.col("x.label") != F.col("y.label") if "label" in large.columns and "label" in hubs.schema["y"].dataType.names else F.lit(True)
+    star = star.where((F.col("x.node") != F.col("y.node")) & apart & close(F.col("x.s"), F.col("y.s")))
     return star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def _chunk_pairs(large: DataFrame, bucket: int, apart, close) -> DataFrame:
-    chunks = F.ceil(F.col("n") / bucket)
-    rows = large.withColumn("own", F.pmod(F.xxhash64("node"), chunks))
+def _chunk_pairs(large: DataFrame, close) -> DataFrame:
+    """Candidates of different groups: the nodes of a bucket in chunks, each chunk held against itself and those before."""
+    rows = large.withColumn("own", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)))
     left = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).alias("x")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.own"))
     once = (F.col("x.own") > F.col("y.own")) | (F.col("x.node") < F.col("y.node"))
-    both = left.hint("merge").join(rows.alias("y"), same & once & apart("x", "y") & close(F.col("x.s"), F.col("y.s")))
+    both = left.hint("merge").join(rows.alias("y"), same & once & (F.col("x.label") != F.col("y.label")) & close(F.col("x.s"), F.col("y.s")))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 

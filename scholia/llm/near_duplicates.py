@@ -8,9 +8,11 @@ The similarity of two texts is L / (n + m - L), L the longest common subsequence
 word sequences; 0.8 or more is a link. Two texts that reach it have L within a diagonal band, so the alignment looks at
 that band alone (bit-parallel, exact).
 
-Equal texts are one class from the start. Texts that share a sketch form a bucket, and two texts that share `SHARED`
-sketches are candidates. `common.bucket_links` verifies all candidates, but for those in large buckets whose texts are
-in one class already; it splits large buckets by second and third shared sketches. So the classes are those that all
+Equal texts are one class from the start. Texts that share a sketch form a bucket, and two texts are candidates if they
+share `SHARED` sketches and their shingles can reach the similarity: of each text the parities of its labelled shingles
+dealt to `PARITY` * 64 places are kept; places that differ are at most the shingles that only one of the two has, and
+those are at most (n + m) (1 - t) / (1 + t) for a similarity of t. So this second test loses nothing. `common.bucket_links` verifies all candidates, but for those in large buckets whose texts are
+in one class already; it splits very large buckets by second and third shared sketches. So the classes are those that all
 candidates would give, and no group is gathered.
 
 Defined cases: null text is in no class but its own and never a copy; texts without a word are copies only of equal
@@ -20,7 +22,9 @@ table gives no rows. Only doc_id and text are read, other columns of any name pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, THRESHOLD, SKETCHES, PICK, BUCKET, SHARED = 5, 0.8, 16, 2, 24, 3
+PARITY = 16
 _SEEDS = [(0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(64)]
 
 
@@ -46,15 +51,20 @@ def occurrences(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sketches(texts: list[str], m: int = SKETCHES, pick: int = PICK) -> np.ndarray:
-    """m sketches of each text; texts without a word have zeros."""
+    """m sketches of each text, then the parities of its shingles, then their number; texts without a word have zeros."""
     h, n = common.shingles(*common.word_hashes(texts), SHINGLE)
-    out = np.zeros((len(texts), m), np.int64)
+    out = np.zeros((len(texts), m + PARITY + 1), np.int64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
     labelled = common.mix(h + occurrences(h, n) * np.uint64(0xD6E8FEB86659FD93))
     starts = (np.cumsum(n) - n)[full]
     sizes = n[full]
+    width = PARITY * 64
+    place = np.repeat(np.arange(len(texts)), n) * width + (labelled >> np.uint64(32)).astype(np.int64) % width
+    odd = (np.bincount(place, minlength=len(texts) * width) & 1).astype(np.uint8).reshape(len(texts), width)
+    out[:, m : m + PARITY] = np.packbits(odd, axis=1).view(np.int64)
+    out[:, m + PARITY] = n
     for i in range(m):
         x = common.mix(labelled ^ np.uint64(_SEEDS[i]))
         places, values = [], []
@@ -128,13 +138,23 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, text_hash string, s array<long>")
 
 
-def share_enough(s: Column, t: Column) -> Column:
-    return F.size(F.filter(F.zip_with(s, t, lambda x, y: x == y), lambda x: x)) >= SHARED
+def share_enough(threshold: float) -> Callable[[Column, Column], Column]:
+    """Whether two texts share sketches enough, and differ in no more parities than the threshold allows."""
+    allowed = (1 - threshold) / (1 + threshold)
+
+    def close(s: Column, t: Column) -> Column:
+        shared = reduce(add, [F.when(F.get(s, i) == F.get(t, i), 1).otherwise(0) for i in range(SKETCHES)])
+        parities = range(SKETCHES, SKETCHES + PARITY)
+        differ = reduce(add, [F.bit_count(F.get(s, i).bitwiseXOR(F.get(t, i))) for i in parities])
+        n = F.get(s, SKETCHES + PARITY) + F.get(t, SKETCHES + PARITY)
+        return (shared >= SHARED) & (differ <= n * allowed + 1e-9)
+
+    return close
 
 
 def by_sketch() -> Column:
     """Buckets by one sketch more, of those behind the last one taken (state): candidates share `SHARED` of them."""
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: i >= F.col("state")), lambda i: F.struct(F.xxhash64("key", i, F.get("s", i)).alias("key"), (i + 1).cast("long").alias("state")))
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: i >= F.col("state")), lambda i: F.struct(F.xxhash64("key", i, F.get("s", i)).alias("key"), (i + 1).cast("long").alias("state")))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -164,7 +184,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) of verified links between different texts, by node, and (node, component)."""
     found = nodes.where("s[0] <> 0")  # texts with a word
-    return common.bucket_links(found, [by_sketch] * SHARED, share_enough, lambda pairs: verified(docs, pairs, threshold), BUCKET, rare=True)
+    return common.bucket_links(found, [by_sketch] * SHARED, share_enough(threshold), lambda pairs: verified(docs, pairs, threshold), BUCKET, rare=True)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

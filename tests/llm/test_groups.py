@@ -154,32 +154,56 @@ def _signed(spark, values):
     return spark.createDataFrame(rows, "node long, s struct<lo: long, hi: long>")
 
 
-def test_every_pair_of_a_large_bucket(spark):
-    """Pairs at distance 3 that share one block alone, all in one bucket: none is lost, whatever the bucket's size."""
+def test_every_pair_of_a_large_bucket(spark, monkeypatch):
+    """Pairs at distance 3 that share one block alone, all in one bucket: none is lost, whatever the bucket's size, and
+    whether it is compared in chunks or split."""
     random.seed(15)
     values = []
     for k in range(600):
         x = random.getrandbits(128) >> 32 << 32 | 0xDEADBEEF
         values += [x, _flip(x, [random.randrange(32 * i, 32 * i + 32) for i in (1, 2, 3)])]
     want = {(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 3}
-    for size in (2000, 64):
+    for size, dense in ((2000, 4096), (64, 4096), (64, 100)):
+        monkeypatch.setattr(common, "DENSE", dense)
         found, groups = common.bucket_links(_signed(spark, values), [line_dedup.by_block, line_dedup.by_rest], line_dedup.near(3), lambda pairs: pairs, size)
         assert {tuple(r) for r in found.collect()} == want and len(want) >= 600
         assert {r["node"]: r["component"] for r in groups.collect()} == _components(range(len(values)), want)
 
 
-def test_groups_of_dense_buckets(spark):
+def test_groups_of_dense_buckets(spark, monkeypatch):
     """Families that share all blocks but the last bits, and links that only some pairs have: groups as of all pairs."""
     random.seed(16)
     values = [random.choice([0, 7 << 40, 0xFFFF << 80]) ^ random.getrandbits(9) for _ in range(500)]
     edges = [(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 3 and (a + b) % 7 == 0]
     want = _components(range(len(values)), edges)
-    for size, rare in ((1000, False), (16, True)):
+    for size, rare, dense in ((1000, False, 4096), (16, True, 4096), (16, True, 32)):
+        monkeypatch.setattr(common, "DENSE", dense)
+        monkeypatch.setattr(common, "CHUNK", 16)
         _, groups = common.bucket_links(_signed(spark, values), [line_dedup.by_block, line_dedup.by_rest], line_dedup.near(3), lambda pairs: pairs.where("(a + b) % 7 = 0"), size, rare=rare)
         got = {r["node"]: r["component"] for r in groups.collect()}
         assert all(got.get(i, i) == want[i] for i in want)
 
 
+def test_parities_lose_no_link():
+    """Texts that reach the similarity never differ in more parities than it allows."""
+    random.seed(18)
+    checked = 0
+    for base in _texts(19, 60, 60):
+        copy = list(base)
+        for _ in range(random.randint(0, 5)):
+            copy[random.randrange(len(copy))] = random.choice(["new", "w1", "other"])
+        texts = [" ".join(base), " ".join(copy)]
+        s = near_duplicates.sketches(texts)
+        k = near_duplicates.SKETCHES
+        differ = sum((int(x) ^ int(y) & (1 << 64) - 1).bit_count() if x != y else 0 for x, y in zip(*s[:, k:-1].astype("uint64")))
+        a, b = near_duplicates.shingle_lists(texts)
+        assert list(s[:, -1]) == [len(a), len(b)]
+        if near_duplicates.aligned(a, b):
+            checked += 1
+            assert differ <= (len(a) + len(b)) / 9 + 1e-9
+    assert checked > 20
+
+
 def test_templates_with_a_near_copy_each(spark, documents):
     """Texts of one template that are no copies of each other (below the threshold), each with one near copy."""
     random.seed(17)
