@@ -95,8 +95,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
-#: Hubs that the nodes of a large bucket are held against, one after the other, before all is compared.
-HUBS = 3
+#: Hubs that the nodes of a large bucket are held against before all is compared.
+HUBS = 4
 #: Buckets of up to so many nodes are compared whole, in chunks of CHUNK nodes; larger ones are split.
 DENSE, CHUNK = 4096, 256
 #: From (s, key, state): the buckets (array of (key, state)) that a row of a bucket is dealt to.
@@ -111,8 +111,8 @@ def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Col
     candidates that are links. The groups are exact: the same as if every candidate had been verified.
 
     In a bucket of at most `bucket` nodes all candidates are verified. In a larger one each node is first held against
-    up to `HUBS` hubs: the node whose buckets hold the most nodes, then nodes of the bucket's largest group so far. That
-    joins most of a family of copies. Two nodes that are in one group by now need no look at each other, so only buckets
+    `HUBS` hubs: the nodes of greatest hashes, so that buckets with many nodes in common have the same hubs. That joins
+    most of a family of copies. Two nodes that are in one group by now need no look at each other, so only buckets
     with nodes of several groups go on, and only pairs of different groups become candidates there. Those of at most
     `DENSE` nodes, and all after the last split, are compared in chunks of `CHUNK` nodes, each with each; larger ones are
     split. So no group is gathered, and a family's pairs are not all made.
@@ -156,45 +156,34 @@ def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Col
             look_at(pairs, f"{depth}")
             break
         large = materialise(level.join(small_or_shuffled(many, n_many), "key"), f"large-{depth}")
-        look_at(pairs.union(_hub_pairs(large, _first_hubs(large), close)), f"{depth}-0")
-        for turn in range(1, HUBS):
-            large = unsettled(large, f"{depth}-{turn}")
-            if large.isEmpty():
-                break
-            look_at(_hub_pairs(large, _next_hubs(large, turn), close), f"{depth}-{turn}")
-        large = unsettled(large, f"{depth}-{HUBS}")
+        look_at(pairs.union(_hub_pairs(large, close)), f"{depth}-hubs")
+        large = unsettled(large, f"{depth}-rest")
         last = depth == len(splits) - 1
-        look_at(_chunk_pairs(large if last else large.where(F.col("n") <= DENSE), close), f"{depth}-{HUBS}")
-        if last:
-            break
+        look_at(_chunk_pairs(large if last else large.where(F.col("n") <= DENSE), close), f"{depth}-chunks")
         level = large.where(F.col("n") > DENSE)
-        if level.isEmpty():
+        if last or level.isEmpty():
             break
         own = ["node", "s", "label"]
-        level = unsettled(level, f"{depth}-rest").select(*own, "key", "state")
+        level = unsettled(level, f"{depth}-split").select(*own, "key", "state")
     return found, groups
 
 
-def _first_hubs(large: DataFrame) -> DataFrame:
-    """(key, y, n): the node of each bucket whose buckets hold the most nodes."""
-    weight = large.groupBy("node").agg(F.sum("n").alias("weight"))
-    hub = F.max_by(F.struct("node", "s"), F.struct("weight", F.xxhash64("node"))).alias("y")
-    return large.hint("merge").join(weight, "node").groupBy("key").agg(hub, F.count("*").alias("n"))
-
-
-def _next_hubs(large: DataFrame, turn: int) -> DataFrame:
-    """(key, y, n): a node of the largest group of each bucket, another one each turn."""
-    hub = F.max_by(F.struct("node", "s", "label"), F.xxhash64("node", F.lit(turn))).alias("y")
-    by_group = large.groupBy("key", "label").agg(hub, F.count("*").alias("size"))
-    return by_group.groupBy("key").agg(F.max_by("y", F.struct("size", "label")).alias("y"), F.sum("size").alias("n"))
+def _hub_pairs(large: DataFrame, close) -> DataFrame:
+    """Candidates of a node and a hub of its bucket. Buckets of over a thousandth of the rows are fewer than a thousand:
+    their hubs are broadcast. Those of the rest are joined by shuffle (or broadcast, if few), where no bucket is large."""
+    hub = F.struct("node", "s", *(["label"] if "label" in large.columns else []))
+    chosen = F.array_distinct(F.array(*[F.max_by(hub, F.xxhash64("node", F.lit(i))) for i in range(HUBS)]))
+    hubs = materialise(large.groupBy("key").agg(chosen.alias("hubs"), F.count("*").alias("n")), "hubs")
+    bound = (hubs.agg(F.sum("n")).first()[0] or 0) / 1000
+    hubs = hubs.select("key", "n", F.explode("hubs").alias("y")).select(F.col("key").alias("hub_key"), "n", "y.*")
+    apart = F.col("x.label") != F.col("y.label") if "label" in large.columns else F.lit(True)
+    match = (F.col("x.key") == F.col("y.hub_key")) & (F.col("x.node") != F.col("y.node")) & apart & close(F.col("x.s"), F.col("y.s"))
 
+    def star(y: DataFrame) -> DataFrame:
+        return large.alias("x").join(y.alias("y"), match).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
-def _hub_pairs(large: DataFrame, hubs: DataFrame, close) -> DataFrame:
-    hubs = materialise(hubs, "hubs")
-    star = join_hot(large.drop("n"), hubs, "key", "y", "n").alias("x")
-    apart = F.col("x.label") != F.col("y.label") if "label" in large.columns and "label" in hubs.schema["y"].dataType.names else F.lit(True)
-    star = star.where((F.col("x.node") != F.col("y.node")) & apart & close(F.col("x.s"), F.col("y.s")))
-    return star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    hot, rest = hubs.where(F.col("n") > bound), hubs.where(F.col("n") <= bound)
+    return star(F.broadcast(hot)).union(star(small_or_shuffled(rest)))
 
 
 def _chunk_pairs(large: DataFrame, close) -> DataFrame:

@@ -35,6 +35,9 @@ from . import common
 
 SHINGLE, THRESHOLD, SKETCHES, PICK, BUCKET, SHARED = 5, 0.8, 16, 2, 24, 3
 PARITY = 16
+#: 14 bits of each sketch in lanes of 16 bits, four a long: candidates are compared by these, buckets made by the sketches.
+LANES = SKETCHES // 4
+_LANE, _CARRY = 0x3FFF3FFF3FFF3FFF, 0x4000400040004000
 _SEEDS = [(0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(64)]
 
 
@@ -51,9 +54,10 @@ def occurrences(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sketches(texts: list[str], m: int = SKETCHES, pick: int = PICK) -> np.ndarray:
-    """m sketches of each text, then the parities of its shingles, then their number; texts without a word have zeros."""
+    """m sketches of each text, these in lanes, the parities of its shingles, their number; zeros for texts without a word."""
     h, n = common.shingles(*common.word_hashes(texts), SHINGLE)
-    out = np.zeros((len(texts), m + PARITY + 1), np.int64)
+    lanes = -(-m // 4)
+    out = np.zeros((len(texts), m + lanes + PARITY + 1), np.int64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
@@ -63,8 +67,8 @@ def sketches(texts: list[str], m: int = SKETCHES, pick: int = PICK) -> np.ndarra
     width = PARITY * 64
     place = np.repeat(np.arange(len(texts)), n) * width + (labelled >> np.uint64(32)).astype(np.int64) % width
     odd = (np.bincount(place, minlength=len(texts) * width) & 1).astype(np.uint8).reshape(len(texts), width)
-    out[:, m : m + PARITY] = np.packbits(odd, axis=1).view(np.int64)
-    out[:, m + PARITY] = n
+    out[:, m + lanes : -1] = np.packbits(odd, axis=1).view(np.int64)
+    out[:, -1] = n
     for i in range(m):
         x = common.mix(labelled ^ np.uint64(_SEEDS[i]))
         places, values = [], []
@@ -82,6 +86,7 @@ def sketches(texts: list[str], m: int = SKETCHES, pick: int = PICK) -> np.ndarra
         for row in ordered:
             total = common.mix(total * np.uint64(0x9E3779B97F4A7C15) + row)
         out[full, i] = total.view(np.int64)
+        out[full, m + i // 4] |= (total >> np.uint64(50)).astype(np.int64) << (i % 4 * 16)
     return out
 
 
@@ -139,15 +144,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def share_enough(threshold: float) -> Callable[[Column, Column], Column]:
-    """Whether two texts share sketches enough, and differ in no more parities than the threshold allows."""
+    """Whether two texts share sketches enough, and differ in no more parities than the threshold allows. Kept short:
+    beyond 8,000 bytes of code the JVM doesn't compile a join's loop."""
     allowed = (1 - threshold) / (1 + threshold)
 
     def close(s: Column, t: Column) -> Column:
-        shared = reduce(add, [F.when(F.get(s, i) == F.get(t, i), 1).otherwise(0) for i in range(SKETCHES)])
-        parities = range(SKETCHES, SKETCHES + PARITY)
-        differ = reduce(add, [F.bit_count(F.get(s, i).bitwiseXOR(F.get(t, i))) for i in parities])
-        n = F.get(s, SKETCHES + PARITY) + F.get(t, SKETCHES + PARITY)
-        return (shared >= SHARED) & (differ <= n * allowed + 1e-9)
+        lanes, parities = (range(SKETCHES, SKETCHES + LANES), range(SKETCHES + LANES, SKETCHES + LANES + PARITY))
+        differ = lambda i: F.get(s, i).bitwiseXOR(F.get(t, i))
+        other = reduce(add, [F.bit_count((differ(i) + F.lit(_LANE)).bitwiseAND(F.lit(_CARRY))) for i in lanes])
+        odd = reduce(add, [F.bit_count(differ(i)) for i in parities])
+        n = F.get(s, SKETCHES + LANES + PARITY) + F.get(t, SKETCHES + LANES + PARITY)
+        return (other <= SKETCHES - SHARED) & (odd <= n * allowed + 1e-9)
 
     return close
 

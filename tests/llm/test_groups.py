@@ -194,7 +194,7 @@ def test_parities_lose_no_link():
             copy[random.randrange(len(copy))] = random.choice(["new", "w1", "other"])
         texts = [" ".join(base), " ".join(copy)]
         s = near_duplicates.sketches(texts)
-        k = near_duplicates.SKETCHES
+        k = near_duplicates.SKETCHES + near_duplicates.LANES
         differ = sum((int(x) ^ int(y) & (1 << 64) - 1).bit_count() if x != y else 0 for x, y in zip(*s[:, k:-1].astype("uint64")))
         a, b = near_duplicates.shingle_lists(texts)
         assert list(s[:, -1]) == [len(a), len(b)]
