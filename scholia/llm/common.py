@@ -103,7 +103,7 @@ DENSE, CHUNK = 4096, 256
 Split = Callable[[], Column]
 
 
-def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], bucket: int, *, rare: bool = False) -> tuple[DataFrame, DataFrame]:
+def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], bucket: int, *, rare: bool = False, first: Callable[[Column, Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links among nodes (node, s) and their groups: ((a, b, ...) that verify found, (node, component)).
 
     Two nodes are candidates if close(s of one, s of the other), a Column. splits[0] must put any two candidates into a
@@ -116,6 +116,8 @@ def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Col
     with nodes of several groups go on, and only pairs of different groups become candidates there. Those of at most
     `DENSE` nodes, and all after the last split, are compared in chunks of `CHUNK` nodes, each with each; larger ones are
     split. So no group is gathered, and a family's pairs are not all made.
+    first(s, t, state): how many buckets before this one (in the order of state) the two share; a candidate is given in
+    its first bucket alone (of its depth: after as many as there were splits), not in all of them.
     rare: most buckets of splits[0] have one node, so s is joined to the rest after these are dropped.
     """
     level = nodes.select("node", "s", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("state"))
@@ -159,7 +161,9 @@ def bucket_links(nodes: DataFrame, splits: Sequence[Split], close: Callable[[Col
         look_at(pairs.union(_hub_pairs(large, close)), f"{depth}-hubs")
         large = unsettled(large, f"{depth}-rest")
         last = depth == len(splits) - 1
-        look_at(_chunk_pairs(large if last else large.where(F.col("n") <= DENSE), close), f"{depth}-chunks")
+        in_first = first(F.col("x.s"), F.col("y.s"), F.col("x.state")) == depth if first else F.lit(True)
+        once = lambda s, t, in_first=in_first: close(s, t) & in_first
+        look_at(_chunk_pairs(large if last else large.where(F.col("n") <= DENSE), once), f"{depth}-chunks")
         level = large.where(F.col("n") > DENSE)
         if last or level.isEmpty():
             break

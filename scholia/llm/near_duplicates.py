@@ -164,6 +164,12 @@ def by_sketch() -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: i >= F.col("state")), lambda i: F.struct(F.xxhash64("key", i, F.get("s", i)).alias("key"), (i + 1).cast("long").alias("state")))
 
 
+def shared_before(s: Column, t: Column, state: Column) -> Column:
+    """How many sketches two texts share before the one that made their bucket."""
+    head = lambda x: F.slice(x, F.lit(1), state.cast("int") - 1)
+    return F.size(F.filter(F.zip_with(head(s), head(t), lambda u, v: u == v), lambda same: same))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): the pairs (a, b) of doc_ids whose texts are aligned to the threshold."""
     needed = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
@@ -191,7 +197,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) of verified links between different texts, by node, and (node, component)."""
     found = nodes.where("s[0] <> 0")  # texts with a word
-    return common.bucket_links(found, [by_sketch] * SHARED, share_enough(threshold), lambda pairs: verified(docs, pairs, threshold), BUCKET, rare=True)
+    return common.bucket_links(found, [by_sketch] * SHARED, share_enough(threshold), lambda pairs: verified(docs, pairs, threshold), BUCKET, rare=True, first=shared_before)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

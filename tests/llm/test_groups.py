@@ -204,7 +204,7 @@ def test_parities_lose_no_link():
     assert checked > 20
 
 
-def test_templates_with_a_near_copy_each(spark, documents):
+def test_templates_with_a_near_copy_each(spark, documents, monkeypatch):
     """Texts of one template that are no copies of each other (below the threshold), each with one near copy."""
     random.seed(17)
     fixed, rows = [f"t{i}" for i in range(180)], []
@@ -216,8 +216,10 @@ def test_templates_with_a_near_copy_each(spark, documents):
     lists = near_duplicates.shingle_lists([t for _, t in rows])
     edges = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if near_duplicates.aligned(lists[a], lists[b]) > 0]
     assert {(2 * k, 2 * k + 1) for k in range(120)} <= set(edges) and len(edges) < 2000
-    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(documents(rows)).collect()}
-    assert got == _components(range(len(rows)), edges)
+    for dense in (4096, 40):  # compared in chunks, or split
+        monkeypatch.setattr(common, "DENSE", dense)
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(documents(rows)).collect()}
+        assert got == _components(range(len(rows)), edges)
 
 
 def test_names_that_clash(spark, documents):
