@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
+from scholia.plans.lineage import cut
 
 #: Query tables of at most so many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -30,15 +31,15 @@ def query_words(queries: DataFrame, longer_than: int) -> DataFrame:
     return words.groupBy("qid", "word").agg(F.count("*").alias("qtf"), F.min("pos").alias("qpos"))
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame, fields: Sequence[str], longer_than: int, key: str = "ord") -> DataFrame:
-    """(qid, key, score, qpos): the sum over query words of their counts on both sides.
-
-    Only words that some query has leave the scan: the queries' words are joined before postings are counted.
-    """
-    q = query_words(queries, longer_than)
+def wanted_postings(q: DataFrame, docs: DataFrame, fields: Sequence[str], longer_than: int, key: str = "ord") -> DataFrame:
+    """postings of those words alone that some query has: they are joined before anything is counted."""
     wanted = sized(q.select("word").distinct())
     words = docs.select(key, F.explode(tx.tokens(F.concat_ws(" ", *fields), longer_than)).alias("word"))
-    tf = words.join(wanted, "word", "left_semi").groupBy("word", key).agg(F.count("*").alias("tf"))
+    return words.join(wanted, "word", "left_semi").groupBy("word", key).agg(F.count("*").alias("tf"))
+
+
+def keyword_scores(q: DataFrame, tf: DataFrame, key: str = "ord") -> DataFrame:
+    """(qid, key, score, qpos): the sum over query words of their counts on both sides."""
     hit = tf.join(sized(q), "word")
     return hit.groupBy("qid", key).agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"), F.min("qpos").alias("qpos"))
 
@@ -51,20 +52,40 @@ def top_k(scored: DataFrame, k: int, order: Sequence[Column], by: str = "qid") -
 
 def search(queries: DataFrame, docs: DataFrame, fields: Sequence[str], longer_than: int = 3, k: int = 10) -> DataFrame:
     """(qid, ord, score, rank): ties go to the document that an earlier query word touched, then to the earlier one."""
-    scored = keyword_scores(queries, docs, fields, longer_than)
+    q = query_words(queries, longer_than)
+    scored = keyword_scores(q, wanted_postings(q, docs, fields, longer_than))
     return top_k(scored, k, [F.desc("score"), F.col("qpos"), F.col("ord")]).select("qid", "ord", "score", "rank")
 
 
-def search_literature(queries: DataFrame, docs: DataFrame, fields: Sequence[str], whole: Sequence[str], title: str, k: int = 10) -> DataFrame:
-    """search over words of more than two characters, plus 5 for each of the `whole` fields that contains the query."""
-    scored = keyword_scores(queries, docs, fields, 2).select("qid", "ord", "score")
-    q = sized(queries.select("qid", F.lower("text").alias("q")).where("q <> ''"))
+def containing(queries: DataFrame, docs: DataFrame, tf: DataFrame, whole: Sequence[str], longer_than: int) -> DataFrame:
+    """(qid, ord, fields): how many of the `whole` fields contain the query's lower-cased text, where any does.
+
+    A text that contains a query has the query's inner words (those with another character on both sides) as words of its
+    own. So only documents with the rarest of these are looked at; tf: postings of the query's words in those fields.
+    Queries without such a word (one or two words) are held against all documents; an empty query is in none.
+    """
+    q = queries.select("qid", F.lower("text").alias("q")).where("q <> ''")
+    inner = tx.tokens(F.regexp_replace("q", f"^{tx.WORD}|{tx.WORD}$", ""), longer_than)
+    words = q.select("qid", F.explode(F.array_distinct(inner)).alias("word"))
+    often = sized(tf.groupBy("word").agg(F.count("*").alias("n")))
+    rarest = words.join(often, "word", "left").groupBy("qid").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    rarest = cut(rarest)
+    pairs = tf.select("word", "ord").join(sized(rarest), "word").select("qid", "ord")
     low = docs.select("ord", *[F.lower(F.col(c)).alias(c) for c in whole])
-    hits = sum((F.contains(F.col(c), F.col("q")).cast("int") for c in whole), F.lit(0))
-    contained = low.join(q, F.greatest(*[F.contains(F.col(c), F.col("q")) for c in whole], F.lit(False)))
-    contained = contained.select("qid", "ord", (hits * 5).cast("long").alias("score"))
-    both = scored.union(contained).groupBy("qid", "ord").agg(F.sum("score").alias("score"))
-    both = both.join(docs.where(F.trim(F.col(title)) != "").select("ord"), "ord", "left_semi")
+    some = low.join(sized(pairs), "ord").join(sized(q), "qid")
+    rest = low.join(sized(q.join(sized(rarest.select("qid")), "qid", "left_anti")), F.greatest(*[F.contains(F.col(c), F.col("q")) for c in whole], F.lit(False)))
+    n = sum((F.contains(F.col(c), F.col("q")).cast("int") for c in whole), F.lit(0)).alias("fields")
+    return some.select("qid", "ord", n).union(rest.select("qid", "ord", n)).where("fields > 0")
+
+
+def search_literature(queries: DataFrame, docs: DataFrame, fields: Sequence[str], whole: Sequence[str], title: str, k: int = 10) -> DataFrame:
+    """search over words of more than two characters, plus 5 for each of the `whole` fields (which are among `fields`)
+    that contains the query. Documents with a blank title are left out."""
+    docs = docs.where(F.trim(F.col(title)) != "")
+    q = query_words(queries, 2)
+    tf = cut(wanted_postings(q, docs, fields, 2))
+    contained = containing(queries, docs, tf, whole, 2).select("qid", "ord", (F.col("fields") * 5).cast("long").alias("score"))
+    both = keyword_scores(q, tf).select("qid", "ord", "score").union(contained).groupBy("qid", "ord").agg(F.sum("score").alias("score"))
     return top_k(both, k, [F.desc("score"), F.col("ord")]).select("qid", "ord", "score", "rank")
 
 
