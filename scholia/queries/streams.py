@@ -59,7 +59,7 @@ def stream_inc_extract(spark, d):
     s = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet*").parquet(d)
     at = _folder(spark)
     key = lambda b: b.select("doc_id", F.sha2(F.substring(F.encode("text", "UTF-8"), 1, 8192), 256).alias("key"))
-    handle = lambda b: b.write.mode("append").parquet(f"{at}/out")
+    handle = lambda b, epoch: b.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
     _finish(s.writeStream.foreachBatch(c.extract_new(f"{at}/cache", key, handle)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
     return spark.read.parquet(f"{at}/out").select("key")
 

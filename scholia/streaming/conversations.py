@@ -63,22 +63,29 @@ def last_messages(messages: DataFrame, n: int = 20, ttl_seconds: float = 3600.0)
     return kept.groupBy("conv_id").agg(F.count("*").cast("int").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def extract_new(cache_path: str, key: Callable[[DataFrame], DataFrame], handle: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: rows whose content key isn't in the cache table are handled, then their keys are added."""
+def extract_new(cache_path: str, key: Callable[[DataFrame], DataFrame], handle: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: rows whose content key no earlier batch had go to handle(rows, epoch), then their keys
+    are cached. Of rows with the same key in a batch the least stays.
+
+    The cache has a folder for each batch, which a batch that runs again writes anew; it looks at the folders of earlier
+    batches alone, so it finds the same rows. A handle that replaces what it wrote for an epoch so gives each row once.
+    A cache belongs to one checkpoint: with a new one epochs start again.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        keyed = key(batch)
+        fresh = key(batch)
+        columns = fresh.columns
         try:
-            known = spark.read.schema("key string").parquet(cache_path)
-            fresh = keyed.join(known.select("key"), "key", "left_anti")
+            known = spark.read.schema("key string, epoch long").parquet(cache_path).where(F.col("epoch") < epoch)
+            fresh = fresh.join(known.select("key"), "key", "left_anti")
         except Exception as e:  # the first batch has no cache yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            fresh = keyed
-        fresh = fresh.dropDuplicates(["key"]).persist()
-        handle(fresh)
-        fresh.select("key").write.mode("append").parquet(cache_path)
+        least = fresh.groupBy("key").agg(F.min(F.struct(*[c for c in columns if c != "key"])).alias("least"))
+        fresh = least.select("key", "least.*").select(*columns).persist()
+        handle(fresh, epoch)
+        fresh.select("key").write.mode("overwrite").parquet(f"{cache_path}/epoch={epoch}")
         fresh.unpersist()
 
     return run

@@ -1,13 +1,14 @@
 """Operators whose order of work matters, against small brute-force versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
-from scholia.operators import extraction, graph, rules, segment, vectors
+from scholia.operators import extraction, graph, retrieval, rules, segment, vectors
 from scholia.sources import records
 
 
@@ -142,3 +143,40 @@ def test_stream_equals_batch(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"))
     batch = {r["conv_id"]: (r["n"], r["us"]) for r in c.last_messages(e).select("conv_id", "n", F.unix_micros("last_ts").alias("us")).collect()}
     assert live == batch
+
+
+def test_new_content_once_when_a_batch_is_repeated(spark, tmp_path):
+    from scholia.streaming import conversations as c
+
+    out = {}
+    handle = lambda rows, epoch: out.__setitem__(epoch, sorted(map(tuple, rows.collect())))
+    run = c.extract_new(f"{tmp_path}/cache", lambda b: b, handle)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, key string")
+    run(batch((2, "a"), (1, "a"), (3, "b")), 0)
+    run(batch((2, "a"), (1, "a"), (3, "b")), 0)
+    run(batch((4, "b"), (5, "c")), 1)
+    run(batch((4, "b"), (5, "c")), 1)
+    assert out == {0: [(1, "a"), (3, "b")], 1: [(5, "c")]}
+
+
+def test_literature_contains_whole_query(spark):
+    """Against all documents for all queries; one- and two-word queries, marks, and words that stand in no document."""
+    random.seed(5)
+    word = lambda: random.choice(["Alpha", "beta", "of", "gamma", "Straße", "x_1", "delta", "ab"])
+    text = lambda n: "".join(word() + random.choice([" ", " ", ", ", "-", "."]) for _ in range(n))
+    docs = [(i, text(2) if i % 9 else " ", text(30), random.choice(["J of beta", "alpha"])) for i in range(60)]
+    queries = [(i, docs[i][2][i % 7 : i % 7 + 6 + i]) for i in range(40)] + [(50, "beta"), (51, "lpha"), (52, ""), (53, "beta nowhere gamma"), (54, None), (55, "(of"), (56, "ab of ab")]
+    d = spark.createDataFrame(docs, "ord long, title string, body string, journal string")
+    q = spark.createDataFrame(queries, "qid long, text string")
+    fields = ["title", "body", "journal"]
+    got = {(r["qid"], r["ord"]): r["score"] for r in retrieval.search_literature(q, d, fields, fields, "title", 100).collect()}
+    want = {}
+    for qid, t in queries:
+        own = [w for w in re.findall(r"\w+", (t or "").lower()) if len(w) > 2]
+        for i, *texts in docs:
+            low = [x.lower() for x in texts]
+            words = re.findall(r"\w+", " ".join(low))
+            score = sum(words.count(w) for w in own) + 5 * sum(bool(t) and t.lower() in x for x in low)
+            if score and texts[0].strip():
+                want[qid, i] = score
+    assert got == want
