@@ -71,13 +71,15 @@ def src_crossref_flatten(spark, d):
 
 
 def src_openalex_flatten(spark, d):
-    """Customers of each nation as a page of citing works; pages are read until 200 works are reached."""
+    """Regions as cited papers, customers of each nation as a page of citing works; pages are read until 200 works of a
+    region are reached."""
     c = table(spark, d, "customer")
     who = F.when(F.col("c_custkey") % 3 != 0, F.array(F.struct(F.struct(F.col("c_name").alias("display_name")).alias("author"))))
     work = F.struct(F.concat(F.lit("W"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("title"), (F.col("c_custkey") % 50).alias("cited_by_count"), F.lit(2020).alias("publication_year"), who.alias("authorships"))
     pages = c.groupBy(F.col("c_nationkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", work.alias("w")))).alias("r"))
-    pages = pages.select("page", F.to_json(F.struct(F.transform("r", lambda x: x["w"]).alias("results"))).alias("value"))
-    return s.flatten_citing(pages, 200).select("page", "id", "title", "author", "citations", "year")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("page"), F.col("n_regionkey").alias("cited"))
+    pages = pages.join(nations.hint("merge"), "page").select("cited", "page", F.to_json(F.struct(F.transform("r", lambda x: x["w"]).alias("results"))).alias("value"))
+    return s.flatten_citing(pages, 200).select("cited", "page","id", "title", "author", "citations", "year")
 
 
 def kg_flatten(spark, d):
@@ -112,8 +114,8 @@ QUERIES = {
     ),
     "src_openalex_flatten": (
         src_openalex_flatten,
-        """with n as (select c_nationkey, sum(count(*)) over (order by c_nationkey) - count(*) as before from customer group by 1)
-        select c_nationkey as page, 'W' || c_custkey as id, c_mktsegment as title, case when c_custkey % 3 <> 0 then c_name else 'Unknown' end as author, (c_custkey % 50)::int as citations, 2020 as year from customer join n using (c_nationkey) where before < 200""",
+        """with n as (select n_regionkey as cited, c_nationkey, sum(count(*)) over (partition by n_regionkey order by c_nationkey) - count(*) as before from customer join nation on c_nationkey = n_nationkey group by 1, 2)
+        select cited, c_nationkey as page, 'W' || c_custkey as id, c_mktsegment as title, case when c_custkey % 3 <> 0 then c_name else 'Unknown' end as author, (c_custkey % 50)::int as citations, 2020 as year from customer join n using (c_nationkey) where before < 200""",
     ),
     "kg_flatten": (kg_flatten, "with e as (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as dst from lineitem) where src <> dst) select src, src::varchar as source, dst::varchar as target, 'next' as label from e"),
     "json_repair_parse": (json_repair_parse, "select event_id, case when event_id % 5 <> 4 then (props->>'k')::int end as k from events"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -90,16 +90,16 @@ def flatten_work(rows: DataFrame, value: str = "value") -> DataFrame:
 CITING = "results array<struct<id: string, doi: string, title: string, cited_by_count: int, publication_year: int, authorships: array<struct<author: struct<display_name: string>>>, referenced_works: array<string>>>"
 
 
-def flatten_citing(pages: DataFrame, max_papers: int, page: str = "page", value: str = "value") -> DataFrame:
-    """Citing works of result pages (page, JSON) in order, to the end of the page on which max_papers are reached."""
-    from pyspark.sql import Window
-
-    p = pages.select(F.col(page).alias("page"), F.from_json(value, CITING)["results"].alias("r"))
-    before = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # a row a page
-    p = p.withColumn("before", F.coalesce(F.sum(F.size("r")).over(before), F.lit(0))).where(F.col("before") < max_papers)
-    rows = p.select("page", F.posexplode("r").alias("pos", "w"))
+def flatten_citing(pages: DataFrame, max_papers: int, cited: str = "cited", page: str = "page", value: str = "value") -> DataFrame:
+    """Citing works of each cited paper's result pages (cited, page, JSON) in order, to the end of the page on which
+    max_papers of that paper are reached. Pages are counted without what stands on them."""
+    p = pages.select(F.col(cited).alias("cited"), F.col(page).alias("page"), F.from_json(value, CITING)["results"].alias("r"))
+    before = Window.partitionBy("cited").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.size(F.coalesce("r", F.array().cast(p.schema["r"].dataType)))
+    read = p.select("cited", "page", n.alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < max_papers)
+    rows = p.join(read.select("cited", "page").hint("merge"), ["cited", "page"], "left_semi").select("cited", "page", F.posexplode("r").alias("pos", "w"))
     name = F.get("w.authorships", F.lit(0))["author"]["display_name"]
-    return rows.select("page", "pos", "w.id", "w.doi", "w.title", F.coalesce(name, F.lit("Unknown")).alias("author"), F.col("w.cited_by_count").alias("citations"), F.col("w.publication_year").alias("year"), F.col("w.referenced_works").alias("references"))
+    return rows.select("cited", "page", "pos", "w.id", "w.doi", "w.title", F.coalesce(name, F.lit("Unknown")).alias("author"), F.col("w.cited_by_count").alias("citations"), F.col("w.publication_year").alias("year"), F.col("w.referenced_works").alias("references"))
 
 
 def first_column(spark: SparkSession, path: str) -> DataFrame:
