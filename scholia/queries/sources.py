@@ -79,7 +79,7 @@ def src_openalex_flatten(spark, d):
     pages = c.groupBy(F.col("c_nationkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", work.alias("w")))).alias("r"))
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("page"), F.col("n_regionkey").alias("cited"))
     pages = pages.join(nations.hint("merge"), "page").select("cited", "page", F.to_json(F.struct(F.transform("r", lambda x: x["w"]).alias("results"))).alias("value"))
-    return s.flatten_citing(pages, 200).select("cited", "page","id", "title", "author", "citations", "year")
+    return s.flatten_citing(pages, 200).select("cited", "page", "id", "title", "author", "citations", "year")
 
 
 def kg_flatten(spark, d):
