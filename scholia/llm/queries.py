@@ -7,6 +7,7 @@ from .decontamination import op8_decontamination
 from .fingerprints import op6_fingerprints
 from .language_id import op2_language_id
 from .line_dedup import op10_line_dedup
+from .mixing import OP13_SQL, op13_mixing
 from .near_duplicates import op5_near_duplicates
 from .pieces import op9_piece_segmentation
 from .token_counts import op7_token_counts
@@ -15,7 +16,7 @@ from .warc import op3_warc
 
 _ALL = (
     op1_token_ids, op2_language_id, op3_warc, op4_chat, op5_near_duplicates,
-    op6_fingerprints, op7_token_counts, op8_decontamination, op9_piece_segmentation, op10_line_dedup,
+    op6_fingerprints, op7_token_counts, op8_decontamination, op9_piece_segmentation, op10_line_dedup, op13_mixing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -25,6 +26,7 @@ _BASE32 = " || ".join(
     for i in range(8) for j in range(4)
 )
 ORACLE_SQL: dict[str, str] = {
+    "op13_mixing": OP13_SQL,
     # types, sizes, digests and referrals of WARC records follow from the pages alone
     "op3_warc": f"""
         with p as (select page_id, coalesce(html, '') h from pages),
