@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .chat import op4_chat
 from .decontamination import op8_decontamination
 from .fingerprints import op6_fingerprints
@@ -10,13 +11,15 @@ from .line_dedup import op10_line_dedup
 from .mixing import OP13_SQL, op13_mixing
 from .near_duplicates import op5_near_duplicates
 from .pieces import op9_piece_segmentation
+from .spelling import OP12_SQL, op12_spelling_variants
 from .token_counts import op7_token_counts
 from .token_ids import op1_token_ids
 from .warc import op3_warc
 
 _ALL = (
     op1_token_ids, op2_language_id, op3_warc, op4_chat, op5_near_duplicates,
-    op6_fingerprints, op7_token_counts, op8_decontamination, op9_piece_segmentation, op10_line_dedup, op13_mixing,
+    op6_fingerprints, op7_token_counts, op8_decontamination, op9_piece_segmentation, op10_line_dedup,
+    op11_alignment, op12_spelling_variants, op13_mixing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -26,6 +29,7 @@ _BASE32 = " || ".join(
     for i in range(8) for j in range(4)
 )
 ORACLE_SQL: dict[str, str] = {
+    "op12_spelling_variants": OP12_SQL,
     "op13_mixing": OP13_SQL,
     # types, sizes, digests and referrals of WARC records follow from the pages alone
     "op3_warc": f"""
