@@ -86,12 +86,12 @@ def vocabulary(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: int
 
 
 def paths(words: DataFrame) -> DataFrame:
-    """(word, text, pos, node, next, own) of both tries. text is the word or its reverse; node stands for its first pos
+    """(word, side, text, pos, node, next, own) of both tries. text is the word (side 1) or its reverse (2); node stands for its first pos
     code points, next is the code point behind ('' at the end). own: whether the word itself starts there; the places
     before are for words one code point shorter."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["word", "text", "pos", "node", "next", "own"]
+        columns = ["word", "side", "text", "pos", "node", "next", "own"]
         out = []
         for pdf in batches:
             for word in pdf["word"]:
@@ -103,7 +103,7 @@ def paths(words: DataFrame) -> DataFrame:
                             x = (node ^ node >> 31) * 0xBF58476D1CE4E5B9 & _MASK
                             x = (x ^ x >> 29) * 0x94D049BB133111EB & _MASK
                             x ^= x >> 32
-                            out.append((word, text, i, x - (x >> 63 << 64), text[i : i + 1], i >= start))
+                            out.append((word, side, text, i, x - (x >> 63 << 64), text[i : i + 1], i >= start))
                             if len(out) >= 50_000:
                                 yield pd.DataFrame(out, columns=columns)
                                 out = []
@@ -111,7 +111,7 @@ def paths(words: DataFrame) -> DataFrame:
                             node = (node * 0x9E3779B97F4A7C15 + ord(text[i]) + 1) & _MASK
         yield pd.DataFrame(out, columns=columns)
 
-    return words.select("word").mapInPandas(walk, "word string, text string, pos int, node long, next string, own boolean")
+    return words.select("word").mapInPandas(walk, "word string, side int, text string, pos int, node long, next string, own boolean")
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +122,7 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     stops = common.materialise(stops.where("lo <> hi or lo = ''").select("node", "n"), "stops")
     own = common.join_hot(rows, stops, "node", "n", "n").where("n is not null")
     at = F.struct("pos", "node", "own")
-    own = common.materialise(own.groupBy("word", "text").agg(F.sort_array(F.collect_list(at)).alias("stops")), "own-stops")
+    own = common.materialise(own.groupBy("word", "side", "text").agg(F.sort_array(F.collect_list(at)).alias("stops")), "own-stops")
     first, last = F.slice("stops", 1, F.size("stops") - 1), F.slice("stops", 2, F.size("stops") - 1)
     steps = own.select("word", "text", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("x"))
     steps = steps.select(F.col("x.a.node").alias("node"), F.substring("text", F.col("x.a.pos") + 1, F.col("x.b.pos") - F.col("x.a.pos")).alias("label"), F.col("x.b.node").alias("child"), F.when(F.col("x.b.pos") == F.length("text"), F.col("word")).alias("end"))
@@ -156,7 +156,7 @@ def follow(states: DataFrame, edges: DataFrame, few: bool, on) -> DataFrame:
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near), both ways, of the words (word) that are one edit apart."""
     edges, states = trie(words)
-    few = edges.count() <= common.BROADCAST_ROWS and edges.agg(F.sum(F.octet_length("label"))).first()[0] <= common.BROADCAST_BYTES
+    few = edges.count() <= common.BROADCAST_ROWS and (edges.agg(F.sum(F.octet_length("label"))).first()[0] or 0) <= common.BROADCAST_BYTES
     k, pos = F.length("e.label"), F.col("s.pos")
     part = lambda start, size: F.substring("s.text", start + 1, size)
     behind = F.substring("e.label", F.lit(2), k)
