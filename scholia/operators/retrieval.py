@@ -90,11 +90,28 @@ def search_literature(queries: DataFrame, docs: DataFrame, fields: Sequence[str]
 
 
 def search_substring(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, id, name, rank): rows whose name contains the query; in the order in which their names first occur."""
-    first = rows.groupBy(F.lower("name").alias("low")).agg(F.min("ord").alias("name_ord"))
-    hit = first.join(sized(queries.select("qid", F.lower("text").alias("q"))), F.contains("low", "q"))
-    hit = hit.join(rows.select("ord", "id", "name", F.lower("name").alias("low")).hint("merge"), "low")
-    return top_k(hit, k, [F.col("name_ord"), F.col("ord")]).select("qid", "id", "name", "rank")
+    """(qid, id, name, rank): rows whose name contains the query; in the order in which their names first occur. An empty
+    query is in every name."""
+    from .containment import contained
+
+    low = cut(rows.select("ord", "id", "name", F.lower("name").alias("low")))
+    first = low.groupBy("low").agg(F.min("ord").alias("name_ord"))
+    q = queries.select(F.col("qid").alias("n"), F.lower("text").alias("needle"))
+    hit = contained(q, first.select(F.col("name_ord").alias("t"), F.col("low").alias("text"))).select(F.col("n").alias("qid"), F.col("t").alias("name_ord"))
+    blank = top_k(low.hint("merge").join(first.hint("merge"), "low").withColumn("qid", F.lit(0)), k, [F.col("name_ord"), F.col("ord")]).drop("qid")
+    blank = q.where("needle = ''").select(F.col("n").alias("qid")).join(F.broadcast(blank), how="cross").select("qid", "id", "name", "rank")
+    hit = hit.hint("merge").join(first.hint("merge"), "name_ord").hint("merge").join(low, "low")
+    return top_k(hit, k, [F.col("name_ord"), F.col("ord")]).select("qid", "id", "name", "rank").union(blank)
+
+
+def either_way(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, id): queries (qid, text) and names (id, name) of which one contains the other. Empty ones are in none."""
+    from .containment import contained
+
+    q, n = cut(queries.select("qid", "text")), cut(names.select("id", "name"))
+    ahead = contained(q.select(F.col("qid").alias("n"), F.col("text").alias("needle")), n.select(F.col("id").alias("t"), F.col("name").alias("text")))
+    back = contained(n.select(F.col("id").alias("n"), F.col("name").alias("needle")), q.select(F.col("qid").alias("t"), "text"))
+    return ahead.select(F.col("n").alias("qid"), F.col("t").alias("id")).union(back.select(F.col("t").alias("qid"), F.col("n").alias("id"))).distinct()
 
 
 def tier_search(queries: DataFrame, rows: DataFrame, words: Sequence[str] = (), k: int = 10) -> DataFrame:
@@ -103,9 +120,8 @@ def tier_search(queries: DataFrame, rows: DataFrame, words: Sequence[str] = (),
     q = queries.select("qid", F.lower(F.trim("text")).alias("q")).where("q <> ''")
     low = rows.select("ord", "name", "cls", F.lower("name").alias("low"))
     equal = low.join(q.hint("merge"), low.low == q.q).select("qid", "ord", F.lit(100).alias("score"), F.lit(1).alias("tier"))
-    names = low.select("low").distinct()
-    part = names.join(sized(q), F.contains("low", "q") | F.contains("q", "low"))
-    part = part.join(low.select("ord", "low").hint("merge"), "low").select("qid", "ord", F.lit(50).alias("score"), F.lit(2).alias("tier"))
+    part = either_way(q.select("qid", F.col("q").alias("text")), low.select("low").distinct().select(F.col("low").alias("id"), F.col("low").alias("name")))
+    part = part.select("qid", F.col("id").alias("low")).hint("merge").join(low.select("ord", "low"), "low").select("qid", "ord", F.lit(50).alias("score"), F.lit(2).alias("tier"))
     named = q.select("qid", F.explode(tx.tokens(F.col("q"))).alias("word"))
     of_class = named.join(low.select("ord", F.lower("cls").alias("word")).hint("merge"), "word").select("qid", "ord", F.lit(40).alias("score"), F.lit(3).alias("tier"))
     qt = q.select("qid", F.explode(F.array_distinct(tx.alpha_tokens(F.col("q")))).alias("word"))
@@ -116,6 +132,39 @@ def tier_search(queries: DataFrame, rows: DataFrame, words: Sequence[str] = (),
     return best.join(low.select("ord", "name"), "ord").select("qid", "name", "score", "rank")
 
 
+def retrieve(queries: DataFrame, names: DataFrame, docs: DataFrame, fields: Sequence[str], entries: DataFrame, entry_fields: Sequence[str], types: DataFrame, info: Column, k: int = 5) -> DataFrame:
+    """(qid, kind, id, rank): all that a query's context is made of.
+
+    compound: names (ord, id, name) that contain one of its words of more than three characters (the first two a word, in
+    order of words), then those that contain the whole query; each once, k in all, names that are alike but for case
+    being one. paper: the k best docs. entry: the k best of entries. type: types (id, name) whose name stands in the
+    query. info: one row where the column info of queries holds, which asks for general information.
+    """
+    from .containment import contained
+
+    q = cut(queries)
+    words = q.select("qid", F.posexplode(tx.tokens(F.col("text"), 3)).alias("pos", "needle")).groupBy("qid", "needle").agg(F.min("pos").alias("pos"))
+    whole = q.select("qid", F.lower("text").alias("needle"), F.lit(2**31 - 1).alias("pos"))
+    asked = cut(words.select("qid", "pos", "needle").union(whole.select("qid", "pos", "needle")))
+    first = cut(names.groupBy(F.lower("name").alias("text")).agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("t")))
+    # a word that many queries have is looked up once
+    hit = contained(asked.select(F.col("needle").alias("n"), "needle").distinct(), first.select("t", "text"))
+    hit = cut(top_k(hit, k, [F.col("t")], by="n")).withColumnRenamed("n", "needle")
+    hit = asked.hint("merge").join(hit, "needle").where((F.col("pos") == 2**31 - 1) | (F.col("rank") <= 2))
+    hit = hit.groupBy("qid", "t").agg(F.min("pos").alias("pos"))
+    compound = top_k(hit, k, [F.col("pos"), F.col("t")]).hint("merge").join(first.select("t", "id"), "t")
+    named = contained(types.select(F.col("id").alias("n"), F.lower("name").alias("needle")), q.select(F.col("qid").alias("t"), F.lower("text").alias("text")))
+    named = named.select(F.col("t").alias("qid"), F.col("n").alias("id")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
+    rows = lambda kind, df: df.select("qid", F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), F.col("rank").cast("int").alias("rank"))
+    found = [rows("compound", compound), rows("type", named), rows("info", q.where(info).select("qid", F.lit(None).alias("id"), F.lit(1).alias("rank")))]
+    for kind, table, columns, longer in (("paper", docs, fields, 3), ("entry", entries, entry_fields, 2)):
+        found.append(rows(kind, search(q, table, columns, longer, k).withColumnRenamed("ord", "id")))
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
+
+
 def context(queries: DataFrame, found: DataFrame, docs: DataFrame, n: int = 3, length: int = 200) -> DataFrame:
     """(qid, context): for each query its best documents, one numbered block each, in order of rank."""
     rows = found.where(F.col("rank") <= n).join(docs.select("ord", "title", "body", "journal"), "ord")

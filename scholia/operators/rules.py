@@ -109,20 +109,35 @@ def learn_from_rows(rows: DataFrame, dictionary: DataFrame, rules: Sequence[Rule
 
 
 def resolve_names(queries: DataFrame, names: DataFrame, least: float = 0.15) -> DataFrame:
-    """(qid, id, strategy): each query's name: equal after normalisation, else the one with the best token overlap
-    (Jaccard plus a tenth of the shared tokens, at least `least`; the earliest on ties), else the longest name that
-    contains the query or is contained in it. names (ord, id, name)."""
-    q = queries.select("qid", F.lower(tx.normalize(F.col("text"))).alias("q")).where("q <> ''")
+    """(qid, id, strategy): each query's name by the first of these that finds one: equal after normalisation; the first
+    name that contains the query's bracket text; the best token overlap (Jaccard plus a tenth of the shared tokens, at
+    least `least`); the largest overlap where, without parentheses, one contains the other (the overlap is the shorter
+    length). The earliest name on ties. names (ord, id, name)."""
+    from .containment import contained
+    from .retrieval import either_way
+
+    q = cut(queries.select("qid", F.lower(tx.normalize(F.col("text"))).alias("q")).where("q <> ''"))
     n = names.select("ord", "id", F.lower(tx.normalize(F.col("name"))).alias("n"))
-    equal = q.join(n, F.col("q") == F.col("n")).groupBy("qid").agg(F.min_by("id", "ord").alias("id")).select("qid", "id", F.lit("exact").alias("strategy"), F.lit(1).alias("order"))
+    nt = cut(n.groupBy("n").agg(F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id")).withColumn("nt", tx.chemical_tokens(F.col("n"))))
+    found = lambda rows, strategy, order: rows.select("qid", "id", F.lit(strategy).alias("strategy"), F.lit(order).alias("order"))
+    equal = found(q.hint("merge").join(nt, F.col("q") == F.col("n")), "exact", 1)
+
+    bracket = q.select(F.col("qid").alias("n"), F.lower(F.trim(F.regexp_extract("q", r"\[([^\]]+)\]", 1))).alias("needle"))
+    named = contained(bracket, nt.select(F.col("ord").alias("t"), F.col("n").alias("text"))).groupBy(F.col("n").alias("qid")).agg(F.min("t").alias("ord"))
+    named = found(named.hint("merge").join(nt, "ord"), "bracket", 2)
+
     qt = q.select("qid", tx.chemical_tokens(F.col("q")).alias("qt"))
-    nt = n.groupBy("n").agg(F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id")).withColumn("nt", tx.chemical_tokens(F.col("n")))
-    pairs = nt.select("ord", F.explode("nt").alias("t")).join(sized(qt.select("qid", F.explode("qt").alias("t"))), "t")
-    pairs = pairs.groupBy("qid", "ord").agg(F.count("*").alias("both"))
-    pairs = pairs.join(qt.select("qid", F.size("qt").alias("a")), "qid").join(nt.select("ord", "id", F.size("nt").alias("b")), "ord")
+    asked = cut(qt.select("qid", F.size("qt").alias("a"), F.explode("qt").alias("t")))
+    pairs = nt.select("ord", "id", F.size("nt").alias("b"), F.explode("nt").alias("t")).join(sized(asked), "t")
+    pairs = pairs.groupBy("qid", "ord", "id", "a", "b").agg(F.count("*").alias("both"))
     score = F.col("both") / (F.col("a") + F.col("b") - F.col("both")) + 0.1 * F.col("both")
-    close = pairs.withColumn("score", score).where(F.col("score") > least).groupBy("qid").agg(F.max_by("id", F.struct("score", -F.col("ord"))).alias("id")).select("qid", "id", F.lit("tokens").alias("strategy"), F.lit(2).alias("order"))
-    inside = nt.join(sized(q), F.contains("n", "q") | F.contains("q", "n"))
-    inside = inside.groupBy("qid").agg(F.max_by("id", F.struct(F.length("n"), -F.col("ord"))).alias("id")).select("qid", "id", F.lit("contained").alias("strategy"), F.lit(3).alias("order"))
-    every = equal.union(close).union(inside)
+    close = pairs.withColumn("score", score).where(F.col("score") >= least).groupBy("qid").agg(F.max_by("id", F.struct("score", -F.col("ord"))).alias("id"))
+    close = found(close, "tokens", 3)
+
+    bare = lambda c: F.translate(c, "()", "")
+    qb, nb = q.select("qid", bare("q").alias("text")), nt.select("ord", "id", bare("n").alias("name"))
+    inside = either_way(qb, nb.select(F.col("ord").alias("id"), "name")).withColumnRenamed("id", "ord")
+    inside = inside.hint("merge").join(qb.select("qid", F.length("text").alias("a")), "qid").hint("merge").join(nb.select("ord", "id", F.length("name").alias("b")), "ord")
+    inside = inside.groupBy("qid").agg(F.max_by("id", F.struct(F.least("a", "b"), -F.col("ord"))).alias("id"))
+    every = equal.union(named).union(close).union(found(inside, "contained", 4))
     return every.groupBy("qid").agg(F.min_by(F.struct("id", "strategy"), "order").alias("r")).select("qid", "r.id", "r.strategy")

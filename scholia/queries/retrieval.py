@@ -66,19 +66,16 @@ def rag_format_context(spark, d):
     return r.context(q, r.search(q, p, ["title", "body", "type", "journal"]), p)
 
 
+INTENTS = {"compound": ("the", "tion", "of"), "paper": ("und", "ein", "und"), "reaction": ("que", "de la", "es")}
+
+
 def rag_retrieve(spark, d):
-    """Compounds by query word (two a word, five in all) next to the five best papers of each query."""
-    q = search_queries(spark, d)
-    words = q.select("qid", F.posexplode(tx.tokens(F.col("text"), 3)).alias("pos", "word"))
-    words = words.groupBy("qid", "word").agg(F.min("pos").alias("pos"))
-    names = compounds(spark, d)
-    first = names.groupBy(F.lower("name").alias("low")).agg(F.min("ord").alias("id"))
-    hit = first.join(r.sized(words), F.contains("low", "word"))
-    hit = r.top_k(hit.withColumn("wid", F.struct("qid", "pos")), 2, [F.col("id")], by="wid").drop("rank")
-    hit = hit.groupBy("qid", "id").agg(F.min("pos").alias("pos"))
-    c = r.top_k(hit, 5, [F.col("pos"), F.col("id")]).select("qid", F.lit("compound").alias("kind"), "id", "rank")
-    p = r.search(q, papers(spark, d), ["title", "body", "type", "journal"], k=5).select("qid", F.lit("paper").alias("kind"), F.col("ord").alias("id"), "rank")
-    return c.union(p)
+    """All that a context needs: compounds, papers, entries, named types, whether general information is asked for.
+    Types are the journals' names and the first words of titles."""
+    p = papers(spark, d)
+    types = p.groupBy(F.lower(F.element_at(F.split("title", " "), 1)).alias("name")).agg(F.min("ord").alias("id"))
+    info = tx.keyword_share(F.col("text"), INTENTS)[2] > 0.1
+    return r.retrieve(search_queries(spark, d), compounds(spark, d), p, ["title", "body", "type", "journal"], p, ["body", "journal"], types, info)
 
 
 def prompt_messages(spark, d):
@@ -96,8 +93,7 @@ def sim_trigger(spark, d):
 
 def query_intent(spark, d):
     p = papers(spark, d)
-    groups = {"compound": ("the", "tion", "of"), "paper": ("und", "ein", "und"), "reaction": ("que", "de la", "es")}
-    return p.select("id", *[F.round(c, 6).alias(n) for c, n in zip(tx.keyword_share(F.col("body"), groups), ("compound_share", "paper_share", "reaction_share"), strict=True)])
+    return p.select("id", *[F.round(c, 6).alias(n) for c, n in zip(tx.keyword_share(F.col("body"), INTENTS), ("compound_share", "paper_share", "reaction_share"), strict=True)])
 
 
 def topic_route(spark, d):
@@ -155,11 +151,23 @@ QUERIES = {
         f"""{_PAPER_SEARCH}, {_RANKED},
         compounds as (select p_partkey as id, lower(p_name) as low from part),
         n as (select low, min(id) as id from compounds group by 1),
-        w as (select qid, word, min(pos) as pos from {_sql_words("queries", "qid", "text", 3, True)} group by all),
+        w as (select qid, word, min(pos) as pos from {_sql_words("queries", "qid", "text", 3, True)} group by all
+          union all select qid, lower(text), 2147483647 from queries where text <> ''),
         h as (select qid, pos, id, row_number() over (partition by qid, pos order by id) as k from n join w on contains(low, word)),
-        g as (select qid, id, min(pos) as pos from h where k <= 2 group by all),
-        c as (select qid, 'compound' as kind, id, row_number() over (partition by qid order by pos, id) as rank from g)
-        select * from c where rank <= 5 union all select qid, 'paper', ord, rank from r where rank <= 5""",
+        g as (select qid, id, min(pos) as pos from h where k <= 2 or pos = 2147483647 group by all),
+        c as (select qid, 'compound' as kind, id, row_number() over (partition by qid order by pos, id) as rank from g),
+        ty as (select lower(split_part(title, ' ', 1)) as name, min(ord) as id from papers group by 1),
+        m as (select qid, 'type' as kind, id, row_number() over (partition by qid order by id) as rank from queries join ty on name <> '' and contains(lower(text), name)),
+        k as (select qid, contains(lower(text), 'the')::int + contains(lower(text), 'tion')::int + contains(lower(text), 'of')::int as a,
+          contains(lower(text), 'und')::int * 2 + contains(lower(text), 'ein')::int as b,
+          contains(lower(text), 'que')::int + contains(lower(text), 'de la')::int + contains(lower(text), 'es')::int as c from queries),
+        qw2 as (select qid, word, count(*) as qtf, min(pos) as qpos from {_sql_words("queries", "qid", "text", 2, True)} group by all),
+        tf2 as (select ord, word, count(*) as tf from {_sql_words("papers", "ord", "concat_ws(' ', body, journal)", 2)} group by all),
+        s2 as (select qid, ord, sum(qtf * tf)::bigint as score, min(qpos) as qpos from qw2 join tf2 using (word) group by all),
+        r2 as (select *, row_number() over (partition by qid order by score desc, qpos, ord) as rank from s2)
+        select qid, kind, id::bigint as id, rank::int as rank from (select * from c where rank <= 5 union all select * from m
+          union all select qid, 'paper', ord, rank from r where rank <= 5 union all select qid, 'entry', ord, rank from r2 where rank <= 5)
+        union all select qid, 'info', null, 1 from k where c / greatest(a + b + c, 1) > 0.1""",
     ),
     "prompt_messages": (
         prompt_messages,

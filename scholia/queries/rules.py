@@ -68,8 +68,10 @@ def cls_fastpath(spark, d):
 
 
 def _queries(spark, d):
+    """Part names in capitals; a word of a name; a bracket with a piece of a name; a piece of a name alone."""
     p = _parts(spark, d).where("p_partkey % 50 = 0")
-    text = F.when(F.col("p_partkey") % 100 == 0, F.concat(F.upper("p_name"), F.lit(" "))).otherwise(F.concat(F.element_at(F.split("p_name", " "), 2), F.lit(" new")))
+    k, word = F.col("p_partkey") % 200, F.element_at(F.split("p_name", " "), 2)
+    text = F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" "))).when(k == 50, F.concat(word, F.lit(" new"))).when(k == 100, F.concat(F.lit("zz ["), F.upper(F.substring("p_name", 3, 5)), F.lit("] "), word)).otherwise(F.concat(F.substring("p_name", 2, 3), F.lit("()"), F.substring("p_name", 5, 3)))
     return p.select(F.col("p_partkey").alias("qid"), text.alias("text"))
 
 
@@ -112,8 +114,11 @@ def _members(spark, d):
 
 
 def resolve_reference(spark, d):
-    names = _parts(spark, d).select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
-    q = _parts(spark, d).where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 100 == 0, F.col("p_name")).otherwise("??").alias("text"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
+    """Names as they are, pieces of names in parentheses that no other step takes, and texts that only have a class."""
+    names = _parts(spark, d).select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("(a) "), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name")).alias("name"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
+    k = F.col("p_partkey") % 200
+    text = F.when(k == 0, F.upper("p_name")).when(k == 50, F.lit("??")).when(k == 100, F.concat(F.lit("(A) "), (F.col("p_partkey") - 1).cast("string").substr(1, 1))).otherwise(F.concat(F.col("p_name"), F.lit(" x")))
+    q = _parts(spark, d).where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), text.alias("text"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
     return ps.resolve_reference(q.select("qid", "text"), names, q.select("qid", "cls"))
 
 
@@ -128,6 +133,15 @@ def search_combined(spark, d):
 _BEST = "case " + "".join(
     f"when regexp_matches(p_name, '{p}') then '{c}' " for p, c, _ in sorted(RULES, key=lambda x: -x[2])
 )
+#: The rules of name resolution over q(qid, q) and part names.
+_RESOLVE = """
+        n as (select lower(p_name) as n, min(p_partkey) as id from part group by 1),
+        b as (select qid, min(id) as id from q join n on contains(n, trim(regexp_extract(q, '\\[([^\\]]+)\\]', 1))) where regexp_matches(q, '\\[[^\\]]+\\]') group by 1),
+        tokens as (select qid, q, list_distinct(list_filter(regexp_split_to_array(q, '[\\s,\\-()\\[\\]{}]+'), lambda w: length(w) > 1 and regexp_matches(w, '[a-z]'))) as qt from q),
+        t as (select qid, id, len(list_intersect(qt, string_split(n, ' '))) as k, len(qt) as a, len(list_distinct(string_split(n, ' '))) as b from tokens, n),
+        s as (select qid, arg_max(id, {'s': k / (a + b - k) + 0.1 * k, 'o': -id}) as id from t where k > 0 and k / (a + b - k) + 0.1 * k >= 0.15 group by 1),
+        bare as (select qid, replace(replace(q, '(', ''), ')', '') as q from q),
+        c as (select qid, arg_max(id, {'s': least(length(q), length(n)), 'o': -id}) as id from bare join n on contains(n, q) or contains(q, n) group by 1)"""
 QUERIES = {
     "cls_first_rule": (
         cls_first_rule,
@@ -158,22 +172,23 @@ QUERIES = {
     "cls_detect": (cls_detect, None),
     "resolve_reference": (
         resolve_reference,
-        """with n as (select p_name, split_part(p_name, ' ', 2) as cls, p_partkey as id from part), q as (select p_partkey as qid, p_name, split_part(p_name, ' ', 2) as cls from part where p_partkey % 50 = 0),
-        e as (select qid, min(id) as id from q join n using (p_name) where qid % 100 = 0 group by 1), c as (select cls, min(id) as id from n group by 1),
-        t as (select qid, n.id, len(list_intersect(string_split(q.p_name, ' '), string_split(n.p_name, ' '))) as k from q, n where qid % 100 = 0),
-        s as (select qid, arg_max(id, {'s': k / (4 - k) + 0.1 * k, 'o': -id}) as id from t where k > 0 group by 1)
-        select qid, coalesce(e.id, s.id, c.id) as id, case when e.id is not null then 'exact' when s.id is not null then 'tokens' else 'class' end as strategy from q left join e using (qid) left join s using (qid) left join c using (cls) where coalesce(e.id, s.id, c.id) is not null""",
+        f"""with src as (select case when p_partkey % 3 = 0 then '(a) ' || p_partkey else p_name end as p_name, split_part(p_name, ' ', 2) as cls, p_partkey from part),
+        q as (select p_partkey as qid, split_part(p_name, ' ', 2) as cls, lower(case p_partkey % 200 when 0 then upper(p_name) when 50 then '??' when 100 then '(A) ' || ((p_partkey - 1)::varchar)[1:1] else p_name || ' x' end) as q from part where p_partkey % 50 = 0),
+        {_RESOLVE.replace("from part group", "from src group").replace("string_split(n, ' ')", "list_filter(string_split(n, ' '), lambda w: regexp_matches(w, '^[a-z]'))")},
+        p as (select qid, arg_max(id, {{'s': least(length(q), length(n)), 'l': -length(n), 'o': -id}}) as id from q join n on contains(n, q) or contains(q, n) group by 1),
+        f as (select cls, min(p_partkey) as id from src group by 1)
+        select q.qid, coalesce(n.id, b.id, s.id, c.id, p.id, f.id) as id, case when n.id is not null then 'exact' when b.id is not null then 'bracket' when s.id is not null then 'tokens'
+          when c.id is not null then 'contained' when p.id is not null then 'substring' else 'class' end as strategy
+        from q left join n on n.n = q.q left join b using (qid) left join s using (qid) left join c using (qid) left join p using (qid) left join f using (cls) where coalesce(n.id, b.id, s.id, c.id, p.id, f.id) is not null""",
     ),
     "search_combined": (search_combined, None),
     "cls_fastpath": (cls_fastpath, f"with s as (select p_name, arg_min(p_type, p_partkey) as known from part where p_partkey % 50 = 0 group by 1) select p_partkey, coalesce(known, {_BEST} end, 'unknown') as cls from part left join s using (p_name)"),
     "resolve_name": (
         resolve_name,
-        """with q as (select p_partkey as qid, lower(trim(case when p_partkey % 100 = 0 then upper(p_name) || ' ' else split_part(p_name, ' ', 2) || ' new' end)) as q from part where p_partkey % 50 = 0),
-        n as (select lower(p_name) as n, min(p_partkey) as id from part group by 1),
-        t as (select qid, id, len(list_intersect(string_split(q, ' '), string_split(n, ' '))) as k, len(list_distinct(string_split(q, ' '))) as a, len(list_distinct(string_split(n, ' '))) as b from q, n),
-        s as (select qid, arg_max(id, {'s': k / (a + b - k) + 0.1 * k, 'o': -id}) as id from t where k > 0 and k / (a + b - k) + 0.1 * k > 0.15 group by 1),
-        c as (select qid, arg_max(id, {'s': length(n), 'o': -id}) as id from q join n on contains(n, q) or contains(q, n) group by 1)
-        select q.qid, coalesce(n.id, s.id, c.id) as id, case when n.id is not null then 'exact' when s.id is not null then 'tokens' else 'contained' end as strategy
-        from q left join n on n.n = q.q left join s using (qid) left join c using (qid) where coalesce(n.id, s.id, c.id) is not null""",
+        f"""with q as (select p_partkey as qid, lower(trim(case p_partkey % 200 when 0 then upper(p_name) || ' ' when 50 then split_part(p_name, ' ', 2) || ' new'
+            when 100 then 'zz [' || upper(p_name[3:7]) || '] ' || split_part(p_name, ' ', 2) else p_name[2:4] || '()' || p_name[5:7] end)) as q from part where p_partkey % 50 = 0),
+        {_RESOLVE}
+        select q.qid, coalesce(n.id, b.id, s.id, c.id) as id, case when n.id is not null then 'exact' when b.id is not null then 'bracket' when s.id is not null then 'tokens' else 'contained' end as strategy
+        from q left join n on n.n = q.q left join b using (qid) left join s using (qid) left join c using (qid) where coalesce(n.id, b.id, s.id, c.id) is not null""",
     ),
 }

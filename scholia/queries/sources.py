@@ -90,12 +90,30 @@ def kg_flatten(spark, d):
     return s.knowledge_graph(docs, "src", "value")[1]
 
 
-def json_repair_parse(spark, d):
-    """Event properties as model output: plain, fenced, with text around, cut off, or hopeless."""
+def _model_output(spark, d):
+    """Event properties as model output: plain, fenced, with text around, cut off, hopeless, and between other objects."""
     e = table(spark, d, "events")
-    k = F.col("event_id") % 5
-    text = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\n"))).when(k == 2, F.concat(F.lit("So "), "props", F.lit(" it is."))).when(k == 3, F.rtrim("props", F.lit("}"))).otherwise("none")
-    return e.select("event_id", s.json_repair(text, "k int")["k"].alias("k"))
+    k = F.col("event_id") % 8
+    more = F.concat(F.rtrim("props", F.lit("}")), F.lit(', "j": [1, 2]}'))
+    shapes = [
+        F.col("props"), F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\n")), F.concat(F.lit("So "), "props", F.lit(" it is.")), F.rtrim("props", F.lit("}")),
+        F.concat(F.lit('x {"k": -1} y '), more), F.concat(more, F.lit(' then {"k": -1} and {not json at all}')), F.concat(F.lit('a {"k": -1} b '), "props"),
+    ]
+    text = F.lit("none")
+    for i, shape in enumerate(shapes):
+        text = F.when(k == i, shape).otherwise(text)
+    return e.select("event_id", text.alias("text"))
+
+
+def json_repair_parse(spark, d):
+    return _model_output(spark, d).select("event_id", s.json_repair(F.col("text"), "k int")["k"].alias("k"))
+
+
+def json_repair_list(spark, d):
+    """The same where the longest value counts and may be a list."""
+    rows = _model_output(spark, d)
+    rows = rows.withColumn("text", F.when(F.col("event_id") % 8 == 2, F.concat(F.lit('so {"k": 1} or [10, '), F.col("event_id").cast("string"), F.lit(", 30, 40]"))).otherwise(F.col("text")))
+    return rows.select("event_id", s.json_repair_any(F.col("text")).alias("json"))
 
 
 QUERIES = {
@@ -118,5 +136,10 @@ QUERIES = {
         select cited, c_nationkey as page, 'W' || c_custkey as id, c_mktsegment as title, case when c_custkey % 3 <> 0 then c_name else 'Unknown' end as author, (c_custkey % 50)::int as citations, 2020 as year from customer join n using (c_nationkey) where before < 200""",
     ),
     "kg_flatten": (kg_flatten, "with e as (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as dst from lineitem) where src <> dst) select src, src::varchar as source, dst::varchar as target, 'next' as label from e"),
-    "json_repair_parse": (json_repair_parse, "select event_id, case when event_id % 5 <> 4 then (props->>'k')::int end as k from events"),
+    "json_repair_parse": (json_repair_parse, "select event_id, case event_id % 8 when 7 then null when 6 then -1 else (props->>'k')::int end as k from events"),
+    "json_repair_list": (
+        json_repair_list,
+        """select event_id, case event_id % 8 when 7 then null when 2 then '[10,' || event_id || ',30,40]' when 6 then case when length((props->>'k')) > 2 then '{"k":' || (props->>'k') || '}' else '{"k":-1}' end
+          when 4 then '{"j":[1,2],"k":' || (props->>'k') || '}' when 5 then '{"j":[1,2],"k":' || (props->>'k') || '}' else '{"k":' || (props->>'k') || '}' end as json from events""",
+    ),
 }

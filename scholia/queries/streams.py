@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from scholia.plans.bindings import table
+from scholia.plans.lineage import shared_folder
 from scholia.streaming import conversations as c
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):
@@ -22,9 +21,10 @@ def _events(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
 
 
-def _finish(query, seconds: int = 300) -> None:
+def _finish(query, seconds: int | None = None) -> None:
+    """Wait for the stream's end, as long as it takes unless a limit is given."""
     try:
-        if not query.awaitTermination(seconds):
+        if query.awaitTermination(seconds) is False:
             raise TimeoutError("the stream did not end")
     finally:
         query.stop()
@@ -40,10 +40,24 @@ def stream_sessions_live(spark, d):
     return rows.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
+def _messages(spark, d):
+    """Events as a stream of messages, with the state store that such streams need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return _events(spark, d).select(F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("role"), F.col("props").alias("content"))
+
+
+def stream_ttl_sweep_live(spark, d):
+    """Conversations that timers have evicted by the stream's end."""
+    at = _folder(spark)
+    out = c.evictions_stream(_messages(spark, d), 20)
+    _finish(out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
+    rows = spark.read.schema(c.EVICTED).parquet(f"{at}/out")
+    return rows.select("conv_id", "n", F.unix_micros("last_ts").alias("last_us"))
+
+
 def stream_last_n_ttl(spark, d):
     """Last messages by user with the state store, events as messages; the final state of each."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = _events(spark, d).select(F.col("user_id").alias("conv_id"), "ts", F.col("event_type").alias("role"), F.col("props").alias("content"))
+    e = _messages(spark, d)
     at = _folder(spark)
     out = c.last_messages_stream(e, 20)
     write = lambda batch, epoch: batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{at}/out")
@@ -75,5 +89,9 @@ QUERIES = {
         stream_last_n_ttl,
         f"{_G} select user_id as conv_id, least(20, count(*))::int as n, epoch_us(max(ts)) as last_us from g join (select user_id, max(k) as k from g group by 1) using (user_id, k) group by 1",
     ),
+    "stream_ttl_sweep_live": (
+        stream_ttl_sweep_live,
+        f"{_G} select user_id as conv_id, least(20, count(*))::int as n, epoch_us(max(ts)) as last_us from g join (select user_id, max(k) as k from g group by 1) using (user_id, k) group by 1 having epoch_ms(max(ts)) + 3600000 < (select epoch_ms(max(ts)) - 600000 from events)",
+    ),
     "stream_inc_extract": (stream_inc_extract, "select distinct sha256(case when strlen(text) > 8192 then encode(text)[1:8192] else encode(text) end) as key from documents"),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,18 +113,56 @@ def citation_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
+def largest_balanced(text: Column, brackets: str, size: Callable[[Column], Column]) -> Column:
+    """The largest span of text, by size, from an opening bracket at depth 0 to the one that closes it, that is JSON; the
+    first on ties; null if there is none. One fold over the text's brackets keeps depth and the best span so far."""
+    opening, closing = brackets
+    cuts = F.regexp_extract_all(text, F.lit(rf"(?s)[^\{opening}\{closing}]*+[\{opening}\{closing}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("begin"), F.lit(-1).alias("size"), F.lit(None).cast("string").alias("best"))
+
+    def step(s: Column, cut: Column) -> Column:
+        at, opens = s["at"] + F.length(cut), F.endswith(cut, F.lit(opening))
+        depth = s["depth"] + F.when(opens, 1).otherwise(-1)
+        begin = F.when(opens & (s["depth"] == 0), at).otherwise(s["begin"])
+        span = F.when(~opens & (depth == 0) & (begin > 0), F.substring(text, begin, at - begin + 1))
+        n = F.coalesce(F.when(F.try_parse_json(span).isNotNull(), size(span)), F.lit(-1))
+        better = n > s["size"]
+        return F.struct(at.alias("at"), depth.alias("depth"), begin.alias("begin"), F.greatest(n, s["size"]).alias("size"), F.when(better, span).otherwise(s["best"]).alias("best"))
+
+    return F.aggregate(cuts, start, step, lambda s: s["best"])
+
+
 def json_repair(text: Column, schema: str) -> Column:
-    """Model output as a struct: the whole text, else a fenced block, else the span of its outermost braces, else the
-    text with missing closers added. Null where none parses. Native throughout."""
+    """Model output as a struct: the whole text, else a fenced block, else the object of most keys among its balanced
+    spans of braces (the first on ties), else the text with missing closers added. Null where none parses. Native."""
     t = F.trim(text)
-    fence = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braces = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    missing = lambda o, c: F.greatest(F.length(F.regexp_replace(t, f"[^{o}]", "")) - F.length(F.regexp_replace(t, f"[^{c}]", "")), F.lit(0))
-    closed = F.concat(t, F.repeat(F.lit("}"), missing(r"\{", r"\}")), F.repeat(F.lit("]"), missing(r"\[", r"\]")))
-    tries = [F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, schema)) for x in (t, fence, braces, closed)]
+    fence = F.trim(F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1))
+    keys = lambda span: F.size(F.json_object_keys(span))
+    inside = largest_balanced(t, "{}", keys)
+    inside = F.when(keys(inside) > 0, inside)
+    tries = [F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, schema)) for x in (t, fence, inside, closed(t))]
     return F.coalesce(*tries)
 
 
+def closed(text: Column) -> Column:
+    """text with as many closing braces, then brackets, as are missing."""
+    missing = lambda o, c: F.greatest(F.length(F.regexp_replace(text, f"[^{o}]", "")) - F.length(F.regexp_replace(text, f"[^{c}]", "")), F.lit(0))
+    return F.concat(text, F.repeat(F.lit("}"), missing(r"\{", r"\}")), F.repeat(F.lit("]"), missing(r"\[", r"\]")))
+
+
+def json_repair_any(text: Column) -> Column:
+    """The same for output that may be an object or an array, as JSON text: the whole, else a fenced block, else the
+    longest (as compact JSON) of its balanced spans of braces and of brackets, the object on ties, else the text with
+    missing closers."""
+    t = F.trim(text)
+    fence = F.trim(F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1))
+    compact = lambda x: F.to_json(F.try_parse_json(x))
+    length = lambda span: F.length(compact(span))
+    objects, arrays = compact(largest_balanced(t, "{}", length)), compact(largest_balanced(t, "[]", length))
+    best = F.when(objects.isNull() | (F.length(arrays) > F.length(objects)), arrays).otherwise(objects)
+    return F.coalesce(compact(t), compact(fence), best, compact(closed(t)))
+
+
 def knowledge_graph(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) tables of JSON objects with nodes and edges."""
     g = rows.select(key, F.from_json(value, "nodes array<struct<id: string, label: string, type: string, description: string>>, edges array<struct<source: string, target: string, label: string>>").alias("g"))

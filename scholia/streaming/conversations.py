@@ -23,28 +23,87 @@ HISTORY = "conv_id long, n int, first_ts timestamp, last_ts timestamp, roles str
 
 class LastMessages(StatefulProcessor):
     """Keeps the last `n` messages of a conversation. One that was idle for more than ttl_seconds (event time) before a
-    message arrives starts empty. Emits the state after each batch of a conversation."""
+    message arrives starts empty. Emits the state after each batch of a conversation.
+
+    Rows are taken a frame at a time, and of all seen so far only the last `n` are held: a gap before these doesn't
+    matter any more, so a conversation of any length needs that much memory and state.
+    """
 
     def __init__(self, n: int = 20, ttl_seconds: float = 3600.0):
         self.n, self.ttl = n, pd.Timedelta(seconds=ttl_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.messages = handle.getListState("messages", "ts timestamp, role string, content string")
 
+    def held(self) -> list[tuple]:
+        return [(pd.Timestamp(r[0]).to_pydatetime(), *r[1:]) for r in self.messages.get()] if self.messages.exists() else []
+
+    def take(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        """The messages held after rows, in order of time."""
+        last = self.held()
+        for frame in rows:
+            new = [(pd.Timestamp(r.ts).to_pydatetime(), r.role, r.content) for r in frame.nlargest(self.n, "ts", keep="last").itertuples(index=False)]
+            last = sorted([*last, *new], key=lambda m: m[0])[-self.n :]
+        for i in range(len(last) - 1, 0, -1):
+            if last[i][0] - last[i - 1][0] > self.ttl:
+                last = last[i:]
+                break
+        self.messages.put(last)
+        return last
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = [tuple(r) for r in self.messages.get()] if self.messages.exists() else []
-        new = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        for r in new.itertuples(index=False):
-            if held and pd.Timestamp(r.ts) - pd.Timestamp(held[-1][0]) > self.ttl:
-                held = []
-            held = [*held, (pd.Timestamp(r.ts).to_pydatetime(), r.role, r.content)][-self.n :]
-        self.messages.put(held)
+        held = self.take(rows)
         yield pd.DataFrame({"conv_id": [key[0]], "n": [len(held)], "first_ts": [held[0][0]], "last_ts": [held[-1][0]], "roles": [",".join(m[1] for m in held)]})
 
     def close(self) -> None:
         pass
 
 
+EVICTED = "conv_id long, n int, last_ts timestamp"
+
+
+class Evictions(LastMessages):
+    """The same state, swept: a conversation whose newest message lies more than the TTL behind the watermark is dropped
+    from the state by an event-time timer, and emitted with the number of messages it had. A message that comes later
+    starts it anew. So the state holds no more than the conversations of the last TTL."""
+
+    def due(self, held: list[tuple]) -> int:
+        """Milliseconds at which a conversation is over: the first that lies more than the TTL behind."""
+        return int((pd.Timestamp(held[-1][0]) + self.ttl).timestamp() * 1000) + 1
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        before = self.held()
+        if before:
+            self.handle.deleteTimer(self.due(before))
+        self.handle.registerTimer(self.due(self.take(rows)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = self.held()
+        self.messages.clear()
+        yield pd.DataFrame({"conv_id": [key[0]], "n": [len(held)], "last_ts": [held[-1][0]]})
+
+
+def evictions_stream(messages: DataFrame, n: int = 20, ttl_seconds: float = 3600.0, late: str = "10 minutes") -> DataFrame:
+    """EVICTED rows for a stream of MESSAGE rows, as the watermark (`late` behind the newest message) passes their end."""
+    rows = messages.withWatermark("ts", late).groupBy("conv_id")
+    return rows.transformWithStateInPandas(Evictions(n, ttl_seconds), EVICTED, "append", "eventTime")
+
+
+def evicted_per_batch(evicted: DataFrame, epoch: int) -> DataFrame:
+    """(epoch, conversations, messages): what one batch of evictions_stream dropped, for a foreachBatch function."""
+    return evicted.agg(F.lit(epoch).cast("long").alias("epoch"), F.count("*").alias("conversations"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages"))
+
+
+def read_history(history: DataFrame, now, ttl_seconds: float = 3600.0) -> DataFrame:
+    """HISTORY rows as a reader sees them at the time `now`: a conversation idle for more than the TTL reads as empty
+    whether or not it was swept."""
+    over = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_ts") > int(ttl_seconds * 1e6)
+    empty = [F.when(~over, F.col(c)).otherwise(F.lit(0) if c == "n" else F.lit(None)).alias(c) for c in history.columns if c != "conv_id"]
+    return history.select("conv_id", *empty)
+
+
 def last_messages_stream(messages: DataFrame, n: int = 20, ttl_seconds: float = 3600.0) -> DataFrame:
     """HISTORY rows for a stream of MESSAGE rows; needs the RocksDB state store provider."""
     return messages.groupBy("conv_id").transformWithStateInPandas(LastMessages(n, ttl_seconds), HISTORY, "update", "none")
