@@ -87,8 +87,8 @@ def _simhash(words):
     hashes = []
     for w in words:
         a = xxhash.xxh64(w.encode(), seed=42).intdigest()
-        hashes.append(a | xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest() << 64)
-    return sum(1 << i for i in range(128) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+        hashes.append(a)
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
 
 
 def _levenshtein(a, b):
@@ -101,6 +101,55 @@ def _levenshtein(a, b):
     return row[-1]
 
 
+def _share_two(x, y):
+    """Whether two lines have as large blocks, and two that are equal."""
+
+    def blocks(words):
+        n, size = len(words), max(1, len(words) // 5)
+        size = size >> max(0, size.bit_length() - 3) << max(0, size.bit_length() - 3)
+        out = [[] for _ in range(5)]
+        for i, w in enumerate(words):
+            if i < 2 * size:
+                out[i // size].append(w)
+            elif i >= n - 2 * size:
+                out[4 - (n - 1 - i) // size].append(w)
+            else:
+                out[2].append(w)
+        return size, out
+
+    (m, a), (n, b) = blocks(x.split(" ")), blocks(y.split(" "))
+    return m == n and sum(bool(u) and u == v for u, v in zip(a, b, strict=True)) > (m < line_dedup.ALONE)
+
+
+def test_recall_of_edited_lines(spark, documents):
+    """Real lines and a copy of each with one to three characters changed anywhere (spaces too): of those that are still
+    at the edit similarity at least 0.9 are grouped with the original, in every class of length."""
+    import pyarrow.parquet as pq
+
+    random.seed(31)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    lines = list({_norm(x): None for t in texts for x in t.split("\n") if len(_norm(x).split(" ")) >= 5})
+    random.shuffle(lines)
+    rows, pairs = [], []
+    for k, x in enumerate(lines[:1800]):
+        y = list(x)
+        for _ in range(k % 3 + 1):
+            i, kind = random.randrange(len(y)), random.randrange(3)
+            y[i : i + 1] = {0: [random.choice("abcdefghij")], 1: [], 2: [y[i], random.choice("abcdefghij")]}[kind]
+        y = _norm("".join(y))
+        if y != x and k % 3 + 1 <= int(0.1 * max(len(x), len(y)) + 1e-9):
+            pairs.append((len(x.split(" ")), k))
+            rows += [(2 * k, x), (2 * k + 1, y)]
+    gone = {r["doc_id"] for r in line_dedup.dropped(documents(rows)).collect()}
+    classes = {}
+    for n, k in pairs:
+        got = classes.setdefault("5-10" if n <= 10 else "11-30" if n <= 30 else "31-100" if n <= 100 else "more", [0, 0])
+        got[0] += 2 * k + 1 in gone or 2 * k in gone
+        got[1] += 1
+    print({c: (a, b, round(a / b, 4)) for c, (a, b) in classes.items()})
+    assert all(a >= 0.9 * b for a, b in classes.values()) and sum(b for _, b in classes.values()) > 1000
+
+
 def test_lines_by_brute_force(spark, documents):
     random.seed(4)
     bases = [" ".join(x) for x in _texts(5, 6)]
@@ -124,7 +173,7 @@ def test_lines_by_brute_force(spark, documents):
     marks = {x: _simhash(x.split(" ")) for x in names}
     edges = []
     for x, y in itertools.combinations(names, 2):
-        if (marks[x] ^ marks[y]).bit_count() <= line_dedup.DISTANCE and _levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9):
+        if _share_two(x, y) and (marks[x] ^ marks[y]).bit_count() <= line_dedup.DISTANCE and _levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9):
             edges.append((first[x], first[y]))
     group = _components(first.values(), edges)
     want = [(i, None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in where or group[first[where[i, j]]] == (i, j))) for i, t in rows]
@@ -138,7 +187,7 @@ def test_simhash_by_definition(spark, documents):
     rows = [(n, " ".join(random.choice(["a", "b", "c", f"x{random.randrange(50)}"]) for _ in range(n))) for n in (1, 2, 3, 126, 127, 128, 129, 253, 254, 255, 381, 1000)]
     rows.append(rows[-1])
     full = (1 << 64) - 1
-    got = {(r["doc_id"], r["lo"] & full | (r["hi"] & full) << 64) for r in line_dedup.signed_lines(documents(rows)).collect()}
+    got = {(r["doc_id"], r["sim"] & full) for r in line_dedup.signed_lines(documents(rows)).collect()}
     assert got == {(i, _simhash(t.split(" "))) for i, t in rows}
 
 
@@ -148,6 +197,32 @@ def _flip(x, bits):
     return x
 
 
+def _blocks():
+    low = F.lit(0xFFFFFFFF)
+    return [b for half in (F.col("s.lo"), F.col("s.hi")) for b in (half.bitwiseAND(low), F.shiftrightunsigned(half, 32))]
+
+
+def _keys(values, state):
+    return F.array(*[F.struct(F.xxhash64("key", F.lit(i), v).alias("key"), F.coalesce(state, F.lit(i)).cast("long").alias("state")) for i, v in enumerate(values)])
+
+
+def _by_block():
+    """Buckets by each of four blocks of 32 bits."""
+    return _keys(_blocks(), F.lit(None))
+
+
+def _by_rest():
+    """Buckets by each of four blocks of 24 bits, of the 96 bits beside the block that was taken."""
+    x, y, z = [F.get(F.array(*_blocks()), F.pmod(F.col("state") + i, F.lit(4))) for i in (1, 2, 3)]
+    cut = lambda v, low, size: F.shiftrightunsigned(v, low).bitwiseAND(F.lit((1 << size) - 1))
+    over = lambda v, w: F.shiftleft(v, 32).bitwiseOR(w)
+    return _keys([cut(x, 0, 24), over(cut(x, 24, 8), cut(y, 0, 16)), over(cut(y, 16, 16), cut(z, 0, 8)), cut(z, 8, 24)], F.col("state"))
+
+
+def _within_three(s, t):
+    return F.bit_count(s["lo"].bitwiseXOR(t["lo"])) + F.bit_count(s["hi"].bitwiseXOR(t["hi"])) <= 3
+
+
 def _signed(spark, values):
     half = lambda v: v - (1 << 64) if v >> 63 else v
     rows = [(i, (half(v & (1 << 64) - 1), half(v >> 64))) for i, v in enumerate(values)]
@@ -165,7 +240,7 @@ def test_every_pair_of_a_large_bucket(spark, monkeypatch):
     want = {(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 3}
     for size, dense in ((2000, 4096), (64, 4096), (64, 100)):
         monkeypatch.setattr(common, "DENSE", dense)
-        found, groups = common.bucket_links(_signed(spark, values), [line_dedup.by_block, line_dedup.by_rest], line_dedup.near(3), lambda pairs: pairs, size)
+        found, groups = common.bucket_links(_signed(spark, values), [_by_block, _by_rest], _within_three, lambda pairs: pairs, size)
         assert {tuple(r) for r in found.collect()} == want and len(want) >= 600
         assert {r["node"]: r["component"] for r in groups.collect()} == _components(range(len(values)), want)
 
@@ -179,7 +254,7 @@ def test_groups_of_dense_buckets(spark, monkeypatch):
     for size, rare, dense in ((1000, False, 4096), (16, True, 4096), (16, True, 32)):
         monkeypatch.setattr(common, "DENSE", dense)
         monkeypatch.setattr(common, "CHUNK", 16)
-        _, groups = common.bucket_links(_signed(spark, values), [line_dedup.by_block, line_dedup.by_rest], line_dedup.near(3), lambda pairs: pairs.where("(a + b) % 7 = 0"), size, rare=rare)
+        _, groups = common.bucket_links(_signed(spark, values), [_by_block, _by_rest], _within_three, lambda pairs: pairs.where("(a + b) % 7 = 0"), size, rare=rare)
         got = {r["node"]: r["component"] for r in groups.collect()}
         assert all(got.get(i, i) == want[i] for i in want)
 
