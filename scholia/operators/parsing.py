@@ -81,6 +81,13 @@ def references(text: Column) -> Column:
     return F.array_compact(F.transform(tx.split_outside(tx.normalize(text)), reference))
 
 
+def references_of(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pos, segment, full_name, abbreviation, explanation) of the references of rows (key, text), in order."""
+    seg = rows.select(key, F.posexplode(tx.split_outside(F.coalesce("text", F.lit("")))).alias("pos", "segment"))
+    seg = seg.select(key, "pos", _strip(F.col("segment")).alias("segment")).withColumn("r", reference(F.col("segment")))
+    return seg.where("r is not null").select(key, "pos", "segment", "r.full_name", "r.abbreviation", "r.explanation")
+
+
 def clean_segments(text: Column) -> Column:
     """(name, bracket, hint) of each `;` part: its last bracket label, an `L1 (hint)`'s hint, and the name without labels,
     without parentheses that hold no scaffold word or chemical name, cut at words of use and at complex or precatalyst."""
@@ -112,7 +119,7 @@ def bracket_class(rows: DataFrame, key: str, bracket: str, dictionary: DataFrame
 
     known = sized(dictionary.select(F.col("key").alias("_b"), F.col("cls").alias("exact")))
     out = rows.select(key, F.lower(F.trim(bracket)).alias("_b")).join(known, "_b", "left")
-    parts = decompose(out.select(key, "_b"), key, "_b", dictionary).select(key, F.col("cls").alias("part"))
+    parts = decompose(out.select(key, "_b"), key, "_b", dictionary, codes).select(key, F.col("cls").alias("part"))
     out = out.join(parts.hint("merge"), key, "left")
     hit = lambda c, n: F.when(c.isNotNull(), F.struct(c.alias("cls"), F.lit(n).alias("confidence")))
     found = F.coalesce(hit(F.col("exact"), 5), hit(canonical(F.col("_b"), codes), 4), hit(F.col("part"), 4), hit(first_rule(F.col("_b"), rules)["cls"], 3))

@@ -52,38 +52,120 @@ def learn_first(layers: Sequence[DataFrame], valid: Sequence[str]) -> DataFrame:
     return rows.groupBy("key").agg(F.min_by("cls", F.struct("layer", "ord")).alias("cls"))
 
 
-def decompose(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+def embedded(text: Column, codes: Sequence[str]) -> Column:
+    """The class code that stands first in text as a word, in any case, in the code's own spelling; or null."""
+    word = rf"(?i)(?<![\p{{L}}\p{{N}}_])({'|'.join(codes)})(?![\p{{L}}\p{{N}}_])"
+    found = F.lower(F.regexp_extract(text, word, 1))
+    out = F.lit(None).cast("string")
+    for code in codes:
+        out = F.when(found == code.lower(), code).otherwise(out)
+    return out
+
+
+def decompose(rows: DataFrame, key: str, text: str, dictionary: DataFrame, codes: Sequence[str] = ()) -> DataFrame:
     """(key, cls, term): the first part of text (parentheses dropped, cut at - , / space, two characters or more) that
-    the dictionary (key, cls) has."""
+    the dictionary (key, cls) has or that holds one of the class codes."""
     bare = F.regexp_replace(F.lower(text), r"\([^)]*\)", "")
     parts = rows.select(key, F.posexplode(F.split(bare, r"[-,/\s]+")).alias("pos", "part")).where(F.length("part") >= 2)
-    hit = parts.join(sized(dictionary.select(F.col("key").alias("part"), "cls")), "part")
-    return hit.groupBy(key).agg(F.min_by(F.struct("cls", F.col("part").alias("term")), "pos").alias("m")).select(key, "m.cls", "m.term")
+    hit = parts.join(sized(dictionary.select(F.col("key").alias("part"), "cls")), "part").select(key, "pos", "part", "cls", F.lit(0).alias("how"))
+    if codes:
+        hit = hit.union(parts.select(key, "pos", "part", embedded(F.col("part"), codes).alias("cls"), F.lit(1)).where("cls is not null"))
+    return hit.groupBy(key).agg(F.min_by(F.struct("cls", F.col("part").alias("term")), F.struct("pos", "how")).alias("m")).select(key, "m.cls", "m.term")
 
 
-def classify(rows: DataFrame, key: str, text: str, dictionary: DataFrame, codes: Sequence[str], rules: Sequence[Rule], inline: Sequence[Rule] = ()) -> DataFrame:
-    """(key, primary, method, confidence, all_classes): for each segment (cut at `;` and `+` outside brackets) the class
-    of its bracket text, else a class code, else the best of the rules, else the best of the inline rules: each is asked
-    only if those before it find nothing. primary has the highest confidence, the earliest on ties; all_classes are in order of segments; `unknown` if none matches.
-    """
-    from .parsing import bracket_class
+def classify(rows: DataFrame, key: str, text: str, dictionary: DataFrame, codes: Sequence[str], rules: Sequence[Rule], inline: Sequence[Rule] = (), *, valid: Sequence[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(key, primary, method, confidence, all_classes) of each text.
 
-    seg = rows.select(key, F.posexplode_outer(tx.split_outside(F.coalesce(F.col(text), F.lit("")))).alias("seg", "s"))
-    seg = seg.withColumn("bracket", F.regexp_extract("s", r"\[([^\]]+)\]", 1)).withColumn("nth", F.struct(key, "seg"))
-    named = bracket_class(seg.where("trim(bracket) <> ''").select("nth", "bracket"), "nth", "bracket", dictionary, codes, rules)
+    known (segment, cls): a text whose references include such a segment has its class, by the first one (method
+    `known`). Else each segment (`parsing.clean_segments`) is asked in turn: its bracket text, a class code in its name,
+    the first rule that matches the name, the hint of a code such as `L3 (hint)`, the best inline rule. A hint is asked
+    for the first rule and the best inline rule; if these give no valid class, for the first rule of one of its parts (cut
+    at / ; ,), then again for the inline rule. primary has the highest confidence, the earliest on ties, and is `unknown`
+    if it isn't valid; all_classes are the valid ones in order of segments. valid: None for any class.
+    """
+    from .parsing import bracket_class, clean_segments, references_of
+
+    ok = lambda cls: cls.isin(*valid) if valid is not None else cls.isNotNull()
+    normal = tx.normalize(F.coalesce(F.col(text), F.lit("")))
+    seg = rows.select(key, F.posexplode_outer(clean_segments(normal)).alias("seg", "s"))
+    seg = seg.select(key, F.struct(key, "seg").alias("nth"), "seg", *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("name", "bracket", "hint")])
+    seg = cut(seg)
+    named = bracket_class(seg.where("bracket <> ''").select("nth", "bracket"), "nth", "bracket", dictionary, codes, rules)
     seg = seg.join(named.withColumnsRenamed({"cls": "bracket_cls", "confidence": "bracket_confidence"}).hint("merge"), "nth", "left")
-    s = F.coalesce(F.col("s"), F.lit(""))
-    rule, weak, code = best_rule(s, rules), best_rule(s, inline), canonical(s, codes)
-    hit = lambda cls, method, confidence: F.when(cls.isNotNull(), F.struct(confidence.cast("int").alias("confidence"), cls.alias("cls"), F.lit(method).alias("method")))
-    found = [hit(F.col("bracket_cls"), "bracket", F.col("bracket_confidence")), hit(code, "canonical", F.lit(5)), hit(rule["cls"], "scaffold", rule["confidence"])]
-    found = F.coalesce(*found, *([hit(weak["cls"], "inline", weak["confidence"])] if inline else []))
+    hit = lambda cls, method, confidence: F.when(cls.isNotNull(), F.struct(cls.alias("cls"), F.lit(method).alias("method"), confidence.cast("int").alias("confidence")))
+    by_rule = lambda x: hit(first_rule(x, rules)["cls"], "scaffold", first_rule(x, rules)["confidence"])
+    by_inline = lambda x: hit(best_rule(x, inline)["cls"], "inline", best_rule(x, inline)["confidence"]) if inline else F.lit(None)
+    hint = F.col("hint")
+    whole = F.coalesce(by_rule(hint), by_inline(hint))
+    subs = F.filter(F.transform(F.split(hint, "[/;,]"), lambda x: F.trim(x)), lambda x: F.length(x) >= 3)
+    sub = F.get(F.filter(F.transform(subs, by_rule), lambda m: ok(m["cls"])), F.lit(0))
+    again = by_inline(hint)
+    hinted = F.when(hint != "", F.when(ok(whole["cls"]), whole).otherwise(F.coalesce(sub, F.when(ok(again["cls"]), again) if inline else F.lit(None), whole)))
+    name = F.col("name")
+    found = F.coalesce(hit(F.col("bracket_cls"), "bracket", F.col("bracket_confidence")), hit(canonical(name, codes), "canonical", F.lit(5)), by_rule(name), hinted, *([by_inline(name)] if inline else []))
     seg = seg.select(key, "seg", found.alias("m"))
     out = seg.groupBy(key).agg(
         F.max_by("m", F.struct(F.coalesce(F.col("m.confidence"), F.lit(0)), -F.col("seg"))).alias("best"),
-        F.array_sort(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("seg", F.col("m.cls").alias("cls"))))).alias("all"),
+        F.array_sort(F.collect_list(F.when(ok(F.col("m.cls")), F.struct("seg", F.col("m.cls").alias("cls"))))).alias("all"),
     )
     classes = F.array_distinct(F.transform("all", lambda x: x["cls"]))
-    return out.select(key, F.coalesce("best.cls", F.lit("unknown")).alias("primary"), F.coalesce("best.method", F.lit("none")).alias("method"), F.coalesce("best.confidence", F.lit(0)).alias("confidence"), classes.alias("all_classes"))
+    good = ok(F.col("best.cls"))
+    out = out.select(key, F.when(good, F.col("best.cls")).otherwise("unknown").alias("primary"), F.coalesce("best.method", F.lit("none")).alias("method"), F.coalesce("best.confidence", F.lit(0)).alias("confidence"), classes.alias("all_classes"))
+    if known is None:
+        return out
+    refs = references_of(rows.select(key, normal.alias("text")), key)
+    met = refs.select(key, "pos", "segment").join(sized(known.where(ok(F.col("cls"))).select("segment", F.col("cls").alias("known"))), "segment")
+    met = met.groupBy(key).agg(F.min_by("known", "pos").alias("known"))
+    out = out.join(sized(cut(met)), key, "left")
+    new = {"primary": F.col("known"), "method": F.lit("known"), "confidence": F.lit(5), "all_classes": F.array("known")}
+    return out.select(key, *[F.when(F.col("known").isNotNull(), v).otherwise(F.col(c)).alias(c) for c, v in new.items()])
+
+
+def learn_references(rows: DataFrame, dictionary: DataFrame, names: DataFrame, codes: Sequence[str], rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """What rows (ord, text) of references teach, in file order: (key, cls) of the dictionary with the abbreviations
+    learned, and (segment, cls) of the segments resolved, the last row's class where a segment repeats.
+
+    A reference's class is that of its abbreviation (the dictionary, or an earlier reference that taught it), else a class
+    code in the abbreviation, else of the first part of it that the dictionary has or that holds a code, else by the first
+    rule on the abbreviation, else of its full name among names (name, cls), else by the first rule on the full name. Only
+    classes among codes are kept. An abbreviation not known before is learned with it.
+
+    What doesn't depend on earlier rows is found once. References are then resolved in rounds until no key changes; a
+    round settles at least one more link of every chain, and only two numbers come to the driver.
+    """
+    from .parsing import references_of
+
+    first = dictionary.select(F.lower("key").alias("key"), "cls", F.lit(-1).cast("long").alias("since"))
+    refs = references_of(rows.select("ord", tx.normalize(F.col("text")).alias("text")), "ord")
+    refs = refs.withColumn("at", F.col("ord") * (1 << 20) + F.col("pos")).withColumn("key", F.lower(tx.normalize(F.col("abbreviation"))))
+    refs = cut(refs.withColumn("low_name", F.lower(tx.normalize(F.col("full_name")))))
+    valid = lambda c: F.when(c.isin(*codes), c)
+    abbreviated = F.col("abbreviation") != ""
+    rank = lambda n, cls: F.struct(F.lit(n).alias("rank"), F.lit(0).alias("place"), cls.alias("cls"))
+    fixed = [rank(1, F.when(abbreviated, embedded(F.col("abbreviation"), codes))), rank(3, F.when(abbreviated, valid(first_rule(F.col("abbreviation"), rules)["cls"]))), rank(5, valid(first_rule(F.col("full_name"), rules)["cls"]))]
+    static = refs.select("at", F.inline(F.filter(F.array(*fixed), lambda x: x["cls"].isNotNull())))
+    known_names = cut(names.groupBy(F.lower(tx.normalize(F.col("name"))).alias("low_name")).agg(F.min("cls").alias("cls")))
+    by_name = refs.where("low_name <> ''").join(sized(known_names), "low_name").select("at", F.lit(4).alias("rank"), F.lit(0).alias("place"), "cls")
+    parts = refs.where(abbreviated).select("at", F.posexplode(F.split(F.regexp_replace("abbreviation", r"\([^)]*\)", ""), r"[-,/\s]+")).alias("place", "part")).where("length(part) >= 2")
+    parts = cut(parts.select("at", F.lit(2).alias("rank"), "place", F.lower("part").alias("key"), embedded(F.col("part"), codes).alias("code")))
+    coded = parts.where("code is not null").select("at", "rank", (F.col("place") * 2 + 1).alias("place"), F.col("code").alias("cls"))
+    static = cut(static.union(by_name).union(coded))
+    asked = cut(refs.where(abbreviated).select("at", F.lit(0).alias("rank"), F.lit(0).alias("place"), "key").union(parts.select("at", "rank", (F.col("place") * 2).alias("place"), "key")))
+    keys = refs.where(abbreviated).select("at", F.col("key").alias("new_key"))
+    known, before = cut(first), None
+    while True:
+        hit = asked.join(sized(known), "key").where(F.col("since") < F.col("at")).where((F.col("rank") == 0) | F.col("cls").isin(*codes))
+        best = hit.select("at", "rank", "place", "cls").union(static).groupBy("at").agg(F.min_by("cls", F.struct("rank", "place")).alias("cls"))
+        best = cut(best.where(F.col("cls").isin(*codes)))
+        taught = best.hint("merge").join(keys, "at").groupBy(F.col("new_key").alias("key")).agg(F.min_by("cls", "at").alias("cls"), F.min("at").alias("since"))
+        fresh = taught.join(sized(first.select("key")), "key", "left_anti")
+        known = cut(first.unionByName(fresh))
+        state = known.agg(F.count("*"), F.sum(F.xxhash64("key", "cls", "since").cast("decimal(20,0)"))).first()
+        if state == before:
+            break
+        before = state
+    segments = refs.select("at", "segment").hint("merge").join(best, "at").groupBy("segment").agg(F.max_by("cls", "at").alias("cls"))
+    return known.select("key", "cls"), segments
 
 
 def learn_from_rows(rows: DataFrame, dictionary: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -61,9 +61,14 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, key string, cls string")
 
 
-def classify(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """rules.classify with this pack; inline abbreviations count only where no scaffold does."""
-    return rules.classify(rows, key, text, dictionary(rows.sparkSession), CODES, SCAFFOLDS, INLINE)
+def classify(rows: DataFrame, key: str, text: str, known: DataFrame | None = None) -> DataFrame:
+    """rules.classify with this pack."""
+    return rules.classify(rows, key, text, dictionary(rows.sparkSession), CODES, SCAFFOLDS, INLINE, valid=CODES, known=known)
+
+
+def learn(rows: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rules.learn_references with this pack: dictionary and segments."""
+    return rules.learn_references(rows, dictionary(rows.sparkSession), names, CODES, SCAFFOLDS)
 
 
 def detect(queries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scholia.operators import parsing as ps
 from scholia.operators import retrieval as rt
 from scholia.operators import rules as r
+from scholia.plans import ligand_pack as lp
 from scholia.plans.bindings import table
 
 #: (pattern, class, confidence)
@@ -43,12 +44,44 @@ def abbrev_decompose(spark, d):
 
 
 def cls_primary(spark, d):
-    """Part names with their type in brackets, in segments."""
-    p = _parts(spark, d).select("p_partkey", F.concat("p_name", F.lit("; x ["), "p_type", F.lit("]")).alias("text"))
-    out = r.classify(p, "p_partkey", "text", _dictionary(spark), ("gear",), RULES)
+    """Part names alone, with a bracket, as the hint of a code, and before a second segment."""
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat("p_name", F.lit(" ["), "p_type", F.lit("]"))).when(k == 1, F.concat(F.lit("L1 ("), "p_name", F.lit(")"))).when(k == 2, F.col("p_name")).otherwise(F.concat(F.lit("x; "), "p_name", F.lit("; the gear")))
+    out = r.classify(_parts(spark, d).select("p_partkey", text.alias("text")), "p_partkey", "text", _dictionary(spark), ("gear",), RULES)
+    return out.withColumn("all_classes", F.array_join("all_classes", ","))
+
+
+#: Ligand texts of many shapes; a part's key and name choose among them.
+LIGANDS = (
+    "4,4'-di-tert-butyl-2,2'-bipyridine [dtbbpy]", "L3 (box ligand)", "1,10-phenanthroline for X; bis(oxazoline) [Pent(3,3)-Bis(IndOx)]", "L2 (amine/bis(oxazoline), other)",
+    "2-(4,5-dihydrooxazol-2-yl)pyridine (PyOx), with base", "specific BiIM ligand", "[new-lig]", "water", "a bipyridine [new-lig]", "named ligand [nl1]", "x [nl1-Me]", "DMAP", "no ligand", "pyridine pybox ligand",
+)
+
+
+def _ligand_texts(spark, d):
+    p = _parts(spark, d)
+    first, second = [F.element_at(F.array(*map(F.lit, LIGANDS)), (F.pmod(F.xxhash64("p_partkey", F.lit(i)), F.lit(len(LIGANDS))) + 1).cast("int")) for i in (0, 1)]
+    return p.select(F.col("p_partkey").cast("long").alias("ord"), F.when(F.col("p_size") > 25, first).otherwise(F.concat(first, F.lit("; "), second)).alias("text"))
+
+
+def _ligand_names(spark):
+    return spark.createDataFrame([("named ligand", "PyCam")], "name string, cls string")
+
+
+def cls_primary_pack(spark, d):
+    """The cascade with the ligand pack, after what the first half of the texts has taught."""
+    t = _ligand_texts(spark, d)
+    _, segments = lp.learn(t.where("ord % 2 = 0"), _ligand_names(spark))
+    out = lp.classify(t, "ord", "text", segments)
     return out.withColumn("all_classes", F.array_join("all_classes", ","))
 
 
+def dict_learn_references(spark, d):
+    """The dictionary and the segments that all texts teach."""
+    words, segments = lp.learn(_ligand_texts(spark, d), _ligand_names(spark))
+    return words.select(F.lit("word").alias("kind"), F.col("key").alias("term"), "cls").union(segments.select(F.lit("segment"), "segment", "cls"))
+
+
 def dict_learn_layer2(spark, d):
     more = _parts(spark, d).select(F.col("p_partkey").alias("ord"), F.lower("p_type").alias("key"), F.when(F.col("p_size") > 25, "big").otherwise("little").alias("cls"))
     return r.learn_first([_dictionary(spark), more], ["basic", "offer", "gadget", "metal", "big", "little"])
@@ -155,7 +188,21 @@ QUERIES = {
         abbrev_decompose,
         "with w as (select p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) as w, unnest(range(9)) as k from part), d as (select unnest(['economy', 'standard', 'promo', 'gizmo', 'anvil']) as w, unnest(['basic', 'basic', 'offer', 'gadget', 'metal']) as cls) select p_partkey, arg_min(cls, k) as cls, arg_min(w, k) as term from w join d using (w) group by 1",
     ),
-    "cls_primary": (cls_primary, None),
+    "cls_primary": (
+        cls_primary,
+        f"""with t as (select p_partkey, p_name as n, lower(p_type) as b, p_partkey % 4 as k from part),
+        f as (select *, case {"".join(f"when regexp_matches(n, '{p}') then '{c}' " for p, c, _ in RULES)} end as rule, case {"".join(f"when regexp_matches(n, '{p}') then {q} " for p, _, q in RULES)} else 0 end as rc,
+          case when b in ('economy', 'standard') then 'basic' when b = 'promo' then 'offer' end as dict, regexp_matches(n, '(?i)\\bgear\\b') as gear from t)
+        select p_partkey,
+          case k when 0 then coalesce(dict, case when gear then 'gear' end, rule, 'unknown') when 1 then coalesce(rule, 'unknown') when 2 then coalesce(case when gear then 'gear' end, rule, 'unknown') else case when not gear and rc = 5 then rule else 'gear' end end as "primary",
+          case k when 0 then case when dict is not null then 'bracket' when gear then 'canonical' when rule is not null then 'scaffold' else 'none' end when 1 then case when rule is not null then 'scaffold' else 'none' end
+            when 2 then case when gear then 'canonical' when rule is not null then 'scaffold' else 'none' end else case when not gear and rc = 5 then 'scaffold' else 'canonical' end end as method,
+          case k when 0 then case when dict is not null or gear then 5 else rc end when 1 then rc when 2 then case when gear then 5 else rc end else 5 end as confidence,
+          case k when 0 then coalesce(dict, case when gear then 'gear' end, rule, '') when 1 then coalesce(rule, '') when 2 then coalesce(case when gear then 'gear' end, rule, '')
+            else case when gear or rule is null then 'gear' else rule || ',gear' end end as all_classes from f""",
+    ),
+    "cls_primary_pack": (cls_primary_pack, None),
+    "dict_learn_references": (dict_learn_references, None),
     "dict_learn_layer2": (
         dict_learn_layer2,
         "with d as (select unnest(['economy', 'standard', 'promo', 'gizmo', 'anvil']) as key, unnest(['basic', 'basic', 'offer', 'gadget', 'metal']) as cls) select * from d union all select lower(p_type), arg_min(case when p_size > 25 then 'big' else 'little' end, p_partkey) from part where lower(p_type) not in (select key from d) group by 1",

@@ -113,6 +113,11 @@ def citation_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
+def is_json(text: Column) -> Column:
+    """Whether all of text is one JSON value: the parser alone lets anything follow it."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+
+
 def largest_balanced(text: Column, brackets: str, size: Callable[[Column], Column]) -> Column:
     """The largest span of text, by size, from an opening bracket at depth 0 to the one that closes it, that is JSON; the
     first on ties; null if there is none. One fold over the text's brackets keeps depth and the best span so far."""
@@ -125,7 +130,7 @@ def largest_balanced(text: Column, brackets: str, size: Callable[[Column], Colum
         depth = s["depth"] + F.when(opens, 1).otherwise(-1)
         begin = F.when(opens & (s["depth"] == 0), at).otherwise(s["begin"])
         span = F.when(~opens & (depth == 0) & (begin > 0), F.substring(text, begin, at - begin + 1))
-        n = F.coalesce(F.when(F.try_parse_json(span).isNotNull(), size(span)), F.lit(-1))
+        n = F.coalesce(F.when(is_json(span), size(span)), F.lit(-1))
         better = n > s["size"]
         return F.struct(at.alias("at"), depth.alias("depth"), begin.alias("begin"), F.greatest(n, s["size"]).alias("size"), F.when(better, span).otherwise(s["best"]).alias("best"))
 
@@ -140,7 +145,7 @@ def json_repair(text: Column, schema: str) -> Column:
     keys = lambda span: F.size(F.json_object_keys(span))
     inside = largest_balanced(t, "{}", keys)
     inside = F.when(keys(inside) > 0, inside)
-    tries = [F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, schema)) for x in (t, fence, inside, closed(t))]
+    tries = [F.when(is_json(x), F.from_json(x, schema)) for x in (t, fence, inside, closed(t))]
     return F.coalesce(*tries)
 
 
@@ -156,7 +161,7 @@ def json_repair_any(text: Column) -> Column:
     missing closers."""
     t = F.trim(text)
     fence = F.trim(F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1))
-    compact = lambda x: F.to_json(F.try_parse_json(x))
+    compact = lambda x: F.when(is_json(x), F.to_json(F.try_parse_json(x)))
     length = lambda span: F.length(compact(span))
     objects, arrays = compact(largest_balanced(t, "{}", length)), compact(largest_balanced(t, "[]", length))
     best = F.when(objects.isNull() | (F.length(arrays) > F.length(objects)), arrays).otherwise(objects)
