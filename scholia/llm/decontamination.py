@@ -9,7 +9,7 @@ Items are the query set. They are searched in blocks of at most `block` items, e
 what a task holds is bounded whatever the number of items or documents.
 
 Defined cases: null, empty and word-free texts match nothing; items shorter than `least_chars` after normalisation are
-matched exactly (no budget) and word-free items not at all; equal items give the same spans, each under its own id.
+matched exactly (no budget), as whole words, and word-free items not at all; equal items give the same spans, each under its own id.
 """
 
 from __future__ import annotations
@@ -94,6 +94,8 @@ class Searcher:
             for j, at in owners:
                 _, item, k, _ = self.items[j]
                 begin = end + 1 - n - at
+                if not k and (text[begin - 1 : begin] not in ("", " ") or text[end + 1 : end + 2] not in ("", " ")):
+                    continue  # an exact item stands as words of its own
                 windows.setdefault(j, []).append((max(0, begin - k), begin + len(item) + k))
         found = []
         for j, spans in windows.items():
@@ -142,7 +144,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block:
 def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """docs without the documents that hold an item. Documents with a null doc_id can't be named by a match and stay."""
     hit = common.materialise(matches(docs, items, rate).select("doc_id").where("doc_id is not null").distinct(), "leaks")
-    return docs.join(common.small_or_shuffled(hit), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(common.small_or_shuffled(hit), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,16 +130,18 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS,
     each = max(1, fit_rows // len(languages))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, each / sizes[lang]))])
     sample = train.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # a text repeated any number of times counts once, and the same rows are taken in every run
+    sample = sample.dropDuplicates(["text", "lang"]).withColumn("h", F.xxhash64("text", "lang"))
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"lang": pdf["lang"], "grams": [x.astype(np.int32).tobytes() for x in counts(pdf["text"].tolist())]})
+            yield pd.DataFrame({"h": pdf["h"], "lang": pdf["lang"], "grams": [x.astype(np.int32).tobytes() for x in counts(pdf["text"].tolist())]})
 
     kept_out = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(4)) == 0
     learn = sample.where(~kept_out)
-    rows = learn.mapInPandas(featurise, "lang string, grams binary").limit(2 * fit_rows).toPandas()
+    rows = learn.mapInPandas(featurise, "h long, lang string, grams binary").orderBy("h").limit(2 * fit_rows).toPandas()
     if not len(rows):
-        rows = sample.mapInPandas(featurise, "lang string, grams binary").limit(2 * fit_rows).toPandas()
+        rows = sample.mapInPandas(featurise, "h long, lang string, grams binary").orderBy("h").limit(2 * fit_rows).toPandas()
     rows = rows.sort_values(["lang", "grams"], ignore_index=True)
     if not len(rows):
         return Model(np.ones(DIMS), np.zeros((0, DIMS)), np.zeros(0, int), [], np.zeros(1))
@@ -153,12 +155,12 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS,
     model.owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
     def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf["text"]:
+            for h, t in zip(pdf["h"], pdf["text"], strict=True):
                 parts = [t, *[t[:k] for k in _PREFIXES if k < len(t)]]
                 _, score, _ = model.predict(parts)
-                yield pd.DataFrame({"n": counts(parts).sum(axis=1), "score": score})
+                yield pd.DataFrame({"h": h, "n": counts(parts).sum(axis=1), "score": score})
 
-    measured = sample.where(kept_out).mapInPandas(calibrate, "n long, score double").where("n > 0").toPandas()
+    measured = sample.where(kept_out).mapInPandas(calibrate, "h long, n long, score double").where("n > 0").orderBy("h", "n").limit(2 * fit_rows * (1 + len(_PREFIXES))).toPandas()[["n", "score"]]
     if len(measured) < ENOUGH:  # too few rows: those that were learned from stand in
         own = pd.DataFrame({"n": grams.sum(axis=1), "score": np.max(x @ model.centres.T, axis=1)})
         measured = pd.concat([measured, own[own["n"] > 0]])
@@ -189,8 +191,9 @@ def predict(docs: DataFrame, model: Model, *keep: str | Column, prefix: str = ""
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
 
     names = docs.select(*keep).columns
-    rows = docs.select(*keep, run("text").alias(RESULT))
-    return rows.select(*[F.col(f"`{n}`") for n in names], *[F.col(f"{RESULT}.{n}").alias(f"{prefix}{n}") for n in ("lang_pred", "score", "rejected")])
+    result = common.free_name(names, RESULT)
+    rows = docs.select(*keep, run("text").alias(result))
+    return rows.select(*[F.col(f"`{n}`") for n in names], *[F.col(f"{result}.{n}").alias(f"{prefix}{n}") for n in ("lang_pred", "score", "rejected")])
 
 
 def held_out() -> Column:
@@ -209,4 +212,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language id rejects; the other columns stay as they are."""
     common.prepare(spark)
     model = fit(docs.where(~held_out()))
-    return predict(docs, model, *docs.columns, prefix=f"{RESULT}_").where(f"not {RESULT}_rejected").select(*docs.columns)
+    prefix = common.free_name([c[: -len(end)] for c in docs.columns for end in ("_lang_pred", "_score", "_rejected") if c.lower().endswith(end)], RESULT)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return predict(docs, model, *own, prefix=f"{prefix}_").where(f"not {prefix}_rejected").select(*own)

@@ -217,7 +217,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class: the one whose doc_id is the class. Null text or doc_id stays."""
     gone = common.materialise(classes(docs, threshold).where("doc_id <> class_id").select("doc_id"), "gone")
-    return docs.join(common.small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(common.small_or_shuffled(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,23 +76,25 @@ def _semi_global(p, t):
 def test_decontamination_finds_all_within_budget(spark, documents, folder):
     random.seed(6)
     items = [(i, " ".join("".join(random.choice("abcdefg") for _ in range(random.randint(2, 6))) for _ in range(14))) for i in range(12)]
-    items += [(20, "tiny"), (21, ""), (22, None), (23, items[0][1])]
+    items += [(20, "tiny"), (21, ""), (22, None), (23, items[0][1]), (24, "cat")]
     rows = []
     for i in range(60):
         body = list(decontamination.normalise(random.choice(items[:12])[1]))
         for _ in range(random.randint(0, 8)):
             body[random.randrange(len(body))] = random.choice("abcdefg ")
         rows.append((i, "Zz yy. " + "".join(body).upper() + "! tail words " * random.randint(0, 4)))
-    rows += [(90, None), (91, ""), (92, "a tiny thing"), (93, "clean words only")]
+    rows += [(90, None), (91, ""), (92, "a tiny thing"), (93, "clean words only"), (94, "a concatenated list, bobcat"), (95, "concat, cat")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.op8_decontamination(spark, folder(documents=documents(rows), benchmark=bench)).collect()}
     want = set()
     for d, t in rows:
         for j, p in items:
             p = decontamination.normalise(p)
-            if p and _semi_global(p, decontamination.normalise(t)) <= decontamination.budget(len(p)):
+            t = decontamination.normalise(t)
+            k = decontamination.budget(len(p))
+            if p and (_semi_global(p, t) <= k if k else f" {p} " in f" {t} "):
                 want.add((d, j))
-    assert got == want and (92, 20) in want and len(want) > 20
+    assert got == want and (92, 20) in want and (95, 24) in want and (94, 24) not in want and len(want) > 20
     kept = {r["doc_id"] for r in decontamination.clean(documents(rows), bench).collect()}
     assert kept == {d for d, _ in rows} - {d for d, _ in want}
 
