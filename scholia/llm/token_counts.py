@@ -2,9 +2,8 @@
 
 A text of more than `chunk_chars` is cut into chunks that overlap. Each chunk is encoded alone, with offsets. Two
 neighbours are spliced at a place inside their overlap that (1) is a token boundary in both encodings and (2) is proven
-stable: it lies before a space that follows a non-space, where the byte-level pattern always starts a token and looks
-only to the right, so what stands elsewhere can't move it. Where an overlap holds no such place, the right chunk starts
-further left and that overlap is encoded anew, twice as wide each time, up to the whole left part.
+stable (`stable`): the byte-level pattern always parts there, so what stands elsewhere can't move it. Where an overlap
+holds no such place, it is widened to the last one on its left; a stretch without any is encoded once, as a whole.
 
 Chunks are rows: one huge text is spread over many tasks, and only their numbers of tokens meet again.
 
@@ -13,6 +12,7 @@ Defined cases: null and empty texts have 0 bytes and 0 tokens; null doc_id and r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,9 +22,30 @@ from pyspark.sql import functions as F
 from . import common
 from .token_memo import load, memo
 
+#: Marks that are no letters in any version of Unicode and begin or end no special token.
+_MARKS = frozenset(" \t\n\r!\"#$%&()*+,-./:;=?@[\\]^_`{}~，。、；：？！（）《》「」『』")
+
+#: Letters that every version of Unicode in use has: Latin, Greek, Cyrillic, Chinese, Japanese, Korean.
+_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿΑ-ΡΣ-Ωα-ωЀ-ҁ一-龥ぁ-んァ-ヶ가-힣]")
+
+
 def stable(text: str, i: int) -> bool:
-    """Whether a token boundary before text[i] holds whatever surrounds it."""
-    return 0 < i < len(text) and text[i] == " " and not text[i - 1].isspace()
+    """Whether a token boundary before text[i] holds whatever surrounds it: before a space behind a non-space, before a
+    mark behind a letter, and before a letter of ASCII or a mark behind a digit. The pattern's tokens never go on there:
+    in all of its alternatives a space comes first, and a letter or digit is followed by its like alone."""
+    if not 0 < i < len(text):
+        return False
+    left, right = text[i - 1], text[i]
+    if right == " ":
+        return not left.isspace()
+    if right in _MARKS:
+        return "0" <= left <= "9" or _LETTER.match(left) is not None
+    return "0" <= left <= "9" and ("a" <= right <= "z" or "A" <= right <= "Z")
+
+
+def last_stable(text: str) -> int | None:
+    """The last stable place of text."""
+    return next((i for i in range(len(text) - 1, 0, -1) if stable(text, i)), None)
 
 
 def seam(left: list[int], right: list[int], text: str) -> int | None:
@@ -40,26 +61,27 @@ def _starts(tokenizer, text: str) -> list[int]:
 
 
 def spliced_count(pieces: list[str], overlap: int, tokenizer) -> int:
-    """Tokens of a text whose pieces overlap by `overlap` characters each, widened where no seam is found."""
-    total, starts = 0, _starts(tokenizer, pieces[0])
-    text = pieces[0]
+    """Tokens of a text whose pieces overlap by `overlap` characters each. An overlap without a seam is widened to the last
+    stable place on its left; where there is none, the left part grows by the piece, not encoded yet. So each character
+    is encoded twice at most."""
+    total, held, at = 0, [pieces[0]], last_stable(pieces[0])
     for piece in pieces[1:]:
-        width = min(overlap, len(text))
-        right_text = text[len(text) - width :] + piece[overlap:]
-        while True:
-            base = len(text) - width
-            right = _starts(tokenizer, right_text)
-            at = seam([s - base for s in starts if s > base], [s for s in right if s < width], right_text)
-            if at is not None or base == 0:
-                break
-            width = min(2 * width, len(text))
-            right_text = text[len(text) - width :] + piece[overlap:]
-        if at is None:  # the overlap is all that is left of the text so far: the right encoding stands for both
-            text, starts = right_text, right
-            continue
-        total += sum(s - base < at for s in starts)
-        text, starts = right_text[at:], [s - at for s in right if s >= at]
-    return total + len(starts)
+        fresh = piece[overlap:]
+        if at is not None:
+            text = "".join(held)
+            starts = _starts(tokenizer, text)
+            # the right encoding begins at the seam; the left one must have it as well
+            if at in starts:
+                total += sum(s < at for s in starts)
+                held, at = [text[at:]], None
+        # a stable place may lie between what is held and what is new
+        near = (held[-1][-1:] if held[-1] else "") + fresh
+        size = sum(map(len, held))
+        place = last_stable(near)
+        held.append(fresh)
+        if place is not None:
+            at = size + place - (len(near) - len(fresh))
+    return total + len(_starts(tokenizer, "".join(held)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_chars: int = 32_768, overlap: int = 512) -> DataFrame:
@@ -93,7 +115,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_chars
             yield pd.DataFrame(out, columns=["row", "doc_id", "n_bytes", "chunk", "n", "left_at", "left_n", "right_at", "right_n"])
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = rows.where(F.col("n_chars") > chunk_chars).mapInPandas(cut, f"row long, doc_id {kind}, n_bytes long, chunk long, base long, piece string")
+    # long texts are read twice below by the numbers they have here, so these are written once
+    long = common.materialise(rows.where(F.col("n_chars") > chunk_chars), "long-texts")
+    pieces = long.mapInPandas(cut, f"row long, doc_id {kind}, n_bytes long, chunk long, base long, piece string")
     chunks = pieces.repartition(n_parts, "row", "chunk").mapInPandas(encode, f"row long, doc_id {kind}, n_bytes long, chunk long, n long, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>")
     w = Window.partitionBy("row").orderBy("chunk")
     # the seam with the chunk behind: the first place that both encodings have
@@ -117,7 +141,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_chars
                     cuts = [r.text[max(0, i - overlap) : i + chunk_chars] for i in range(0, len(r.text), chunk_chars)]
                     yield pd.DataFrame({"doc_id": [r.doc_id], "n_bytes": [r.n_bytes], "n_tokens": [spliced_count(cuts, overlap, t)], "n_chunks": [len(cuts)]})
 
-        again = rows.where(F.col("n_chars") > chunk_chars).join(common.small_or_shuffled(failed, n_failed), "row", "left_semi")
+        again = long.join(common.small_or_shuffled(failed, n_failed), "row", "left_semi")
         parts.append(again.select("doc_id", "n_bytes", "text").mapInPandas(widen, f"doc_id {kind}, n_bytes long, n_tokens long, n_chunks long"))
     out = parts[0]
     for x in parts[1:]:

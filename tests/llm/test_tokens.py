@@ -68,3 +68,31 @@ def test_spliced_counts(spark, documents, tokenizer, chunk, overlap):
     want = [(i, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
     assert sorted([(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got], key=key) == sorted(want, key=key)
     assert all(r["over_limit"] == (r["n_tokens"] > 20) for r in got)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*BITS, "x", "Ω", "字，", "ひ。", "12", "3a", "'", "-", "<", "|", "s", "\r\n", "~"]), max_size=12).map("".join))
+def test_stable_places_are_boundaries(text):
+    """A stable place of any text is a boundary of the library's tokens, and counts add up over it."""
+    t = token_memo.load(PATH)
+    ids = t.encode(text, add_special_tokens=False)
+    for i in range(1, len(text)):
+        if token_counts.stable(text, i):
+            parts = [t.encode(x, add_special_tokens=False).ids for x in (text[:i], text[i:])]
+            assert parts[0] + parts[1] == ids.ids, (text, i)
+
+
+@pytest.mark.parametrize("unit", ["日本語的文章没有空格", "日本語的文章，有标点。", "12345678901234567890\n", "日本", "é"])
+def test_long_texts_without_spaces(tokenizer, unit):
+    """Counts of the library, each character encoded twice at most."""
+    text = unit * (300_000 // len(unit))
+    size, overlap, asked = 32_768, 512, []
+
+    class Counting:
+        def encode(self, x, **kw):
+            asked.append(len(x))
+            return tokenizer.encode(x, **kw)
+
+    cuts = [text[max(0, i - overlap) : i + size] for i in range(0, len(text), size)]
+    assert token_counts.spliced_count(cuts, overlap, Counting()) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert sum(asked) <= 2 * len(text)
