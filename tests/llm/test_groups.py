@@ -173,7 +173,7 @@ def test_lines_by_brute_force(spark, documents):
     marks = {x: _simhash(x.split(" ")) for x in names}
     edges = []
     for x, y in itertools.combinations(names, 2):
-        if _share_two(x, y) and (marks[x] ^ marks[y]).bit_count() <= line_dedup.DISTANCE and _levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9):
+        if _share_two(x, y) and (marks[x] ^ marks[y]).bit_count() <= line_dedup.DISTANCE[(len(x.split(" ")) >= 10) + (len(x.split(" ")) >= 5 * line_dedup.ALONE)] and _levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9):
             edges.append((first[x], first[y]))
     group = _components(first.values(), edges)
     want = [(i, None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in where or group[first[where[i, j]]] == (i, j))) for i, t in rows]
