@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import sized
+from scholia.plans.lineage import cut
+
+#: Seeds that are broadcast at once.
+BLOCK = 50_000
 
 
 def moments(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -40,17 +43,33 @@ def total(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def by_block(seeds: DataFrame, run: Callable[[DataFrame], DataFrame], block: int | None = None) -> DataFrame:
+    """The union of run(part) over parts of seeds (seed, ...) of about `block` rows, each broadcast. The seeds are a query
+    set against all rows; with more of them there are more passes, never a larger broadcast or a cartesian product."""
+    block = block or BLOCK
+    n = seeds.count()
+    if n <= block:
+        return run(F.broadcast(seeds))
+    seeds = cut(seeds)
+    parts = -(-5 * n // (4 * block))  # a fifth of room, as rows are dealt out by a hash
+    out = None
+    for i in range(parts):
+        found = run(F.broadcast(seeds.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == i)))
+        out = found if out is None else out.union(found)
+    return out
+
+
 def neighbours(seeds: DataFrame, rows: DataFrame, features: Sequence[str], k: int, *, same: str | None = None, keep_self: bool = False) -> DataFrame:
     """(seed, id, distance, rank): the k nearest rows (ord, features) of each seed (ord, features), Euclidean.
 
-    The seeds are the query side and are broadcast by count; every row meets every seed once, and Spark keeps k a seed in
+    The seeds are the query side and are broadcast in blocks; every row meets every seed once, and Spark keeps k a seed in
     each partition before the shuffle. same: a column in which both must agree.
     """
     s = seeds.select(F.col("ord").alias("seed"), *[F.col(c).alias(f"s_{c}") for c in (*features, *([same] if same else []))])
     apart = F.sqrt(total([F.pow(F.col(c) - F.col(f"s_{c}"), F.lit(2.0)) for c in features]))
     on = F.lit(True) if keep_self else F.col("ord") != F.col("seed")
     on = on & (F.col(same) == F.col(f"s_{same}")) if same else on
-    found = rows.join(sized(s), on).select("seed", F.col("ord").alias("id"), apart.alias("distance"))
+    found = by_block(s, lambda part: rows.join(part, on).select("seed", F.col("ord").alias("id"), apart.alias("distance")))
     w = Window.partitionBy("seed").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -59,7 +78,7 @@ def array_neighbours(seeds: DataFrame, rows: DataFrame, vector: str, k: int) ->
     """neighbours on an array column."""
     s = seeds.select(F.col("ord").alias("seed"), F.col(vector).alias("sv"))
     apart = F.sqrt(F.aggregate(F.zip_with(vector, "sv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
-    found = rows.join(sized(s), F.col("ord") != F.col("seed")).select("seed", F.col("ord").alias("id"), apart.alias("distance"))
+    found = by_block(s, lambda part: rows.join(part, F.col("ord") != F.col("seed")).select("seed", F.col("ord").alias("id"), apart.alias("distance")))
     w = Window.partitionBy("seed").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -73,7 +92,7 @@ def cosine(seeds: DataFrame, rows: DataFrame, features: Sequence[str]) -> DataFr
     s = seeds.select(F.col("ord").alias("seed"), *[F.col(c).alias(f"s_{c}") for c in features])
     norm = lambda p: F.when((n := F.sqrt(total([F.col(p + c) * F.col(p + c) for c in features]))) == 0, 1.0).otherwise(n)
     dot = total([F.col(c) * F.col(f"s_{c}") for c in features])
-    return rows.join(sized(s), F.col("ord") != F.col("seed")).select("seed", F.col("ord").alias("id"), (dot / (norm("") * norm("s_"))).alias("cosine"))
+    return by_block(s, lambda part: rows.join(part, F.col("ord") != F.col("seed")).select("seed", F.col("ord").alias("id"), (dot / (norm("") * norm("s_"))).alias("cosine")))
 
 
 def recommend(found: DataFrame, classes: DataFrame, cls: Column, k: int) -> DataFrame:

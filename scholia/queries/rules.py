@@ -97,7 +97,7 @@ def cls_fastpath(spark, d):
     p = _parts(spark, d)
     seen = p.where("p_partkey % 50 = 0").groupBy("p_name").agg(F.min_by("p_type", "p_partkey").alias("known"))
     m = r.best_rule(F.col("p_name"), RULES)
-    return p.join(F.broadcast(seen), "p_name", "left").select("p_partkey", F.coalesce("known", m["cls"], F.lit("unknown")).alias("cls"))
+    return p.join(rt.sized(seen), "p_name", "left").select("p_partkey", F.coalesce("known", m["cls"], F.lit("unknown")).alias("cls"))
 
 
 def _queries(spark, d):

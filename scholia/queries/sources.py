@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholia.plans.bindings import graph_edges, refs, table
+from scholia.plans.lineage import shared_folder
 from scholia.sources import records as s
 
 
@@ -116,7 +119,31 @@ def json_repair_list(spark, d):
     return rows.select("event_id", s.json_repair_any(F.col("text")).alias("json"))
 
 
+def _written(df, name):
+    """df as CSV files with a header in the shared folder; the folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("escape", '"').csv(path, header=True)
+    return path
+
+
+def src_doi_list(spark, d):
+    """A sheet of identifiers, some missing, with other columns behind."""
+    o = table(spark, d, "orders")
+    sheet = o.select(F.when(F.col("o_orderkey") % 6 != 0, F.concat(F.lit("10.1000/"), F.col("o_orderkey").cast("string"))).alias("Main DOI"), "o_orderpriority", "o_orderstatus")
+    return s.first_column(spark, _written(sheet, "doi-list"))
+
+
+def src_citation_csv(spark, d):
+    """A node file whose titles hold quotes, commas and line ends."""
+    c = table(spark, d, "customer")
+    title = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, F.lit(',\n"part" two')).otherwise(F.lit("")))
+    nodes = c.select(F.col("c_custkey").alias("id"), title.alias("title"), F.col("c_nationkey").alias("cluster"))
+    return s.citation_csv(spark, _written(nodes, "nodes"))
+
+
 QUERIES = {
+    "src_doi_list": (src_doi_list, "select '10.1000/' || o_orderkey as doi from orders where o_orderkey % 6 <> 0"),
+    "src_citation_csv": (src_citation_csv, "select c_custkey::varchar as id, c_mktsegment || case when c_custkey % 3 = 0 then ',' || chr(10) || '\"part\" two' else '' end as title, c_nationkey::varchar as cluster from customer"),
     "src_json_map": (src_json_map, "select p_partkey::varchar as id, p_name as name, p_type as leaving_group from part where p_partkey % 7 <> 0"),
     "src_event_props": (src_event_props, "select event_id, 'k' as key, (props->>'k')::int as v from events"),
     "src_code_lookup": (src_code_lookup, "select r_regionkey::varchar as id, r_name as label, 'electrophile' as side from region union all select n_nationkey::varchar, n_name, 'nucleophile' from nation"),

@@ -180,3 +180,16 @@ def test_literature_contains_whole_query(spark):
             if score and texts[0].strip():
                 want[qid, i] = score
     assert got == want
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Seeds beyond a block give the same rows, without a cartesian product."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, *map(float, rng.normal(size=2)), [float(x) for x in rng.normal(size=3)]) for i in range(120)], "ord long, a double, b double, v array<double>")
+    kinds = (lambda: vectors.neighbours(rows, rows, ("a", "b"), 3), lambda: vectors.array_neighbours(rows, rows, "v", 3), lambda: vectors.cosine(rows, rows, ("a", "b")))
+    whole = [sorted(map(tuple, f().collect())) for f in kinds]
+    monkeypatch.setattr(vectors, "BLOCK", 25)
+    for f, want in zip(kinds, whole, strict=True):
+        got = f()
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
