@@ -37,14 +37,14 @@ def jaccard_pairs(sets: DataFrame, threshold: float = 0.8, group: str = "doc", o
     """
     items = sets.where(F.size("items") > 0).select(group, order, F.explode(F.array_distinct("items")).alias("item"))
     df = items.groupBy(group, "item").agg(F.count("*").alias("df"))
-    ranked = items.join(df, [group, "item"]).groupBy(group, order).agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
+    ranked = items.hint("merge").join(df, [group, "item"]).groupBy(group, order).agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
     n = F.size("r")
     prefix = ranked.withColumn("items", F.transform("r", lambda x: x["item"])).select(group, order, "items", F.slice("r", F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int")).alias("p"))
     keys = prefix.select(group, order, F.explode(F.transform("p", lambda x: x["item"])).alias("item"))
     a, b = keys.select(group, "item", F.col(order).alias("a")), keys.select(group, "item", F.col(order).alias("b"))
     pairs = a.hint("merge").join(b, [group, "item"]).where("a < b").select(group, "a", "b").distinct()
     body = prefix.select(group, F.col(order), "items")
-    both = pairs.join(body.select(group, F.col(order).alias("a"), F.col("items").alias("x")), [group, "a"]).join(body.select(group, F.col(order).alias("b"), F.col("items").alias("y")), [group, "b"])
+    both = pairs.hint("merge").join(body.select(group, F.col(order).alias("a"), F.col("items").alias("x")), [group, "a"]).hint("merge").join(body.select(group, F.col(order).alias("b"), F.col("items").alias("y")), [group, "b"])
     s = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     return both.select(group, "a", "b", s.alias("similarity")).where(F.col("similarity") > threshold)
 
@@ -118,7 +118,7 @@ def assemble(scaffolds: DataFrame, long: DataFrame, key: str = "doc") -> DataFra
     fragment = F.trim(F.coalesce("fragment", F.lit("")))
     part = F.struct(-F.length(tag), tag.alias("tag"), F.when(F.upper(fragment).isin("NONE", "H", ""), "").otherwise(fragment).alias("fragment"))
     parts = long.groupBy(key, "entry").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    rows = scaffolds.select(key, normal.alias("scaffold")).join(parts, key)
+    rows = scaffolds.select(key, normal.alias("scaffold")).hint("merge").join(parts, key)
     whole = F.aggregate("parts", F.col("scaffold"), lambda acc, p: F.replace(acc, p["tag"], p["fragment"]))
     return rows.select(key, "entry", F.nullif(F.replace(whole, F.lit("[*]"), F.lit("")), F.lit("")).alias("smiles"))
 

@@ -70,8 +70,8 @@ def network(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, forward: bool,
 
 def cross_network(lists: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc, src, dst): citations among the members of each list (doc, id), without self-citations."""
-    e = edges.where("src <> dst").join(lists.select("doc", F.col("id").alias("src")), "src")
-    return e.join(lists.select("doc", F.col("id").alias("dst")), ["doc", "dst"], "left_semi").select("doc", "src", "dst")
+    e = edges.where("src <> dst").hint("merge").join(lists.select("doc", F.col("id").alias("src")), "src")
+    return e.hint("merge").join(lists.select("doc", F.col("id").alias("dst")), ["doc", "dst"], "left_semi").select("doc", "src", "dst")
 
 
 def related(seeds: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:

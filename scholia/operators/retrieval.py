@@ -167,7 +167,7 @@ def retrieve(queries: DataFrame, names: DataFrame, docs: DataFrame, fields: Sequ
 
 def context(queries: DataFrame, found: DataFrame, docs: DataFrame, n: int = 3, length: int = 200) -> DataFrame:
     """(qid, context): for each query its best documents, one numbered block each, in order of rank."""
-    rows = found.where(F.col("rank") <= n).join(docs.select("ord", "title", "body", "journal"), "ord")
+    rows = found.where(F.col("rank") <= n).hint("merge").join(docs.select("ord", "title", "body", "journal"), "ord")
     block = F.format_string("%d. %s (%s)\n%s", F.col("rank"), F.col("title"), F.col("journal"), tx.preview(F.col("body"), length))
     blocks = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
     text = F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")
@@ -175,6 +175,43 @@ def context(queries: DataFrame, found: DataFrame, docs: DataFrame, n: int = 3, l
     return queries.select("qid").join(blocks, "qid", "left").select("qid", F.coalesce("context", F.lit("No matching records.")).alias("context"))
 
 
+def lines(first: Column, *fields: tuple[str, Column]) -> Column:
+    """first, and below it a line `  - label: value` for each field that is neither null nor empty."""
+    return F.concat_ws("\n", first, *[F.when(value != "", F.concat(F.lit(f"  - {label}: "), value)) for label, value in fields])
+
+
+def entry_block(c: dict[str, Column], with_structures: Column) -> Column:
+    """One line of a record: name | electrophile (type), leaving group | nucleophile (type), type | base (class), then its
+    structures where asked for. `None` stands for a missing value in some fields."""
+    some = lambda v: (v != "") & v.isNotNull()
+    named = lambda v: some(v) & (v != "None")
+    part = lambda test, before, v, behind="": F.when(test, F.concat(F.lit(before), v, F.lit(behind))).otherwise(F.lit(""))
+    head = F.concat(
+        F.lit("- **"), F.coalesce(c["name"], F.lit("N/A")), F.lit("**"), part(some(c["e_major"]), " | Electrophile: ", c["e_major"]), part(some(c["e_type"]), " (", c["e_type"], ")"), part(named(c["e_lvg"]), ", LVG: ", c["e_lvg"]),
+        part(some(c["nu_major"]), " | Nucleophile: ", c["nu_major"]), part(some(c["nu_type"]), " (", c["nu_type"], ")"), part(named(c["nu_lvg"]), ", Type: ", c["nu_lvg"]),
+        part(named(c["base"]), " | Base: ", c["base"]), part(named(c["base_class"]), " (", c["base_class"], ")"),
+    )
+    structure = lambda label, v: F.when(with_structures & named(v), F.concat(F.lit(f"  - {label} SMILES: `"), v, F.lit("`")))
+    return F.concat_ws("\n", head, structure("Electrophile", c["r1"]), structure("Nucleophile", c["r2"]))
+
+
+def full_context(queries: DataFrame, found: DataFrame, parts: Sequence[tuple[str, str, DataFrame, Column]], info: str, most: int = 5) -> DataFrame:
+    """(qid, context) of found (qid, kind, id, rank), as `retrieve` gives it: the general information where it was asked
+    for, then a section for each of parts (kind, header, records with an id, block), at most `most` blocks in order of
+    rank, one line after the other; empty where nothing was found. block may use the rank."""
+    found = cut(found)
+    rows = found.where("kind = 'info'").select("qid", F.lit(0).alias("section"), F.lit(1).alias("rank"), F.lit(info).alias("block"))
+    for i, (kind, _, records, block) in enumerate(parts):
+        own = found.where((F.col("kind") == kind) & (F.col("rank") <= most)).select("qid", "rank", "id")
+        rows = rows.union(own.hint("merge").join(records, "id").select("qid", F.lit(i + 1), "rank", block))
+    blocks = rows.groupBy("qid", "section").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
+    header = F.element_at(F.array(F.lit(""), *[F.lit(f"\n### {h}\n") for _, h, _, _ in parts]), F.col("section") + 1)
+    blocks = blocks.select("qid", "section", F.concat(header, F.array_join(F.transform("b", lambda x: x["block"]), "\n")).alias("text"))
+    whole = blocks.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("s"))
+    whole = whole.select("qid", F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("context"))
+    return queries.select("qid").hint("merge").join(whole, "qid", "left").select("qid", F.coalesce("context", F.lit("")).alias("context"))
+
+
 def prompt_messages(history: DataFrame, system: str) -> DataFrame:
     """(conv_id, messages): the system message, then user and assistant turns in order, as role: content."""
     said = history.where(F.col("role").isin("user", "assistant"))

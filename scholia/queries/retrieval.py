@@ -78,6 +78,23 @@ def rag_retrieve(spark, d):
     return r.retrieve(search_queries(spark, d), compounds(spark, d), p, ["title", "body", "type", "journal"], p, ["body", "journal"], types, info)
 
 
+def rag_full_context(spark, d):
+    """The context of all five sections for what rag_retrieve finds."""
+    p = papers(spark, d)
+    c = compounds(spark, d)
+    col, none = F.col, F.lit("")
+    entry = {"name": col("title"), "e_major": col("journal"), "e_type": col("type"), "e_lvg": F.when(col("id") % 2 == 0, col("journal")).otherwise("None"), "nu_major": none, "nu_type": none, "nu_lvg": none, "base": col("type"), "base_class": F.lit("None"), "r1": F.lit("C1"), "r2": F.lit("None")}
+    of_id = p.select(F.col("ord").cast("long").alias("id"), "title", "body", "type", "journal")
+    types = p.groupBy(F.lower(F.element_at(F.split("title", " "), 1)).alias("name")).agg(F.min("ord").cast("long").alias("id"))
+    parts = [
+        ("entry", "Specific Reactions from Database:", of_id, r.entry_block(entry, col("rank") <= 3)),
+        ("compound", "Relevant Compounds from Database:", c.select(col("id").cast("long").alias("id"), "name", "category"), r.lines(F.format_string("- **%s** (%s)", "name", "category"), ("Leaving Group", none), ("Type", col("category")))),
+        ("paper", "Relevant Publications from Database:", of_id, r.lines(F.format_string("- **%s**", "title"), ("DOI", col("id").cast("string")), ("Journal", col("journal")), ("Abstract", tx.preview(col("body"), 300)))),
+        ("type", "Mentioned Reaction Types:", types, F.format_string("- %s", "name")),
+    ]
+    return r.full_context(search_queries(spark, d), rag_retrieve(spark, d), parts, "General information.")
+
+
 def prompt_messages(spark, d):
     return r.prompt_messages(table(spark, d, "conversations"), "You answer from the records.").select("conv_id", F.to_json("messages").alias("messages"))
 
@@ -185,3 +202,22 @@ QUERIES = {
     ),
     "topic_route": (topic_route, "select doc_id as id, case when contains(lower(text), 'ung ') then 'german' when contains(lower(text), 'eaux') then 'french' when contains(lower(text), 'ción') then 'spanish' else 'default' end as topic from documents"),
 }
+
+QUERIES["rag_full_context"] = (
+    rag_full_context,
+    with_views("papers", "queries", "compounds") + f""", found as ({QUERIES["rag_retrieve"][1]}),
+    ty as (select lower(split_part(title, ' ', 1)) as name, min(ord) as id from papers group by 1),
+    b as (
+      select qid, 0 as section, 1 as rank, 'General information.' as block from found where kind = 'info'
+      union all select qid, 1, rank, '- **' || title || '**' || case when journal <> '' then ' | Electrophile: ' || journal else '' end || case when type <> '' then ' (' || type || ')' else '' end
+        || case when ord % 2 = 0 and journal not in ('', 'None') then ', LVG: ' || journal else '' end || case when type not in ('', 'None') then ' | Base: ' || type else '' end
+        || case when rank <= 3 then chr(10) || '  - Electrophile SMILES: `C1`' else '' end from found join papers on kind = 'entry' and papers.ord = found.id where rank <= 5
+      union all select qid, 2, rank, '- **' || name || '** (' || category || ')' || chr(10) || '  - Type: ' || category from found join compounds c on kind = 'compound' and c.id = found.id where rank <= 5
+      union all select qid, 3, rank, '- **' || title || '**' || chr(10) || '  - DOI: ' || ord || case when journal <> '' then chr(10) || '  - Journal: ' || journal else '' end
+        || chr(10) || '  - Abstract: ' || case when length(body) > 300 then body[1:300] || '...' else body end from found join papers on kind = 'paper' and papers.ord = found.id where rank <= 5
+      union all select qid, 4, rank, '- ' || name from found join ty on kind = 'type' and ty.id = found.id where rank <= 5),
+    s as (select qid, section, case section when 0 then '' when 1 then chr(10) || '### Specific Reactions from Database:' || chr(10) when 2 then chr(10) || '### Relevant Compounds from Database:' || chr(10)
+        when 3 then chr(10) || '### Relevant Publications from Database:' || chr(10) else chr(10) || '### Mentioned Reaction Types:' || chr(10) end || string_agg(block, chr(10) order by rank) as t from b group by qid, section),
+    w as (select qid, string_agg(t, chr(10) order by section) as t from s group by 1)
+    select qid, coalesce(t, '') as context from queries left join w using (qid)""",
+)
