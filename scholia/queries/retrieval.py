@@ -99,10 +99,6 @@ def prompt_messages(spark, d):
     return r.prompt_messages(table(spark, d, "conversations"), "You answer from the records.").select("conv_id", F.to_json("messages").alias("messages"))
 
 
-#: Words that ask for similar records.
-SIMILAR = ("similar", "like", "alternative", "compare", "related", "analog", "resemble", "closest")
-
-
 def sim_trigger(spark, d):
     p = papers(spark, d)
     return p.select("id", F.lower("body").rlike("|".join(("ti", "an that", "de la"))).alias("triggered"))
