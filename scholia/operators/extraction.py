@@ -108,19 +108,28 @@ def rgroup_long(tables: DataFrame, key: str = "doc", column: str = "rgroups") ->
     return rows.select(key, "rgroup", F.explode("entries").alias("entry", "fragment"))
 
 
-def assemble(scaffolds: DataFrame, long: DataFrame, key: str = "doc") -> DataFrame:
-    """(doc, entry, smiles): each entry's fragments put into the scaffold, longest tags first.
+def filled(scaffold: Column, parts: Column) -> Column:
+    """The scaffold with parts (rgroup, fragment) put in, longest tags first.
 
     `[Rn]` becomes `[*:n]` and `[*]` `[*:1]`; empty, H and NONE fragments delete the tag; null if nothing is left.
     """
-    normal = F.regexp_replace(F.regexp_replace(F.trim("scaffold"), r"\[R(\d+)\]", "[*:$1]"), r"\[\*\]", "[*:1]")
-    tag = F.concat(F.lit("[*:"), F.regexp_replace("rgroup", "^R+", ""), F.lit("]"))
-    fragment = F.trim(F.coalesce("fragment", F.lit("")))
-    part = F.struct(-F.length(tag), tag.alias("tag"), F.when(F.upper(fragment).isin("NONE", "H", ""), "").otherwise(fragment).alias("fragment"))
-    parts = long.groupBy(key, "entry").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    rows = scaffolds.select(key, normal.alias("scaffold")).hint("merge").join(parts, key)
-    whole = F.aggregate("parts", F.col("scaffold"), lambda acc, p: F.replace(acc, p["tag"], p["fragment"]))
-    return rows.select(key, "entry", F.nullif(F.replace(whole, F.lit("[*]"), F.lit("")), F.lit("")).alias("smiles"))
+    normal = F.regexp_replace(F.regexp_replace(F.trim(scaffold), r"\[R(\d+)\]", "[*:$1]"), r"\[\*\]", "[*:1]")
+
+    def tagged(p: Column) -> Column:
+        tag = F.concat(F.lit("[*:"), F.regexp_replace(p["rgroup"], "^R+", ""), F.lit("]"))
+        fragment = F.trim(F.coalesce(p["fragment"], F.lit("")))
+        return F.struct(-F.length(tag), tag.alias("tag"), F.when(F.upper(fragment).isin("NONE", "H", ""), "").otherwise(fragment).alias("fragment"))
+
+    whole = F.aggregate(F.array_sort(F.transform(parts, tagged)), normal, lambda acc, p: F.replace(acc, p["tag"], p["fragment"]))
+    whole = F.replace(whole, F.lit("[*]"), F.lit(""))
+    return F.when(F.trim(whole) != "", whole)
+
+
+def assemble(scaffolds: DataFrame, long: DataFrame, key: str = "doc") -> DataFrame:
+    """(doc, entry, smiles): each entry's fragments put into the document's scaffold, see `filled`."""
+    parts = long.groupBy(key, "entry").agg(F.collect_list(F.struct("rgroup", "fragment")).alias("parts"))
+    rows = scaffolds.select(key, "scaffold").hint("merge").join(parts, key)
+    return rows.select(key, "entry", filled(F.col("scaffold"), F.col("parts")).alias("smiles"))
 
 
 def totals(rows: DataFrame, lists: tuple[str, ...]) -> DataFrame:
