@@ -118,6 +118,69 @@ def _compounds(rows: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.select("doc", "r.ord", "r.nth", "r.e.*", "r.source")
 
 
+#: The lists of a page's result that are merged without repetitions.
+LISTS = ("reactants", "products", "catalysts", "ligands", "solvents", "mechanisms", "yields")
+
+
+def merge_pages(results: DataFrame) -> DataFrame:
+    """One row a document from the results (doc, ord, page, source, data: JSON text) of its pages, in the order `ord`.
+
+    Each of `LISTS`: different items by first occurrence, names of schemes' reactants and products behind the page's own,
+    without empty items (yields keep them). conditions: the first value of each key that isn't empty. reactionType,
+    selectivity: the first that isn't empty. image_descriptions (page, description, source), pages_with_data, and
+    reaction_schemes, compounds (those with a name), table_data as (page, source, data). Items are VARIANT; equal means the
+    same JSON text. Null, broken and empty data is none; fields that aren't lists where a list is due count as empty.
+    Two groupings by document of what is left after partial aggregation, joined on it.
+    """
+    rows = results.select("doc", "ord", "page", "source", F.try_parse_json("data").alias("data"))
+    data = F.when(F.schema_of_variant("data").startswith("OBJECT") & _full(F.col("data")), F.col("data"))
+    rows = rows.withColumn("data", data)
+    schemes = _list(F.col("data"), "reaction_schemes")
+    texts = lambda items: F.transform(items, lambda v: F.to_json(v))
+    empty = ("null", "[]", "{}", '""', "0", "false")
+
+    # what is merged item by item: (doc, list, key of a condition, place, JSON text)
+    def entry(field: str, part: int, value: Column, nth: Column, i: Column, key: Column) -> Column:
+        return F.struct(F.lit(field).alias("list"), key.alias("key"), F.lit(part).alias("part"), nth.cast("int").alias("nth"), i.cast("int").alias("i"), value.alias("text"))
+
+    no, none = F.lit(0), F.lit("")
+    of_page = lambda f: F.transform(texts(_list(F.col("data"), f)), lambda v, i: entry(f, 0, v, no, i, none))
+    name = lambda e: F.when(F.schema_of_variant(e).startswith("OBJECT"), F.to_json(_get(e, "name"))).otherwise(F.to_json(e))
+    of_scheme = lambda f: F.flatten(F.transform(schemes, lambda s, n: F.transform(_list(s, f), lambda e, i: entry(f, 1, name(e), n, i, none))))
+    pairs = F.map_entries(F.coalesce(_get(F.col("data"), "conditions", "map<string, variant>"), F.create_map().cast("map<string, variant>")))
+    given = F.transform(pairs, lambda e: entry("conditions", 0, F.to_json(e["value"]), no, no, e["key"]))
+    items = rows.select("doc", "ord", F.explode(F.concat(*map(of_page, LISTS), *map(of_scheme, LISTS[:2]), given)).alias("e")).select("doc", "ord", "e.*")
+    items = items.where(F.col("text").isNotNull() & ((F.col("list") == "yields") | ~F.col("text").isin(*empty)))
+    # a condition is known by its key, an item by its text
+    known_by = F.when(F.col("list") == "conditions", F.col("key")).otherwise(F.col("text")).alias("known_by")
+    place = F.struct("ord", "part", "nth", "i")
+    first = items.groupBy("doc", "list", known_by).agg(F.min(place).alias("at"), F.min_by("text", place).alias("text"))
+    parsed = lambda texts_: F.transform(texts_, lambda x: F.parse_json(x["text"]))
+    of_list = lambda f, *by: F.array_sort(F.collect_list(F.when(F.col("list") == f, F.struct(*by, "text"))))
+    lists = first.groupBy("doc").agg(*[parsed(of_list(f, "at")).alias(f) for f in LISTS], of_list("conditions", "known_by").alias("c"))
+    lists = lists.withColumn("conditions", F.map_from_arrays(F.transform("c", lambda x: x["known_by"]), parsed("c"))).drop("c")
+
+    # what is collected page by page
+    image, told = _get(F.col("data"), "image_description"), _get(F.col("data"), "description")
+    described = F.when(_full(image), F.struct(F.col("page"), F.try_variant_get(image, "$", "string").alias("description"), F.lit(None).cast("string").alias("source")))
+    described = described.when(_full(told), F.struct(F.col("page"), F.try_variant_get(told, "$", "string").alias("description"), F.col("source")))
+    named = F.filter(_list(F.col("data"), "compounds"), lambda c: _full(_get(c, "name")))
+    # a row of a table that is no object becomes one
+    cells = F.transform(_list(F.col("data"), "table_data"), lambda r: F.when(F.schema_of_variant(r).startswith("OBJECT"), F.to_json(r)).otherwise(F.concat(F.lit('{"values":'), F.to_json(r), F.lit("}"))))
+    page = F.struct("ord", "page", "source", F.col("data").isNotNull().alias("some"), described.alias("image"), texts(schemes).alias("reaction_schemes"), texts(named).alias("compounds"), cells.alias("table_data"))
+    best = lambda f: F.min_by(_get(F.col("data"), f, "string"), F.when(_full(_get(F.col("data"), f)), F.col("ord"))).alias(f)
+    pages = rows.groupBy("doc").agg(F.array_sort(F.collect_list(page)).alias("pages"), best("reactionType"), best("selectivity"))
+    tagged = lambda f: F.flatten(F.transform("pages", lambda p: F.transform(p[f], lambda t: F.struct(p["page"].alias("page"), p["source"].alias("source"), F.parse_json(t).alias("data"))))).alias(f)
+    pages = pages.select(
+        "doc", "reactionType", "selectivity", F.array_compact(F.transform("pages", lambda p: p["image"])).alias("image_descriptions"),
+        F.transform(F.filter("pages", lambda p: p["some"]), lambda p: p["page"]).alias("pages_with_data"), *[tagged(f) for f in ("reaction_schemes", "compounds", "table_data")],
+    )
+    both = pages.hint("merge").join(lists, "doc", "left")
+    blank = [F.coalesce(F.col(f), F.array().cast("array<variant>")).alias(f) for f in LISTS]
+    rest = [c for c in pages.columns if c != "doc"]
+    return both.select("doc", *blank, F.coalesce("conditions", F.create_map().cast("map<string, variant>")).alias("conditions"), *rest)
+
+
 def complete_reactions(reactions: DataFrame, tables: DataFrame) -> DataFrame:
     """reactions (doc, entry_id, entry, assembled_smiles, reactants, ...) completed from tables (doc, scaffold, label,
     rgroups, partners), at most one a document; rgroups and partners are maps R-group -> entry -> fragment.

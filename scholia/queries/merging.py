@@ -45,6 +45,25 @@ def merge_results_scaffolds(spark, d):
     return _merged(spark, d).scaffolds.select("doc", F.try_variant_get("scaffold_smiles", "$", "string").alias("scaffold"))
 
 
+#: A page's result: flat lists, schemes, a table with compounds, nothing.
+_PAGE = """case ord % 4
+  when 0 then '{"reactants": ["' || name || '", "' || name || '", ""], "catalysts": ["Pd"], "yields": [' || partner || '], "conditions": {"k0": "", "k1": "v' || partner || '"}, "image_description": "img' || ord || '"}'
+  when 1 then '{"reaction_schemes": [{"reactants": [{"name": "' || name || '"}, "r' || page || '"], "products": ["p"]}, {"reactants": ["own"]}], "reactants": ["own", "' || smiles || '"], "description": "d' || ord || '", "reactionType": "t' || ord || '"}'
+  when 2 then '{"compounds": [{"name": "' || name || '"}, {"name": ""}], "table_data": [{"y": 1}, [2]], "products": ["' || name || '"], "yields": [' || partner || ', ' || page || ', 0], "conditions": {"k1": "late", "k0": 5}}'
+  else '{}' end"""
+
+
+def merge_pages(spark, d):
+    rows = extraction_items(spark, d)
+    out = m.merge_pages(rows.select("doc", "ord", "page", F.lit("page").alias("source"), F.expr(_PAGE).alias("data")))
+    line = lambda c: F.array_join(F.transform(c, lambda v: F.to_json(v)), ",").alias(c)
+    conditions = F.array_join(F.transform(F.map_entries("conditions"), lambda e: F.concat(e["key"], F.lit("="), F.to_json(e["value"]))), ";").alias("conditions")
+    images = F.array_join(F.transform("image_descriptions", lambda i: F.concat(i["page"], F.lit(":"), i["description"], F.coalesce(i["source"], F.lit("")))), ";").alias("images")
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("reaction_schemes", "compounds")]
+    table = F.array_join(F.transform("table_data", lambda t: F.concat(t["page"], F.lit(":"), F.to_json(t["data"]))), ";").alias("table_data")
+    return out.select("doc", *[line(c) for c in ("reactants", "products", "catalysts", "yields")], conditions, F.col("reactionType").alias("reaction_type"), images, F.array_join("pages_with_data", ",").alias("pages"), *sizes, table)
+
+
 def rgroup_patch(spark, d):
     rows = extraction_items(spark, d)
     ord_, has = F.col("ord"), F.col("ord") % 7 != 0
@@ -76,6 +95,14 @@ _FOUND = f"""{_R}, s as (select doc, ord, source, of_page, j, unnest(schemes) as
       union all select doc, ord, source, nth, 1, unnest(cast(s->'$.products' as json[])), unnest(range(json_array_length(s->'$.products')::bigint)), 'product' from s
       union all select doc, ord, source, 1000000, 0, c, place, coalesce(c->>'$.role', 'unknown') from (select doc, ord, source, unnest(cast(j->'$.compounds' as json[])) as c, unnest(range(json_array_length(j->'$.compounds')::bigint)) as place from r where not of_page)),
     n as (select *, {_ENTITY} as name from b)"""
+_P = f"""{_I}, j as (select doc, ord, page, ({_PAGE})::json as j from items),
+    s as (select doc, ord, unnest(cast(j->'$.reaction_schemes' as json[])) as s, unnest(range(json_array_length(j->'$.reaction_schemes')::bigint)) as nth from j),
+    e as ({" union all ".join(f"select doc, ord, '{c}' as list, 0 as part, 0 as nth, unnest(cast(j->'$.{c}' as json[])) as e, unnest(range(json_array_length(j->'$.{c}')::bigint)) as i from j" for c in ("reactants", "products", "catalysts", "yields"))}
+      union all {" union all ".join(f"select doc, ord, '{c}', 1, nth, unnest(cast(s->'$.{c}' as json[])), unnest(range(json_array_length(s->'$.{c}')::bigint)) from s" for c in ("reactants", "products"))}),
+    t as (select doc, list, ord, part, nth, i, case when json_type(e) = 'OBJECT' then e->'$.name' else e end::varchar as v from e),
+    u as (select doc, list, v, min((ord, part, nth, i)) as place from t where list = 'yields' or v <> '""' group by all),
+    l as (select doc, {", ".join(f"string_agg(v, ',' order by place) filter (list = '{c}') as {c}" for c in ("reactants", "products", "catalysts", "yields"))} from u group by doc),
+    c as (select doc, arg_min(j->'$.conditions.k0', ord) filter (coalesce(j->>'$.conditions.k0', '') <> '') as k0, arg_min(j->'$.conditions.k1', ord) filter (coalesce(j->>'$.conditions.k1', '') <> '') as k1 from j group by doc)"""
 QUERIES = {
     "merge_results_reactions": (
         merge_results_reactions,
@@ -94,6 +121,15 @@ QUERIES = {
     "merge_results_tables": (merge_results_tables, f"{_R} select doc, ord, page, source, (j->'$.table_data')::varchar as data, coalesce(json_array_length(j->'$.table_columns'), 0)::int as n_columns from r where json_array_length(j->'$.table_data') > 0"),
     "merge_results_figures": (merge_results_figures, f"{_R} select doc, ord, page, case when of_page then 'vision_analysis' else coalesce(j->>'$.figure_type', 'unknown') end as type, case when not of_page then source end as source, coalesce(j->>'$.description', '') as description, '' as notes from r"),
     "merge_results_scaffolds": (merge_results_scaffolds, f"{_R} select doc, arg_min(j->>'$.scaffold_smiles', ord) as scaffold from r where not of_page and j->>'$.scaffold_smiles' is not null group by doc"),
+    "merge_pages": (
+        merge_pages,
+        f"""{_P} select j.doc, coalesce(any_value(reactants), '') as reactants, coalesce(any_value(products), '') as products, coalesce(any_value(catalysts), '') as catalysts, coalesce(any_value(yields), '') as yields,
+        concat_ws(';', 'k0=' || any_value(k0)::varchar, 'k1=' || any_value(k1)::varchar) as conditions, arg_min(j->>'$.reactionType', ord) filter (j->>'$.reactionType' is not null) as reaction_type,
+        coalesce(string_agg(page || ':' || case ord % 4 when 0 then 'img' || ord else 'd' || ord || 'page' end, ';' order by ord) filter (ord % 4 < 2), '') as images, coalesce(string_agg(page::varchar, ',' order by ord) filter (ord % 4 <> 3), '') as pages,
+        (2 * count(*) filter (ord % 4 = 1))::int as n_reaction_schemes, (count(*) filter (ord % 4 = 2))::int as n_compounds,
+        coalesce(string_agg(page || ':{{"y":1}};' || page || ':{{"values":[2]}}', ';' order by ord) filter (ord % 4 = 2), '') as table_data
+        from j left join l using (doc) left join c using (doc) group by j.doc""",
+    ),
     "rgroup_patch": (
         rgroup_patch,
         f"""{_I}, e as (select doc, name, 'F' || arg_min(partner, ord) as f, bool_or(ord % 2 = 0) as h from items where ord >= 2 group by all),

@@ -44,6 +44,24 @@ def test_merged_results(spark):
     assert all(p.count() == 0 for p in nothing)
 
 
+def test_merged_pages(spark):
+    one = {"reactants": ["a", {"name": "b"}, "a", "", None], "yields": [90, 0, 90], "conditions": {"t": "", "s": "dry"}, "selectivity": "", "solvents": "text", "image_description": "", "description": "seen"}
+    two = {"reactants": ["c"], "reaction_schemes": [{"reactants": [{"name": "a"}, "d"], "products": [{"smiles": "C"}]}], "conditions": {"t": 25, "s": "wet"}, "selectivity": "high", "image_description": "shown", "compounds": [{"name": "x"}, {}], "table_data": [[1, 2], {"k": 1}]}
+    rows = [(1, 1, 8, "p", json.dumps(one)), (1, 0, 7, None, "{}"), (1, 2, 9, "q", json.dumps(two)), (2, 0, 1, "p", None), (2, 1, 1, "p", "[1]")]
+    out = merging.merge_pages(spark.createDataFrame(rows, "doc long, ord long, page long, source string, data string"))
+    plain = [F.to_json(F.to_variant_object(F.col(c))).alias(c) for c in out.columns if c not in ("doc", "reactionType", "selectivity")]
+    got = {r["doc"]: r for r in out.select("doc", "reactionType", "selectivity", *plain).collect()}
+    value = lambda c, doc=1: json.loads(got[doc][c])
+    assert value("reactants") == ["a", {"name": "b"}, "c", "d"]
+    assert value("yields") == [90, 0] and value("solvents") == [] and value("products") == []
+    assert value("conditions") == {"s": "dry", "t": 25} and got[1]["selectivity"] == "high" and got[1]["reactionType"] is None
+    assert [(i["page"], i["description"], i.get("source")) for i in value("image_descriptions")] == [(8, "seen", "p"), (9, "shown", None)]
+    assert value("pages_with_data") == [8, 9]
+    assert value("compounds") == [{"page": 9, "source": "q", "data": {"name": "x"}}] and len(value("reaction_schemes")) == 1
+    assert [t["data"] for t in value("table_data")] == [{"values": [1, 2]}, {"k": 1}]
+    assert value("reactants", 2) == [] and value("conditions", 2) == {} and value("pages_with_data", 2) == []
+
+
 def _fill(scaffold, parts):
     for rgroup, fragment in sorted(parts.items(), key=lambda p: -len(p[0])):
         scaffold = scaffold.replace(f"[{rgroup}]", "" if (fragment or "H").strip().upper() in ("H", "NONE", "") else fragment)
