@@ -32,3 +32,14 @@ def test_substring_search_of_copies(spark, ranked):
     want = {"ring": [0, 3, 6, 9], "bolt": [2, 5, 8, 11]}
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: want["ring" if q % 2 == 0 or q == 1 else "bolt"] for q in range(100)}
     assert max(ranked) <= 300
+
+
+def test_tier_search_of_copies(spark, ranked):
+    """Each tier gives k rows a query, copies or not."""
+    queries = spark.createDataFrame([(i, ["red ring ", "Ring", "bolt x", "ring old"][i % 4]) for i in range(80)], "qid long, text string")
+    got = {}
+    for r in retrieval.tier_search(queries, _names(spark, 300), k=3).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["name"], r["score"]))
+    want = [[(i, "Red ring", 100) for i in (1, 2, 3)], [(1, "Red ring", 50), (2, "old ring", 50), (3, "Red ring", 50)], [(i, "bolt", 50) for i in (1, 2, 3)], [(1, "Red ring", 40), (2, "old ring", 40), (3, "bolt", 40)]]
+    assert {q: sorted(v) for q, v in got.items()} == {q: want[q % 4] for q in range(80)}
+    assert max(ranked) <= 600
