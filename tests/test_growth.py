@@ -43,3 +43,11 @@ def test_tier_search_of_copies(spark, ranked):
     want = [[(i, "Red ring", 100) for i in (1, 2, 3)], [(1, "Red ring", 50), (2, "old ring", 50), (3, "Red ring", 50)], [(i, "bolt", 50) for i in (1, 2, 3)], [(1, "Red ring", 40), (2, "old ring", 40), (3, "bolt", 40)]]
     assert {q: sorted(v) for q, v in got.items()} == {q: want[q % 4] for q in range(80)}
     assert max(ranked) <= 600
+
+
+def test_combined_search_of_copies(spark, ranked):
+    """The query joins no more than its names' first rows either."""
+    from scholia.queries import rules
+
+    assert rules.search_combined(spark, "/root/testdata/sf0.001").count() > 0
+    assert max(ranked) <= 2 * spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
