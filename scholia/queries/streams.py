@@ -15,10 +15,14 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _stream(spark, d, name):
+    """A table as a file stream, be it one file or a folder of files. The pattern is the name alone: a stream takes a
+    single file only by a pattern, and a filter on file names would pass over the files of a folder."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def _events(spark, d):
-    """The events table as a file stream."""
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    return _stream(spark, d, "events")
 
 
 def _finish(query, seconds: int | None = None) -> None:
@@ -69,8 +73,7 @@ def stream_last_n_ttl(spark, d):
 
 def stream_inc_extract(spark, d):
     """Documents as a stream: each content once, by the key of its first 8192 bytes."""
-    docs = table(spark, d, "documents")
-    s = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet*").parquet(d)
+    s = _stream(spark, d, "documents")
     at = _folder(spark)
     key = lambda b: b.select("doc_id", F.sha2(F.substring(F.encode("text", "UTF-8"), 1, 8192), 256).alias("key"))
     handle = lambda b, epoch: b.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
