@@ -113,26 +113,43 @@ def citation_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
+#: What any JSON value looks like from outside: brackets or quotes at both ends, or one token. What doesn't is not parsed,
+#: as each failure of the parser costs more than many successes.
+_OUTSIDE = r'(?s)^[ \t\r\n]*+(?:\{.*\}|\[.*\]|".*"|[^\s{}\[\]",:]++)[ \t\r\n]*+$'
+
+
 def is_json(text: Column) -> Column:
     """Whether all of text is one JSON value: the parser alone lets anything follow it."""
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return text.rlike(_OUTSIDE) & F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once however often use has it: as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def largest_balanced(text: Column, brackets: str, size: Callable[[Column], Column]) -> Column:
     """The largest span of text, by size, from an opening bracket at depth 0 to the one that closes it, that is JSON; the
-    first on ties; null if there is none. One fold over the text's brackets keeps depth and the best span so far."""
+    first on ties; null if there is none. size is null for what is no JSON. One fold over the text's brackets keeps depth
+    and the best span so far; each span is measured once."""
     opening, closing = brackets
     cuts = F.regexp_extract_all(text, F.lit(rf"(?s)[^\{opening}\{closing}]*+[\{opening}\{closing}]"), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("begin"), F.lit(-1).alias("size"), F.lit(None).cast("string").alias("best"))
 
     def step(s: Column, cut: Column) -> Column:
-        at, opens = s["at"] + F.length(cut), F.endswith(cut, F.lit(opening))
-        depth = s["depth"] + F.when(opens, 1).otherwise(-1)
-        begin = F.when(opens & (s["depth"] == 0), at).otherwise(s["begin"])
-        span = F.when(~opens & (depth == 0) & (begin > 0), F.substring(text, begin, at - begin + 1))
-        n = F.coalesce(F.when(is_json(span), size(span)), F.lit(-1))
-        better = n > s["size"]
-        return F.struct(at.alias("at"), depth.alias("depth"), begin.alias("begin"), F.greatest(n, s["size"]).alias("size"), F.when(better, span).otherwise(s["best"]).alias("best"))
+        opens = F.endswith(cut, F.lit(opening))
+        moved = F.struct((s["at"] + F.length(cut)).alias("at"), opens.alias("opens"), (s["depth"] + F.when(opens, 1).otherwise(-1)).alias("depth"))
+
+        def begun(m: Column) -> Column:
+            begin = F.when(m["opens"] & (s["depth"] == 0), m["at"]).otherwise(s["begin"])
+            span = lambda begin: F.when(~m["opens"] & (m["depth"] == 0) & (begin > 0), F.substring(text, begin, m["at"] - begin + 1))
+            return once(begin, lambda begin: once(span(begin), lambda span: ended(m, begin, span)))
+
+        def ended(m: Column, begin: Column, span: Column) -> Column:
+            measured = F.when(span.isNotNull(), F.coalesce(size(span), F.lit(-1))).otherwise(F.lit(-1))
+            return once(measured, lambda n: F.struct(m["at"].alias("at"), m["depth"].alias("depth"), begin.alias("begin"), F.greatest(n, s["size"]).alias("size"), F.when(n > s["size"], span).otherwise(s["best"]).alias("best")))
+
+        return once(moved, begun)
 
     return F.aggregate(cuts, start, step, lambda s: s["best"])
 
@@ -140,13 +157,18 @@ def largest_balanced(text: Column, brackets: str, size: Callable[[Column], Colum
 def json_repair(text: Column, schema: str) -> Column:
     """Model output as a struct: the whole text, else a fenced block, else the object of most keys among its balanced
     spans of braces (the first on ties), else the text with missing closers added. Null where none parses. Native."""
-    t = F.trim(text)
-    fence = F.trim(F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1))
-    keys = lambda span: F.size(F.json_object_keys(span))
-    inside = largest_balanced(t, "{}", keys)
-    inside = F.when(keys(inside) > 0, inside)
-    tries = [F.when(is_json(x), F.from_json(x, schema)) for x in (t, fence, inside, closed(t))]
-    return F.coalesce(*tries)
+    keys = lambda span: F.when(is_json(span), F.size(F.json_object_keys(span)))
+    read = lambda x: once(x, lambda x: F.when(is_json(x), F.from_json(x, schema)))
+
+    def inside(t: Column) -> Column:
+        return once(largest_balanced(t, "{}", keys), lambda span: F.when(F.size(F.json_object_keys(span)) > 0, F.from_json(span, schema)))
+
+    return once(F.trim(text), lambda t: F.coalesce(read(t), read(fenced(t)), inside(t), read(closed(t))))
+
+
+def fenced(text: Column) -> Column:
+    """What stands in the first fenced block, empty if there is none."""
+    return F.trim(F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1))
 
 
 def closed(text: Column) -> Column:
@@ -159,13 +181,14 @@ def json_repair_any(text: Column) -> Column:
     """The same for output that may be an object or an array, as JSON text: the whole, else a fenced block, else the
     longest (as compact JSON) of its balanced spans of braces and of brackets, the object on ties, else the text with
     missing closers."""
-    t = F.trim(text)
-    fence = F.trim(F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1))
-    compact = lambda x: F.when(is_json(x), F.to_json(F.try_parse_json(x)))
+    compact = lambda x: once(x, lambda x: F.when(is_json(x), F.to_json(F.try_parse_json(x))))
     length = lambda span: F.length(compact(span))
-    objects, arrays = compact(largest_balanced(t, "{}", length)), compact(largest_balanced(t, "[]", length))
-    best = F.when(objects.isNull() | (F.length(arrays) > F.length(objects)), arrays).otherwise(objects)
-    return F.coalesce(compact(t), compact(fence), best, compact(closed(t)))
+
+    def best(t: Column) -> Column:
+        spans = F.struct(*[compact(largest_balanced(t, b, length)).alias(c) for c, b in (("objects", "{}"), ("arrays", "[]"))])
+        return once(spans, lambda s: F.when(s["objects"].isNull() | (F.length(s["arrays"]) > F.length(s["objects"])), s["arrays"]).otherwise(s["objects"]))
+
+    return once(F.trim(text), lambda t: F.coalesce(compact(t), compact(fenced(t)), best(t), compact(closed(t))))
 
 
 def knowledge_graph(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:

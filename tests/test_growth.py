@@ -51,3 +51,15 @@ def test_combined_search_of_copies(spark, ranked):
 
     assert rules.search_combined(spark, "/root/testdata/sf0.001").count() > 0
     assert max(ranked) <= 2 * spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_json_repair_measures_a_span_once(spark):
+    """The expression of each step stands in the plan once, not once for every use of what it gives; results with brackets
+    that don't match, scalars, and text around are the same."""
+    from scholia.sources import records
+
+    cases = {'x {"a": 1} {"b": [1, 2]} [3': '{"b":[1,2]}', "say [1, {2}, 3] or [4]": "[4]", "12": "12", " true ": "true", "12 13": None, '"a" b': None, "{]": None, '} {"k": 1}': None, '[{"k": 1': '[{"k":1}]', None: None, "": None}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", records.json_repair_any(F.col("t")).alias("json"))
+    assert df._jdf.queryExecution().analyzed().toString().count("parse_json") < 60
+    got = {r["t"]: r["json"] for r in df.collect()}
+    assert {k: got[k] for k in cases} == cases
