@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scholia.functions import text as tx
 from scholia.plans.lineage import cut
 
+from .retrieval import sized
+
 ENTITY = "array<struct<name: string, smiles: string, general_form: string>>"
 
 
@@ -29,9 +31,32 @@ def dedup_compounds(rows: DataFrame, key: str = "doc", order: str = "ord") -> Da
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_label")
 
 
+#: Groups of at most so many sets are compared in one row each.
+SMALL = 64
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.8, group: str = "doc", order: str = "ord") -> DataFrame:
     """(group, a, b, similarity): pairs (earlier, later) of sets (group, ord, items) of one group above the threshold.
 
+    The sets of a group of at most `SMALL` are collected and compared in place; larger groups, of any size, are joined by
+    `prefix_pairs`. Null items are none, empty sets never are compared.
+    """
+    sets = sets.select(group, order, F.array_compact(F.array_distinct("items")).alias("items")).where((F.size("items") > 0) & F.col(group).isNotNull())
+    large = cut(sets.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select(group))
+    rest = not large.isEmpty()
+    small = sets.join(sized(large), group, "left_anti") if rest else sets
+    lists = small.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "items"))).alias("l"))
+    pair = lambda x, y: F.struct(x["at"].alias("a"), y["at"].alias("b"), F.size(F.array_intersect(x["items"], y["items"])).alias("both"), (F.size(x["items"]) + F.size(y["items"])).alias("of"))
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: pair(x, y))))
+    similarity = lambda p: p["both"] / (p["of"] - p["both"])
+    near = F.filter(pairs, lambda p: (p["a"] < p["b"]) & (similarity(p) > threshold))
+    found = lists.select(group, F.explode(near).alias("p")).select(group, "p.a", "p.b", similarity(F.col("p")).alias("similarity"))
+    return found.union(prefix_pairs(sets.join(sized(large), group, "left_semi"), threshold, group, order)) if rest else found
+
+
+def prefix_pairs(sets: DataFrame, threshold: float, group: str, order: str) -> DataFrame:
+    """jaccard_pairs for groups of any size.
+
     Prefix filter: with items ordered by how rare they are in the group, two such sets share one of their first
     n - ceil(t n) + 1 items. Only pairs that share one are compared; empty sets never are.
     """

@@ -63,3 +63,20 @@ def test_json_repair_measures_a_span_once(spark):
     assert df._jdf.queryExecution().analyzed().toString().count("parse_json") < 60
     got = {r["t"]: r["json"] for r in df.collect()}
     assert {k: got[k] for k in cases} == cases
+
+
+def test_small_groups_are_compared_in_place(spark, monkeypatch):
+    """Groups below and above the bound give brute force's pairs; the small ones need one shuffle and no join."""
+    import random
+
+    from scholia.operators import extraction
+
+    random.seed(7)
+    rows = [(d, i, random.sample("abcdefgh", random.randint(0, 8)) + random.choice([[], ["a"], [None]])) for d in range(6) for i in range(5 + 4 * d)]
+    sets = spark.createDataFrame([*rows, (None, 1, ["a"]), (None, 2, ["a"])], "doc long, ord long, items array<string>")
+    assert "Join" not in extraction.jaccard_pairs(sets, 0.6)._jdf.queryExecution().optimizedPlan().toString()
+    own = [(d, i, {x for x in items if x}) for d, i, items in rows]
+    want = sorted((d, a, b, len(x & y) / len(x | y)) for d, a, x in own for e, b, y in own if d == e and a < b and x and y and len(x & y) / len(x | y) > 0.6)
+    for bound in (64, 12, 0):
+        monkeypatch.setattr(extraction, "SMALL", bound)
+        assert sorted(map(tuple, extraction.jaccard_pairs(sets, 0.6).collect())) == want
