@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,13 +58,20 @@ def _flat(data: Column) -> Column:
     return F.struct(F.lit("unknown").alias("type"), *lists, F.lit("").alias("notes"), *first, F.parse_json(F.lit("1")).alias("entry"), *[none.alias(f) for f in _EXTRA[1:]])
 
 
+def parsed_once(rows: DataFrame, kept: Callable[[Column], Column]) -> DataFrame:
+    """rows with data (JSON text) as VARIANT, where kept(data). Exploded from a list of one, so that no later step puts the
+    parser in place of each use of the column."""
+    parsed = F.explode(F.filter(F.array(F.try_parse_json("data")), kept)).alias("data")
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "data"], parsed)
+
+
 def read_results(results: DataFrame) -> DataFrame:
     """results (doc, ord, page, source, data: JSON text) with data as VARIANT, `of_page`, and `schemes`, its reactions.
 
     A result without schemes whose reactants or products aren't empty is flat: one scheme, and treated as a page's; it has
     none if one of the two is no list. Rows whose data is null or no JSON object are left out.
     """
-    rows = results.withColumn("data", F.try_parse_json("data")).where(F.schema_of_variant("data").startswith("OBJECT"))
+    rows = parsed_once(results, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
     data, listed = F.col("data"), _list(F.col("data"), "reaction_schemes")
     flat = (F.size(listed) == 0) & (_full(_get(data, "reactants")) | _full(_get(data, "products")))
     lists = [_get(data, f).isNull() | _get(data, f, "array<variant>").isNotNull() for f in ("reactants", "products")]

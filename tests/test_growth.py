@@ -80,3 +80,16 @@ def test_small_groups_are_compared_in_place(spark, monkeypatch):
     for bound in (64, 12, 0):
         monkeypatch.setattr(extraction, "SMALL", bound)
         assert sorted(map(tuple, extraction.jaccard_pairs(sets, 0.6).collect())) == want
+
+
+def test_results_are_parsed_once(spark):
+    """The parser stands once in the plan of each merged part, not once for every field."""
+    from scholia.operators import merging
+
+    results = spark.createDataFrame([(1, 1, 1, "s", '{"reactants": ["a"], "products": []}'), (1, 2, 1, "s", "[1]"), (2, 1, 1, "s", None), (2, 2, 1, "s", "{")], "doc long, ord long, page int, source string, data string")
+    known = spark.createDataFrame([(2, "x")], "doc long, name string")
+    merged = merging.merge_results(results, known, spark.createDataFrame([(1, 4)], "doc long, n int"))
+    for part in merged:
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") <= 1
+    assert [r["id"] for r in merged.reactions.collect()] == ["vision_page1_5"]
+    assert [(r["doc"], r["ord"]) for r in merged.figures.collect()] == [(1, 1)]
