@@ -130,8 +130,8 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def largest_balanced(text: Column, brackets: str, size: Callable[[Column], Column]) -> Column:
     """The largest span of text, by size, from an opening bracket at depth 0 to the one that closes it, that is JSON; the
-    first on ties; null if there is none. size is null for what is no JSON. One fold over the text's brackets keeps depth
-    and the best span so far; each span is measured once."""
+    first on ties; null if there is none. One fold over the text's brackets keeps depth and the best span so far;
+    each span is measured once."""
     opening, closing = brackets
     cuts = F.regexp_extract_all(text, F.lit(rf"(?s)[^\{opening}\{closing}]*+[\{opening}\{closing}]"), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("begin"), F.lit(-1).alias("size"), F.lit(None).cast("string").alias("best"))
@@ -146,7 +146,7 @@ def largest_balanced(text: Column, brackets: str, size: Callable[[Column], Colum
             return once(begin, lambda begin: once(span(begin), lambda span: ended(m, begin, span)))
 
         def ended(m: Column, begin: Column, span: Column) -> Column:
-            measured = F.when(span.isNotNull(), F.coalesce(size(span), F.lit(-1))).otherwise(F.lit(-1))
+            measured = F.coalesce(F.when(is_json(span), size(span)), F.lit(-1))
             return once(measured, lambda n: F.struct(m["at"].alias("at"), m["depth"].alias("depth"), begin.alias("begin"), F.greatest(n, s["size"]).alias("size"), F.when(n > s["size"], span).otherwise(s["best"]).alias("best")))
 
         return once(moved, begun)
@@ -157,7 +157,7 @@ def largest_balanced(text: Column, brackets: str, size: Callable[[Column], Colum
 def json_repair(text: Column, schema: str) -> Column:
     """Model output as a struct: the whole text, else a fenced block, else the object of most keys among its balanced
     spans of braces (the first on ties), else the text with missing closers added. Null where none parses. Native."""
-    keys = lambda span: F.when(is_json(span), F.size(F.json_object_keys(span)))
+    keys = lambda span: F.size(F.json_object_keys(span))
     read = lambda x: once(x, lambda x: F.when(is_json(x), F.from_json(x, schema)))
 
     def inside(t: Column) -> Column:
@@ -182,7 +182,7 @@ def json_repair_any(text: Column) -> Column:
     longest (as compact JSON) of its balanced spans of braces and of brackets, the object on ties, else the text with
     missing closers."""
     compact = lambda x: once(x, lambda x: F.when(is_json(x), F.to_json(F.try_parse_json(x))))
-    length = lambda span: F.length(compact(span))
+    length = lambda span: F.length(F.to_json(F.try_parse_json(span)))
 
     def best(t: Column) -> Column:
         spans = F.struct(*[compact(largest_balanced(t, b, length)).alias(c) for c, b in (("objects", "{}"), ("arrays", "[]"))])
