@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from scholia.plans.lineage import cut
 
 #: Seeds that are broadcast at once.
 BLOCK = 50_000
+#: Rows and seeds of a group of the neighbour search, and pairs whose distances are held at once in it.
+ROW_BLOCK, SEED_BLOCK, STEP = 20_000, 10_000, 1 << 21
 
 
 def moments(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -59,28 +62,94 @@ def by_block(seeds: DataFrame, run: Callable[[DataFrame], DataFrame], block: int
     return out
 
 
-def neighbours(seeds: DataFrame, rows: DataFrame, features: Sequence[str], k: int, *, same: str | None = None, keep_self: bool = False) -> DataFrame:
-    """(seed, id, distance, rank): the k nearest rows (ord, features) of each seed (ord, features), Euclidean.
+def _distances(row: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to one seed, summed from the first place on as the column expressions do."""
+    own = np.zeros(len(row))
+    for j in range(row.shape[1]):
+        d = row[:, j] - seed[j]
+        own += d * d
+    return np.sqrt(own)
+
+
+def _matrix(vectors: pd.Series, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, whole): vectors of n places; those that are null or of another length are zeros and not whole."""
+    whole = np.array([v is not None and len(v) == n for v in vectors], bool)
+    out = np.zeros((len(vectors), n))
+    if whole.any():
+        out[whole] = np.stack([np.asarray(v, float) for v, w in zip(vectors, whole, strict=True) if w])
+    return out, whole
+
+
+def _nearest(rows: pd.DataFrame, seeds: pd.DataFrame, k: int, keep_self: bool) -> pd.DataFrame:
+    """The k nearest rows (id, v) of each seed (seed, v) of one block; NaN comes after all numbers, null after NaN.
 
-    The seeds are the query side and are broadcast in blocks; every row meets every seed once, and Spark keeps k a seed in
-    each partition before the shuffle. same: a column in which both must agree.
+    A product of matrices finds each seed's candidates, with room for its rounding; their distances are then taken exactly.
     """
-    s = seeds.select(F.col("ord").alias("seed"), *[F.col(c).alias(f"s_{c}") for c in (*features, *([same] if same else []))])
-    apart = F.sqrt(total([F.pow(F.col(c) - F.col(f"s_{c}"), F.lit(2.0)) for c in features]))
-    on = F.lit(True) if keep_self else F.col("ord") != F.col("seed")
-    on = on & (F.col(same) == F.col(f"s_{same}")) if same else on
-    found = by_block(s, lambda part: rows.join(part, on).select("seed", F.col("ord").alias("id"), apart.alias("distance")))
-    w = Window.partitionBy("seed").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ids, out = rows["id"].to_numpy(), []
+    if not len(rows):
+        seeds = seeds.iloc[:0]
+    for n, part in seeds.groupby(seeds["v"].map(lambda v: -1 if v is None else len(v))):
+        n = max(int(n), 0)
+        r, r_whole = _matrix(rows["v"], n)
+        s, s_whole = _matrix(part["v"], n)
+        odd = ~(r_whole & np.isfinite(r).all(axis=1))
+        plain = np.where(odd[:, None], 0.0, r)
+        norm = (plain * plain).sum(axis=1)
+        most = min(len(rows), k + 1) - 1
+        step = max(1, STEP // max(1, len(rows)))
+        for a in range(0, len(part), step):
+            own = s[a : a + step]
+            with np.errstate(all="ignore"):
+                about = norm - 2 * (own @ plain.T) + (own * own).sum(axis=1)[:, None]
+            about[:, odd] = np.inf
+            # k rows besides the seed itself
+            bound = np.partition(about, most, axis=1)[:, most] + 1e-9 * ((own * own).sum(axis=1) + norm.max(initial=0.0))
+            for i, (seed, whole) in enumerate(zip(part["seed"].iloc[a : a + step], s_whole[a : a + step], strict=True)):
+                near = np.flatnonzero(~(about[i] > bound[i]) | odd)
+                if not keep_self:
+                    near = near[ids[near] != seed]
+                known = r_whole[near] & whole
+                with np.errstate(all="ignore"):
+                    d = np.where(known, _distances(r[near], own[i]), np.nan)
+                best = np.lexsort((ids[near], d, np.isnan(d), ~known))[:k]
+                out.append(pd.DataFrame({"seed": seed, "id": ids[near][best], "distance": d[best], "known": known[best]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["seed", "id", "distance", "known"])
+
+
+def nearest(seeds: DataFrame, rows: DataFrame, k: int, *, keep_self: bool = False, same: bool = False) -> DataFrame:
+    """(seed, id, distance, rank): the k nearest rows (id, v) of each seed (seed, v), exactly; equal distances by id.
+
+    Both sides are dealt out to blocks of at most about `ROW_BLOCK` rows and `SEED_BLOCK` seeds, and each pair of blocks is
+    one group that gives k rows a seed: no pair of a seed and a row is ever a row of a table. same: both have a column g in
+    which they must agree.
+    """
+    keys = ["g"] if same else []
+    row_parts, seed_parts = (max(1, -(-df.count() // size)) for df, size in ((rows, ROW_BLOCK), (seeds, SEED_BLOCK)))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    whole = F.when(~F.exists("v", lambda x: x.isNull()), F.col("v")).alias("v")
+    r = rows.select("id", whole, *keys, deal("id", row_parts).alias("a"), every(seed_parts).alias("b"))
+    s = seeds.select("seed", whole, *keys, every(row_parts).alias("a"), deal("seed", seed_parts).alias("b"))
+    for c in keys:
+        r, s = r.where(F.col(c).isNotNull()), s.where(F.col(c).isNotNull())
+    schema = f"seed {seeds.schema['seed'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double, known boolean"
+    found = r.groupBy(*keys, "a", "b").cogroup(s.groupBy(*keys, "a", "b")).applyInPandas(lambda x, y: _nearest(x, y, k, keep_self), schema)
+    w = Window.partitionBy("seed").orderBy(F.desc("known"), "distance", "id")
+    found = found.withColumn("distance", F.when(F.col("known"), F.coalesce("distance", F.lit(float("nan")))))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("seed", "id", "distance", "rank")
+
+
+def neighbours(seeds: DataFrame, rows: DataFrame, features: Sequence[str], k: int, *, same: str | None = None, keep_self: bool = False) -> DataFrame:
+    """nearest of seeds and rows (ord, features). same: a column in which both must agree."""
+    v = F.array(*[F.col(c).cast("double") for c in features]).alias("v")
+    g = [F.col(same).alias("g")] if same else []
+    return nearest(seeds.select(F.col("ord").alias("seed"), v, *g), rows.select(F.col("ord").alias("id"), v, *g), k, keep_self=keep_self, same=bool(same))
 
 
 def array_neighbours(seeds: DataFrame, rows: DataFrame, vector: str, k: int) -> DataFrame:
     """neighbours on an array column."""
-    s = seeds.select(F.col("ord").alias("seed"), F.col(vector).alias("sv"))
-    apart = F.sqrt(F.aggregate(F.zip_with(vector, "sv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
-    found = by_block(s, lambda part: rows.join(part, F.col("ord") != F.col("seed")).select("seed", F.col("ord").alias("id"), apart.alias("distance")))
-    w = Window.partitionBy("seed").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    v = F.col(vector).cast("array<double>").alias("v")
+    return nearest(seeds.select(F.col("ord").alias("seed"), v), rows.select(F.col("ord").alias("id"), v), k)
 
 
 def similarity(distance: Column, n: int) -> Column:
