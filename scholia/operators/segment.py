@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +63,7 @@ def _cut(text: str, size: int, overlap: int, least: int) -> list[tuple[int, str]
 def chunks(docs: DataFrame, key: str, size: int = 12_000, overlap: int = 1_000, least: int = 200) -> DataFrame:
     """(key, chunk, start, text): windows of about `size` characters that end at a paragraph or sentence end if one lies
     in the last fifth, each beginning `overlap` characters before the end of the one before. A row's cuts depend on each
-    other, so they are found in Python, an Arrow batch at a time."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, a, own) for k, t in zip(pdf[key], pdf["text"], strict=True) for i, (a, own) in enumerate(_cut(t, size, overlap, least))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "start", "text"])
-
-    return docs.where("text is not null").select(key, "text").mapInPandas(run, f"{key} {kind}, chunk int, start int, text string")
+    other, so they are found in Python, a row at a time: Arrow batches would hold up to 10,000 texts and all their chunks."""
+    cuts = F.udf(lambda text: list(_cut(text, size, overlap, least)), "array<struct<start: int, text: string>>", useArrow=False)
+    rows = docs.where("text is not null").select(key, F.posexplode(cuts("text")).alias("chunk", "c"))
+    return rows.select(key, "chunk", "c.start", "c.text")
