@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from scholia.plans.lineage import cut
 
+from .retrieval import sized
+
+#: Lists of at most so many members give all their pairs.
+PAIRS_OF = 64
+
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with local_citations: edges that end there."""
@@ -69,9 +74,23 @@ def network(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, forward: bool,
 
 
 def cross_network(lists: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc, src, dst): citations among the members of each list (doc, id), without self-citations."""
-    e = edges.where("src <> dst").hint("merge").join(lists.select("doc", F.col("id").alias("src")), "src")
-    return e.hint("merge").join(lists.select("doc", F.col("id").alias("dst")), ["doc", "dst"], "left_semi").select("doc", "src", "dst")
+    """(doc, src, dst): citations among the members of each list (doc, id), without self-citations.
+
+    A list of up to `PAIRS_OF` members gives its pairs, which are looked up among the edges; the edges of all members would
+    be many more, most of which lead out of the list. Longer lists are joined with the edges of their members.
+    """
+    e = edges.where("src <> dst")
+    lists = lists.where("doc is not null and id is not null").select("doc", "id")
+    long = cut(lists.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS_OF).select("doc"))
+    short = lists.join(sized(long), "doc", "left_anti").groupBy("doc").agg(F.collect_list("id").alias("ids"))
+    pairs = short.select("doc", "ids", F.explode("ids").alias("src")).select("doc", "src", F.explode(F.array_distinct("ids")).alias("dst"))
+    out = pairs.where("src <> dst").hint("merge").join(e, ["src", "dst"]).select("doc", "src", "dst")
+    if long.isEmpty():
+        return out
+    rest = lists.join(sized(long), "doc", "left_semi")
+    found = e.hint("merge").join(rest.select("doc", F.col("id").alias("src")), "src")
+    found = found.hint("merge").join(rest.select("doc", F.col("id").alias("dst")), ["doc", "dst"], "left_semi")
+    return out.union(found.select("doc", "src", "dst"))
 
 
 def related(seeds: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
