@@ -33,7 +33,7 @@ _PREFIXES = (6, 12, 25, 50, 100, 200, 400, 800, 1600, 3200, 6400, 12800)
 #: The struct that holds a prediction until it is unpacked.
 RESULT = "__scholia_prediction"
 #: Characters looked at in one step; a longer text is counted in slices, to the same counts.
-_SLICE = 1 << 21
+_SLICE = 1 << 17
 _LETTERS: list[np.ndarray] = []
 
 
