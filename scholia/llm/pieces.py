@@ -17,6 +17,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +32,72 @@ SPACE, UNKNOWN, N_BEST = "▁", 10.0, 4
 _LOW = float("-inf")
 
 
+#: Words of up to so many characters are solved many at a time; texts are taken together up to so many characters.
+SHORT, TOGETHER = 32, 1_000_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Table:
+    """The nodes of a trie as arrays, to go down from many nodes at once: (node, character) is looked up by hash, with as
+    many probes as the fullest place needs."""
+
+    def __init__(self, trie: dict):
+        keys, nodes, waiting = [], [], [(0, trie)]
+        characters: dict[str, int] = {}
+        pieces, scores = [-1], [0.0]
+        while waiting:
+            above, below = waiting.pop()
+            for ch, (piece, score, rest) in below.items():
+                keys.append(above << 21 | characters.setdefault(ch, len(characters) + 1))
+                nodes.append(len(pieces))
+                if rest:
+                    waiting.append((len(pieces), rest))
+                pieces.append(-1 if piece is None else piece)
+                scores.append(score)
+        self.pieces, self.scores = np.array(pieces, np.int32), np.array(scores)
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(ch) for ch in characters]] = list(characters.values())
+        self.bits = max(len(keys), 1).bit_length() + 2
+        self.keys, self.nodes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, new, self.probes = np.array(keys, np.int64), np.array(nodes, np.int32), 0
+        while len(left):
+            at = self._place(left, self.probes)
+            free = np.flatnonzero(self.keys[at] < 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.nodes[at[free]] = left[free], new[free]
+            left, new = np.delete(left, free), np.delete(new, free)
+            self.probes += 1
+
+    def _place(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        first = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (first.astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def below(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The node below each node by a character's code; 0 if there is none."""
+        keys = nodes.astype(np.int64) << 21 | codes
+        at = self._place(keys, 0)
+        held = self.keys[at]
+        out = np.where(held == keys, self.nodes[at], 0)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        for probe in range(1, self.probes):
+            if not len(open_):
+                break
+            at = self._place(keys[open_], probe)
+            held = self.keys[at]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.nodes[at[hit]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
+
 class Vocabulary:
-    def __init__(self, model_file: str, most: int = 1_000_000):
+    """The pieces of a model file. What was found for words is remembered, in two halves of at most `most` words: when the
+    newer one is full it becomes the older, and words that are met again move over. Results don't depend on it."""
+
+    def __init__(self, model_file: str, most: int = 150_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file, num_threads=1)
@@ -40,102 +105,165 @@ class Vocabulary:
         self.pieces = [self.model.id_to_piece(i) for i in range(size)]
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(size) if self.model.is_byte(i)}
         self.byte_ids = {i: b for b, i in self.bytes.items()}
-        #: character -> [(piece id, score) or None, the same below]
-        self.trie: dict = {}
+        #: pieces from their last character to their first: character -> (piece id or None, score, the same below or None)
+        self.ends: dict = {}
         least = 0.0
         for i in range(size):
             if self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i):
                 continue
             score = self.model.get_score(i)
             least = min(least, score) if score > -1e8 else least
-            below, node = self.trie, None
-            for ch in self.pieces[i]:
-                node = below.setdefault(ch, [None, {}])
-                below = node[1]
-            node[0] = (i, score)
+            below = self.ends
+            for ch in self.pieces[i][:0:-1]:
+                own = below.get(ch, (None, 0.0, None))
+                if own[2] is None:
+                    own = below[ch] = (own[0], own[1], {})
+                below = own[2]
+            ch = self.pieces[i][0]
+            below[ch] = (i, score, below[ch][2] if ch in below else None)
         self.unknown = least - UNKNOWN
-        self.joined = {p[i - 1 : i + 1] for p in self.pieces for i in range(1, len(p))}
+        self.table = _Table(self.ends)
         self.text = [bytes([self.byte_ids[i]]) if i in self.byte_ids else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
         #: word -> its n best, as n_best gives them; the words that differ in a text's n best are often the same ones
         self.alternatives: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
         self.most = most
 
-    def edges(self, word: str) -> Iterator[tuple[int, int, int, float]]:
+    def edges(self, word: str) -> list[tuple[int, int, int, float]]:
         """(begin, end, piece id or -1 for an uncovered character, score), by begin."""
-        n = len(word)
-        for i in range(n):
-            node, covered = self.trie.get(word[i]), False
-            j = i + 1
+        out = []
+        for j in range(1, len(word) + 1):
+            i, node = j - 1, self.ends.get(word[j - 1])
+            if node is None or node[0] is None:
+                out.append((i, j, -1, self.unknown))
             while node is not None:
                 if node[0] is not None:
-                    yield i, j, *node[0]
-                    covered |= j == i + 1
-                if j == n:
-                    break
-                node = node[1].get(word[j])
-                j += 1
-            if not covered:
-                yield i, i + 1, -1, self.unknown
+                    out.append((i, j, node[0], node[1]))
+                i -= 1
+                node = node[2].get(word[i]) if i >= 0 and node[2] else None
+        return sorted(out, key=lambda e: e[:2])
 
     def ids_of(self, word: str, begin: int, piece: int) -> list[int]:
         return [piece] if piece >= 0 else [self.bytes[b] for b in word[begin].encode()]
 
     def viterbi(self, word: str) -> tuple[list[int], float, float]:
-        """(ids, score, how far the second best lies below; inf if there is none). The edges are those of `edges`."""
-        n, root, unknown = len(word), self.trie, self.unknown
-        best, second = [_LOW] * (n + 1), [_LOW] * (n + 1)
-        back, piece_at = [0] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            here, next_best, j = best[i], second[i], i
-            node, covered = root.get(word[i]), False
+        """(ids, score, how far the second best lies below; inf if there is none). The edges are those of `edges`, looked
+        at end by end, so that both scores of an end stay in local names; of equal ones the longest piece counts."""
+        ends, unknown = self.ends, self.unknown
+        best, second, back, j = [0.0], [_LOW], [(0, -1)], 0
+        for ch in word:
+            i, node, first, next_best, begin, piece_at = j, ends.get(ch), _LOW, _LOW, j, -1
+            if node is None or node[0] is None:
+                first, next_best = best[j] + unknown, second[j] + unknown
             while node is not None:
-                j += 1
-                end, below = node
-                if end is not None:
-                    piece, score = end
-                    covered = covered or j == i + 1
-                    a = here + score
-                    if a > best[j]:
-                        b = next_best + score
-                        second[j] = best[j] if best[j] > b else b
-                        best[j], back[j], piece_at[j] = a, i, piece
-                    elif a > second[j]:
-                        second[j] = a
-                if j == n:
+                piece, score, below = node
+                if piece is not None:
+                    a = best[i] + score
+                    if a >= first:
+                        b = second[i] + score
+                        next_best = first if first > b else b
+                        first, begin, piece_at = a, i, piece
+                    elif a > next_best:
+                        next_best = a
+                if below is None or not i:
                     break
-                node = below.get(word[j])
-            if not covered:
-                j, a, b = i + 1, here + unknown, next_best + unknown
-                if a > best[j]:
-                    second[j] = best[j] if best[j] > b else b
-                    best[j], back[j], piece_at[j] = a, i, -1
-                elif a > second[j]:
-                    second[j] = a
-        ids, j = [], n
+                i -= 1
+                node = below.get(word[i])
+            best.append(first)
+            second.append(next_best)
+            back.append((begin, piece_at))
+            j += 1
+        ids = []
         while j:
-            ids.append(self.ids_of(word, back[j], piece_at[j]) if piece_at[j] < 0 else [piece_at[j]])
-            j = back[j]
-        return [x for own in reversed(ids) for x in own], best[n], best[n] - second[n]
+            begin, piece = back[j]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += reversed(self.ids_of(word, begin, piece))
+            j = begin
+        ids.reverse()
+        return ids, best[-1], best[-1] - second[-1]
 
     def solve(self, word: str) -> tuple[bytes, float, float]:
-        """viterbi of a word, remembered. No segmentation joins two characters that no piece joins, so the word is cut at
-        all such places and its parts are solved one by one."""
-        known = self.known.get(word)
+        """viterbi of a word, with ids as uint32 bytes, remembered."""
+        known = self.known.get(word) or self.older.get(word)
         if known is None:
-            joined = self.joined
-            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
-            if cuts and len(word) > 2:
-                own = [self.solve(word[i:j]) for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
-                known = (b"".join([x[0] for x in own]), sum([x[1] for x in own]), min([x[2] for x in own]))
-            else:
-                ids, score, gap = self.viterbi(word)
-                known = (np.array(ids, "<u4").tobytes(), score, gap)
-            self.known[word] = known
+            ids, score, gap = self.viterbi(word)
+            known = (_packed(ids), score, gap)
+        self.known[word] = known
         return known
 
+    def solve_all(self, words: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """What solve gives for each of words, which have 1 to `SHORT` characters; those with a character that no piece
+        covers are left out. All words go a step at once: first down the trie from every place, then from end to end."""
+        words = sorted(words, key=len)
+        size = np.array([len(w) for w in words])
+        codes = self.table.code[common.codes("".join(words))]
+        word = np.repeat(np.arange(len(words)), size)
+        end = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size) + 1
+        at, node, length, edges = np.arange(len(codes)), np.zeros(len(codes), np.int32), 0, []
+        bare = np.zeros(len(words), bool)
+        while len(at):
+            node = self.table.below(node, codes[at - length])
+            length += 1
+            piece = self.table.pieces[node]
+            if length == 1:
+                bare[word[piece < 0]] = True
+            on = np.flatnonzero(piece >= 0)
+            edges.append((at[on], np.full(len(on), length, np.int8), node[on]))
+            on = np.flatnonzero((node > 0) & (end[at] > length))
+            at, node = at[on], node[on]
+        places, lengths, nodes = (np.concatenate(x) for x in zip(*edges, strict=True))
+        # edges by end, then from the shortest piece on, as viterbi looks at them
+        group = end[places] * 256 + lengths
+        order = np.argsort(group, kind="stable")
+        places, nodes, group = places[order], nodes[order], group[order]
+        cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
+        best, second = np.full((2, int(size.max()) + 1, len(words)), _LOW)
+        best[0] = 0.0
+        by_end, by_piece = np.zeros(best.shape, np.int8), np.zeros(best.shape, np.int32)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            j, n = divmod(int(group[a]), 256)
+            w, x = word[places[a:b]], nodes[a:b]
+            score = self.table.scores[x]
+            one, two = best[j - n, w] + score, second[j - n, w] + score
+            had, next_best = best[j, w], second[j, w]
+            wins = one >= had
+            second[j, w] = np.where(wins, np.maximum(had, two), np.maximum(next_best, one))
+            best[j, w] = np.where(wins, one, had)
+            w, x = w[wins], x[wins]
+            by_end[j, w], by_piece[j, w] = n, self.table.pieces[x]
+        # back from the ends; a word's ids are put from its place backwards
+        w, j, used, steps = np.flatnonzero(~bare), size[~bare], np.zeros(len(words), np.int64), []
+        while len(w):
+            steps.append((w, by_piece[j, w]))
+            used[w] += 1
+            j = j - by_end[j, w]
+            w, j = w[j > 0], j[j > 0]
+        stop = np.cumsum(used)
+        ids = np.zeros(int(stop[-1]), "<u4")
+        for k, (w, piece) in enumerate(steps):
+            ids[stop[w] - 1 - k] = piece
+        data, cut = ids.tobytes(), [0, *(4 * stop).tolist()]
+        score = best[size, np.arange(len(words))]
+        with np.errstate(invalid="ignore"):  # words that are left out have neither
+            gap = score - second[size, np.arange(len(words))]
+        rows = zip(words, cut, cut[1:], score.tolist(), gap.tolist(), bare.tolist(), strict=False)
+        return {x: (data[a:b], s, g) for x, a, b, s, g, no in rows if not no}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Solve what isn't remembered of the words of texts."""
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        new = {x for words in texts for x in words if x not in self.known}
+        again = new.intersection(self.older)
+        self.known.update({x: self.older[x] for x in again})
+        new = [x for x in new - again if len(x) <= SHORT]
+        if new:
+            self.known.update(self.solve_all(new))
+
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a word by A* from its end, with the forward scores as heuristics."""
         size = len(word)
@@ -166,7 +294,7 @@ class Vocabulary:
         if out is None:
             if len(self.alternatives) > self.most // 8:
                 self.alternatives.clear()
-            out = self.alternatives[word, n] = [(score, np.array(ids, "<u4").tobytes()) for score, ids in self.n_best(word, n)]
+            out = self.alternatives[word, n] = [(score, _packed(ids)) for score, ids in self.n_best(word, n)]
         return out
 
     def words(self, text: str) -> list[str]:
@@ -188,13 +316,27 @@ class Vocabulary:
             held += SPACE + x
         return [*out, held]
 
+    def encode_all(self, texts: list[str], n: int = N_BEST) -> Iterator[tuple[bytes, list[tuple[float, bytes, list[tuple[int, int, bytes]]]]]]:
+        """encode of each of texts; words are solved for up to `TOGETHER` characters of them at once."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin + 1, len(texts[begin])
+            while end < len(texts) and size + len(texts[end]) <= TOGETHER:
+                size += len(texts[end])
+                end += 1
+            words = [self.words(t) for t in texts[begin:end]]
+            self.learn(words)
+            for own in words:
+                yield self.encode_words(own, n)
+            begin = end
+
     def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[tuple[float, bytes, list[tuple[int, int, bytes]]]]]:
         """(ids of the best segmentation as uint32 bytes, (score, ids, changes) of the n best, the first of them that
         one). changes: (place, how many ids of the best go, ids that come), from the last place to the first."""
+        return next(self.encode_all([text], n))
+
+    def encode_words(self, words: list[str], n: int) -> tuple[bytes, list[tuple[float, bytes, list[tuple[int, int, bytes]]]]]:
         known = self.known
-        if len(known) > self.most:
-            known.clear()
-        words = self.words(text)
         got = list(map(known.get, words))
         if None in got:
             for k, x in enumerate(got):
@@ -260,9 +402,8 @@ def encode(docs: DataFrame, model_file: str, n: int = N_BEST, prefix: str = "")
     def run(texts: pd.Series) -> pd.DataFrame:
         v = vocabulary(model_file)
         out = []
-        for t in texts:
-            t = t or ""
-            data, best = v.encode(t, n)
+        texts = [t or "" for t in texts]
+        for t, (data, best) in zip(texts, v.encode_all(texts, n), strict=True):
             ids = np.frombuffer(data, "<u4").astype(np.int32)
             same = v.decode(ids.tolist()) == t.replace(SPACE, " ") and all(v.same_text(ids, c) for _, _, c in best)
             rows = [{"score": s, "n_pieces": len(x) // 4, "ids_crc32": zlib.crc32(x), "changes": [{"place": at, "n": k, "ids": np.frombuffer(new, "<u4").tolist()} for at, k, new in c]} for s, x, c in best]
