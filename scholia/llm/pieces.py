@@ -32,8 +32,9 @@ SPACE, UNKNOWN, N_BEST = "▁", 10.0, 4
 _LOW = float("-inf")
 
 
-#: Words of up to so many characters are solved many at a time; texts are taken together up to so many characters.
-SHORT, TOGETHER = 32, 1_000_000
+#: Words of up to so many characters are solved many at a time, so many words at most (some 700 bytes each); texts are
+#: taken together up to so many characters.
+SHORT, AT_ONCE, TOGETHER = 32, 50_000, 1_000_000
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -261,8 +262,8 @@ class Vocabulary:
         again = new.intersection(self.older)
         self.known.update({x: self.older[x] for x in again})
         new = [x for x in new - again if len(x) <= SHORT]
-        if new:
-            self.known.update(self.solve_all(new))
+        for i in range(0, len(new), AT_ONCE):
+            self.known.update(self.solve_all(new[i : i + AT_ONCE]))
 
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a word by A* from its end, with the forward scores as heuristics."""
