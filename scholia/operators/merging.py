@@ -128,6 +128,21 @@ def _compounds(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 #: The lists of a page's result that are merged without repetitions.
 LISTS = ("reactants", "products", "catalysts", "ligands", "solvents", "mechanisms", "yields")
+#: A page's result, cut into its fields at once.
+_FIELDS = ", ".join([*(f"{f}: array<variant>" for f in (*LISTS, "reaction_schemes", "compounds", "table_data")), "conditions: map<string, variant>", *(f"{f}: variant" for f in ("image_description", "description", "reactionType", "selectivity"))])
+#: Items that are empty, as `_item` writes them.
+_EMPTY = ("null", "[]", "{}", '"', "0", "false")
+
+
+def _item(value: Column) -> Column:
+    """A value as text that tells it from every other one: a string behind a quote, without a writer, anything else as
+    JSON."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.concat(F.lit('"'), F.try_variant_get(value, "$", "string"))).otherwise(F.to_json(value))
+
+
+def _value(item: Column) -> Column:
+    """The VARIANT that `_item` wrote."""
+    return F.when(F.startswith(item, F.lit('"')), F.substring(item, 2, 1 << 30).cast("variant")).otherwise(F.parse_json(item))
 
 
 def merge_pages(results: DataFrame) -> DataFrame:
@@ -138,55 +153,50 @@ def merge_pages(results: DataFrame) -> DataFrame:
     selectivity: the first that isn't empty. image_descriptions (page, description, source), pages_with_data, and
     reaction_schemes, compounds (those with a name), table_data as (page, source, data). Items are VARIANT; equal means the
     same JSON text. Null, broken and empty data is none; fields that aren't lists where a list is due count as empty.
-    Two groupings by document of what is left after partial aggregation, joined on it.
+    A page is parsed and cut into fields once; its document's row, which holds all of its pages' schemes, compounds and
+    tables in any case, is made by one grouping, and items are merged there as text.
     """
-    rows = results.select("doc", "ord", "page", "source", F.try_parse_json("data").alias("data"))
-    data = F.when(F.schema_of_variant("data").startswith("OBJECT") & _full(F.col("data")), F.col("data"))
-    rows = rows.withColumn("data", data)
-    schemes = _list(F.col("data"), "reaction_schemes")
-    texts = lambda items: F.transform(items, lambda v: F.to_json(v))
-    empty = ("null", "[]", "{}", '""', "0", "false")
-
-    # what is merged item by item: (doc, list, key of a condition, place, JSON text)
-    def entry(field: str, part: int, value: Column, nth: Column, i: Column, key: Column) -> Column:
-        return F.struct(F.lit(field).alias("list"), key.alias("key"), F.lit(part).alias("part"), nth.cast("int").alias("nth"), i.cast("int").alias("i"), value.alias("text"))
-
-    no, none = F.lit(0), F.lit("")
-    of_page = lambda f: F.transform(texts(_list(F.col("data"), f)), lambda v, i: entry(f, 0, v, no, i, none))
-    name = lambda e: F.when(F.schema_of_variant(e).startswith("OBJECT"), F.to_json(_get(e, "name"))).otherwise(F.to_json(e))
-    of_scheme = lambda f: F.flatten(F.transform(schemes, lambda s, n: F.transform(_list(s, f), lambda e, i: entry(f, 1, name(e), n, i, none))))
-    pairs = F.map_entries(F.coalesce(_get(F.col("data"), "conditions", "map<string, variant>"), F.create_map().cast("map<string, variant>")))
-    given = F.transform(pairs, lambda e: entry("conditions", 0, F.to_json(e["value"]), no, no, e["key"]))
-    items = rows.select("doc", "ord", F.explode(F.concat(*map(of_page, LISTS), *map(of_scheme, LISTS[:2]), given)).alias("e")).select("doc", "ord", "e.*")
-    items = items.where(F.col("text").isNotNull() & ((F.col("list") == "yields") | ~F.col("text").isin(*empty)))
-    # a condition is known by its key, an item by its text
-    known_by = F.when(F.col("list") == "conditions", F.col("key")).otherwise(F.col("text")).alias("known_by")
-    place = F.struct("ord", "part", "nth", "i")
-    first = items.groupBy("doc", "list", known_by).agg(F.min(place).alias("at"), F.min_by("text", place).alias("text"))
-    parsed = lambda texts_: F.transform(texts_, lambda x: F.parse_json(x["text"]))
-    of_list = lambda f, *by: F.array_sort(F.collect_list(F.when(F.col("list") == f, F.struct(*by, "text"))))
-    lists = first.groupBy("doc").agg(*[parsed(of_list(f, "at")).alias(f) for f in LISTS], of_list("conditions", "known_by").alias("c"))
-    lists = lists.withColumn("conditions", F.map_from_arrays(F.transform("c", lambda x: x["known_by"]), parsed("c"))).drop("c")
-
-    # what is collected page by page
-    image, told = _get(F.col("data"), "image_description"), _get(F.col("data"), "description")
-    described = F.when(_full(image), F.struct(F.col("page"), F.try_variant_get(image, "$", "string").alias("description"), F.lit(None).cast("string").alias("source")))
-    described = described.when(_full(told), F.struct(F.col("page"), F.try_variant_get(told, "$", "string").alias("description"), F.col("source")))
-    named = F.filter(_list(F.col("data"), "compounds"), lambda c: _full(_get(c, "name")))
+    # an object with a field is what begins so, if it is JSON at all
+    parsed = F.when(F.col("data").rlike(r"^\s*\{\s*[^\s}]"), F.try_parse_json("data"))
+    rows = results.select("doc", "ord", "page", "source", F.explode(F.array(parsed)).alias("v"))
+    schemes = F.try_variant_get("v", "$.reaction_schemes", f"array<struct<{', '.join(f'{f}: array<variant>' for f in LISTS[:2])}>>")
+    rows = rows.select("doc", "ord", "page", "source", F.explode(F.array(F.struct(F.try_variant_get("v", "$", f"struct<{_FIELDS}>").alias("f"), schemes.alias("s")))).alias("d")).select("doc", "ord", "page", "source", "d.*")
+    field = lambda f: F.col("f")[f]
+    full = lambda value: ~_item(value).isin(*_EMPTY)
+    names = lambda items: F.transform(items, lambda e: F.when(F.schema_of_variant(e).startswith("OBJECT"), _get(e, "name")).otherwise(e))
+    blank = F.array().cast("array<string>")
+
+    def items(f: str) -> Column:
+        found = F.coalesce(F.transform(field(f), _item), blank)
+        if f in LISTS[:2]:
+            found = F.when(F.col("s").isNull(), found).otherwise(F.concat(found, F.flatten(F.transform("s", lambda s: F.coalesce(F.transform(names(s[f]), _item), blank)))))
+        return F.filter(found, lambda x: x.isNotNull() & (F.lit(f == "yields") | ~x.isin(*_EMPTY))).alias(f)
+
+    given = F.transform(F.map_entries(field("conditions")), lambda e: F.struct(e["key"].alias("key"), F.col("ord"), F.to_json(e["value"]).alias("text")))
+    given = F.coalesce(F.filter(given, lambda e: ~e["text"].isin("null", "[]", "{}", '""', "0", "false")), F.array())
+    image, told = field("image_description"), field("description")
+    described = F.when(full(image), F.struct(F.col("page"), F.try_variant_get(image, "$", "string").alias("description"), F.lit(None).cast("string").alias("source")))
+    described = described.when(full(told), F.struct(F.col("page"), F.try_variant_get(told, "$", "string").alias("description"), F.col("source")))
+    texts = lambda listed: F.coalesce(F.transform(listed, lambda v: F.to_json(v)), blank)
+    named = F.filter(field("compounds"), lambda c: full(_get(c, "name")))
     # a row of a table that is no object becomes one
-    cells = F.transform(_list(F.col("data"), "table_data"), lambda r: F.when(F.schema_of_variant(r).startswith("OBJECT"), F.to_json(r)).otherwise(F.concat(F.lit('{"values":'), F.to_json(r), F.lit("}"))))
-    page = F.struct("ord", "page", "source", F.col("data").isNotNull().alias("some"), described.alias("image"), texts(schemes).alias("reaction_schemes"), texts(named).alias("compounds"), cells.alias("table_data"))
-    best = lambda f: F.min_by(_get(F.col("data"), f, "string"), F.when(_full(_get(F.col("data"), f)), F.col("ord"))).alias(f)
-    pages = rows.groupBy("doc").agg(F.array_sort(F.collect_list(page)).alias("pages"), best("reactionType"), best("selectivity"))
+    cells = F.transform(field("table_data"), lambda r: F.when(F.schema_of_variant(r).startswith("OBJECT"), F.to_json(r)).otherwise(F.concat(F.lit('{"values":'), F.to_json(r), F.lit("}"))))
+    said = [F.when(full(field(f)), F.try_variant_get(field(f), "$", "string")).alias(f) for f in ("reactionType", "selectivity")]
+    page = F.struct("ord", "page", "source", F.col("f").isNotNull().alias("some"), described.alias("image"), texts(field("reaction_schemes")).alias("reaction_schemes"), texts(named).alias("compounds"), F.coalesce(cells, blank).alias("table_data"), given.alias("given"), *map(items, LISTS), *said)
+    # exploded from a list of one, so that it is made by compiled code, not inside the aggregate
+    docs = rows.select("doc", F.explode(F.array(page)).alias("page")).groupBy("doc").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    every = lambda f: F.flatten(F.transform("pages", lambda p: p[f]))
+    merged = lambda f: F.transform(F.array_distinct(every(f)), _value).alias(f)
+    first = lambda f: F.get(F.array_compact(F.transform("pages", lambda p: p[f])), F.lit(0)).alias(f)
     tagged = lambda f: F.flatten(F.transform("pages", lambda p: F.transform(p[f], lambda t: F.struct(p["page"].alias("page"), p["source"].alias("source"), F.parse_json(t).alias("data"))))).alias(f)
-    pages = pages.select(
-        "doc", "reactionType", "selectivity", F.array_compact(F.transform("pages", lambda p: p["image"])).alias("image_descriptions"),
+    # as the variable of a lambda the sorted list is made once; the first of a key is that behind another key
+    first_of_key = lambda known: F.filter(known, lambda x, i: (i == 0) | (F.get(known, i - 1)["key"] != x["key"]))
+    known = F.get(F.transform(F.array(F.sort_array(every("given"))), first_of_key), F.lit(0))
+    conditions = F.map_from_entries(F.transform(known, lambda x: F.struct(x["key"].alias("key"), F.parse_json(x["text"]).alias("value"))))
+    return docs.select(
+        "doc", *map(merged, LISTS), conditions.alias("conditions"), first("reactionType"), first("selectivity"), F.array_compact(F.transform("pages", lambda p: p["image"])).alias("image_descriptions"),
         F.transform(F.filter("pages", lambda p: p["some"]), lambda p: p["page"]).alias("pages_with_data"), *[tagged(f) for f in ("reaction_schemes", "compounds", "table_data")],
     )
-    both = pages.hint("merge").join(lists, "doc", "left")
-    blank = [F.coalesce(F.col(f), F.array().cast("array<variant>")).alias(f) for f in LISTS]
-    rest = [c for c in pages.columns if c != "doc"]
-    return both.select("doc", *blank, F.coalesce("conditions", F.create_map().cast("map<string, variant>")).alias("conditions"), *rest)
 
 
 def complete_reactions(reactions: DataFrame, tables: DataFrame) -> DataFrame:
